@@ -1,0 +1,53 @@
+"""Fetching documents over HTTP at a polite rate."""
+
+from __future__ import annotations
+
+import time
+import urllib.request
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+# Fixed value: the least time between two requests, in seconds.
+MIN_INTERVAL = 0.25
+
+
+def http_get(url: str, user_agent: str) -> str:
+    """GET ``url``; any status but success raises."""
+    request = urllib.request.Request(url, headers={"User-Agent": user_agent})
+    with urllib.request.urlopen(request, timeout=60) as response:
+        return response.read().decode("utf-8", errors="replace")
+
+
+def fetch_documents(
+    urls: DataFrame,
+    user_agent: str,
+    fetch: Callable[[str], str] | None = None,
+    min_interval: float = MIN_INTERVAL,
+    lanes: int = 1,
+) -> DataFrame:
+    """``urls`` plus ``body``. ``lanes`` tasks fetch at once and share the rate.
+
+    The remote end sets the limit, so more tasks would only wait longer each.
+    """
+    if not user_agent.strip():
+        raise ValueError("a user agent is required")
+    get = fetch or partial(http_get, user_agent=user_agent)
+    pause = min_interval * lanes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = time.monotonic()
+        for batch in batches:
+            bodies = []
+            for url in batch["url"]:
+                wait = ready - time.monotonic()
+                if wait > 0:
+                    time.sleep(wait)
+                ready = max(ready, time.monotonic()) + pause
+                bodies.append(get(url))
+            yield batch.assign(body=bodies)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema) + ", body string"
+    return urls.repartition(lanes).mapInPandas(run, schema)
