@@ -1,9 +1,8 @@
 """Cutting sections into overlapping windows that end at sentence boundaries.
 
 Where a window starts depends on where the one before it ended, so this is the
-one text step that no built-in expression covers. It runs as an Arrow UDF: Spark
-ships only the text and its section offsets, a whole batch at a time, and the
-helper returns offsets with the text they slice.
+one text step that no built-in expression covers. It runs over Arrow batches: Spark
+ships texts with their section offsets and gets back a row per window.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # The same white space set as in ``strings``.
@@ -24,18 +22,6 @@ _WS_CHARS = (
 _NOT_WS = re.compile(f"[^{_WS_CHARS}]")
 _LAST_WS = re.compile(f"[{_WS_CHARS}](?=[^{_WS_CHARS}]*\\Z)")
 
-CHUNK = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("section", T.IntegerType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-            T.StructField("text", T.StringType()),
-        ]
-    )
-)
-
-
 @dataclass(frozen=True)
 class ChunkOptions:
     """Window sizes in characters. Defaults are fixed values."""
@@ -85,34 +71,51 @@ def windows(text: str, start: int, end: int, options: ChunkOptions) -> Iterator[
         pos = _next_ink(text, max(pos + 1, stop - options.overlap_chars), end)
 
 
-def chunk_sections(text: Column, sections: Column, options: ChunkOptions | None = None) -> Column:
-    """``array<struct<section,start,end,text>>``; ``section`` indexes ``sections``."""
+def chunk_rows(sectioned: DataFrame, keep: list[str], options: ChunkOptions | None = None) -> DataFrame:
+    """One row per window: ``keep``, ``section``, ``start``, ``end`` and ``text``.
+
+    ``sectioned`` has ``canonical_text`` and ``sections``; ``section`` is the
+    section's struct. Whole documents go in, one Arrow batch at a time, so no
+    task ever holds more than its batch.
+    """
     opts = options or ChunkOptions()
+    source = sectioned.select(*keep, "canonical_text", "sections")
+    section_type = sectioned.schema["sections"].dataType.elementType
+    schema = T.StructType(
+        [
+            *[sectioned.schema[name] for name in keep],
+            T.StructField("section", section_type),
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("text", T.StringType()),
+        ]
+    )
 
-    @F.arrow_udf(CHUNK)
-    def cut(texts: pa.Array, bounds: pa.Array) -> pa.Array:
-        rows, sec, starts, ends, bodies = [0], [], [], [], []
-        for text, row in zip(texts, bounds):
-            body = text.as_py()
-            for i, section in enumerate(row.as_py() or []):
-                for a, b in windows(body, section["start"], section["end"], opts):
-                    sec.append(i)
-                    starts.append(a)
-                    ends.append(b)
-                    bodies.append(body[a:b])
-            rows.append(len(sec))
-        items = pa.StructArray.from_arrays(
-            [
-                pa.array(sec, pa.int32()),
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sections = batch.column("sections")
+            offsets = sections.offsets.to_pylist()
+            bounds = sections.values
+            section_starts = bounds.field("start").to_pylist()
+            section_ends = bounds.field("end").to_pylist()
+            rows, picked, starts, ends, texts = [], [], [], [], []
+            for row, text in enumerate(batch.column("canonical_text")):
+                body = text.as_py()
+                for i in range(offsets[row], offsets[row + 1]):
+                    for a, b in windows(body, section_starts[i], section_ends[i], opts):
+                        rows.append(row)
+                        picked.append(i)
+                        starts.append(a)
+                        ends.append(b)
+                        texts.append(body[a:b])
+            at = pa.array(rows, pa.int32())
+            columns = [batch.column(name).take(at) for name in keep]
+            columns += [
+                bounds.take(pa.array(picked, pa.int32())),
                 pa.array(starts, pa.int32()),
                 pa.array(ends, pa.int32()),
-                pa.array(bodies, pa.string()),
-            ],
-            ["section", "start", "end", "text"],
-        )
-        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), items)
-
-    bounds = F.transform(sections, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    # Marked so that the optimizer neither repeats the call for the filter it infers
-    # from an explode nor pushes it into a scan.
-    return cut.asNondeterministic()(F.coalesce(text, F.lit("")), bounds)
+                pa.array(texts, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    return source.mapInArrow(cut, schema)

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Distances closer than this count as equal and the chunk order decides.
-DISTANCE_UNIT = 1e-9
+# Distances are measured in billionths; equal ones go by the chunk order.
+UNITS = 1e9
 MAX_BROADCAST_QUERIES = 4096
 CORPUS_BLOCK = 50_000
 _SLICE = 2048
@@ -42,7 +42,7 @@ def _exact_keys(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray
     for a in range(0, len(rows), _PAIRS):
         b = a + _PAIRS
         diff = q[rows[a:b]] - x[cols[a:b]]
-        out[a:b] = np.floor(np.sqrt((diff * diff).sum(axis=1)) / DISTANCE_UNIT + 0.5)
+        out[a:b] = np.floor(np.sqrt((diff * diff).sum(axis=1)) * UNITS + 0.5)
     return out
 
 
@@ -55,7 +55,7 @@ def nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
     if x.shape[0] > k:
         scale = 1.0 + float(rough.max(initial=0.0)) + float((x * x).sum(axis=1).max(initial=0.0))
-        slack = scale * (1e-11 + 4 * DISTANCE_UNIT)
+        slack = scale * (1e-11 + 4 / UNITS)
         limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
         rows, cols = np.nonzero(rough <= limit + slack)
     else:
@@ -215,6 +215,6 @@ def vector_topk(
             "query_id",
             *ids,
             "vector_rank",
-            (F.col("distance_key") / F.lit(1 / DISTANCE_UNIT)).alias("vector_distance"),
+            (F.col("distance_key") / F.lit(UNITS)).alias("vector_distance"),
         )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.functions.chunk import ChunkOptions, chunk_sections
+from citewright.functions.chunk import ChunkOptions, chunk_rows
 from citewright.functions.embed import Embedder, HashEmbedder, embed_column
 from citewright.functions.html import extract_text
 from citewright.functions.pii import redact_pii
@@ -64,20 +64,17 @@ def redacted_texts(raw: DataFrame, text: str = "text") -> DataFrame:
 
 def chunk_filings(filings: DataFrame, options: ChunkOptions | None = None) -> DataFrame:
     """One row per chunk with its provenance. Filings without headings give none."""
-    text = F.col("canonical_text")
-    cut = filings.withColumn("sections", detect_sections(text)).withColumn(
-        "chunks", chunk_sections(text, F.col("sections"), options)
-    )
-    return cut.select(*META, "sections", F.explode("chunks").alias("c")).select(
-        F.concat(
-            F.col("accession"), F.lit(":"), F.col("c.start"), F.lit("-"), F.col("c.end")
-        ).alias("chunk_id"),
+    sectioned = filings.withColumn("sections", detect_sections(F.col("canonical_text")))
+    return chunk_rows(sectioned, list(META), options).select(
+        F.concat(F.col("accession"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end")).alias(
+            "chunk_id"
+        ),
         *META,
-        F.get("sections", F.col("c.section"))["id"].alias("section_id"),
-        F.get("sections", F.col("c.section"))["label"].alias("section_label"),
-        F.col("c.start").alias("start_offset"),
-        F.col("c.end").alias("end_offset"),
-        F.col("c.text").alias("text"),
+        F.col("section.id").alias("section_id"),
+        F.col("section.label").alias("section_label"),
+        F.col("start").alias("start_offset"),
+        F.col("end").alias("end_offset"),
+        "text",
     )
 
 
