@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.strings import (
     INLINE_SPACE,
+    SPAN,
     WORD_END,
     WORD_START,
     WS,
@@ -20,14 +21,14 @@ _GAP = f"[-.{INLINE_SPACE}\\n]"
 
 # What each kind of personal data looks like, most important first.
 # An earlier kind wins where two overlap. The e-mail pattern starts only where a
-# run of name characters starts or the last match ended, and the account pattern
-# looks ahead for digits before it looks back for the keyword: neither changes
-# what matches, both keep the scan linear.
+# run of name characters starts or the last match ended, and the others look ahead
+# for a digit before they look back: neither changes what matches, both keep the
+# scan linear and quick.
 PII_PATTERNS = {
     "email": f"(?:\\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}",
-    "ssn": f"{WORD_START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{WORD_END}",
+    "ssn": f"(?=[0-9]){WORD_START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{WORD_END}",
     "phone": (
-        f"(?:\\+?1{_GAP}?)?(?:\\([0-9]{{3}}\\){WS}?|[0-9]{{3}}{_GAP})[0-9]{{3}}{_GAP}[0-9]{{4}}{WORD_END}"
+        f"(?=[+(0-9])(?:\\+?1{_GAP}?)?(?:\\([0-9]{{3}}\\){WS}?|[0-9]{{3}}{_GAP})[0-9]{{3}}{_GAP}[0-9]{{4}}{WORD_END}"
     ),
     "account-number": (
         f"(?i)(?=[0-9]{{9}})(?<={WORD_START}(?:account|acct|a/c|routing|iban){WORD_END}[^0-9]{{0,12}})"
@@ -63,9 +64,16 @@ def detect_pii(text: Column) -> Column:
     Matches of one kind never overlap each other, so keeping the best kind first
     means: each kind in turn keeps the matches that no earlier kind has covered.
     """
-    found = F.struct(
-        *[match_spans(text, pattern).alias(f"k{i}") for i, pattern in enumerate(PII_PATTERNS.values())]
-    )
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def found(s: Column) -> Column:
+        likely = [s["text"].contains("@")] + [s["digits"]] * (len(PII_TYPES) - 1)
+        return F.struct(
+            *[
+                F.when(likely[i], match_spans(s["text"], pattern)).otherwise(none).alias(f"k{i}")
+                for i, pattern in enumerate(PII_PATTERNS.values())
+            ]
+        )
 
     def resolve(spans: Column) -> Column:
         kept = _typed(PII_TYPES[0], spans["k0"])
@@ -89,8 +97,14 @@ def detect_pii(text: Column) -> Column:
             lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0),
         )
 
-    none = F.array().cast(f"array<{PII_SPAN}>")
-    return F.when(text.rlike("@|[0-9]{3}"), let(found, resolve)).otherwise(none)
+    facts = F.struct(text.alias("text"), text.rlike("[0-9]{3}").alias("digits"))
+    nothing = F.array().cast(f"array<{PII_SPAN}>")
+    return let(
+        facts,
+        lambda s: F.when(s["digits"] | s["text"].contains("@"), let(found(s), resolve)).otherwise(
+            nothing
+        ),
+    )
 
 
 def redact_pii(text: Column) -> Column:

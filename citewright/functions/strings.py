@@ -24,7 +24,8 @@ INLINE_NO_CR = f"[{INLINE_SPACE.replace(chr(92) + 'r', '')}]"
 WORD_START = "(?<![A-Za-z0-9_])"
 WORD_END = "(?![A-Za-z0-9_])"
 
-_EDGE_SPACE = f"^{WS}++|(?<!{WS}){WS}++\\z"
+# The look-ahead rules out most positions before the dearer look-behind is tried.
+_EDGE_SPACE = f"^{WS}++|(?={WS})(?<!{WS}){WS}++\\z"
 
 
 def trim_ws(text: Column) -> Column:

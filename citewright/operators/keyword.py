@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewright.functions.tokens import index_terms, query_terms
-from citewright.session import broadcast_if, is_small
+from citewright.operators.blocks import UNITS, blockwise_topk, first_k
+from citewright.session import broadcast_if, is_small, materialise
 
 CHUNK_KEY = ("accession", "start_offset")
 
@@ -15,12 +21,12 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 
-# Scores closer than this count as equal and the chunk order decides.
-SCORE_DIGITS = 9
+MAX_BROADCAST_TERMS = 100_000
+_CELLS = 4_000_000
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    """``accession, start_offset, term, tf, n_terms`` from chunks with ``text``.
+    """The index by term: ``accession, start_offset, term, tf, n_terms``.
 
     Terms are counted on the map side first, so each chunk ships its distinct
     terms once.
@@ -34,14 +40,6 @@ def postings_of(chunks: DataFrame) -> DataFrame:
     )
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: the number of chunks and their mean length in terms."""
-    return chunks.agg(
-        F.count("*").cast("double").alias("n"),
-        (F.sum("n_terms") / F.count("*")).cast("double").alias("mean_terms"),
-    )
-
-
 def query_term_counts(queries: DataFrame) -> DataFrame:
     """``query_id, term, times``: each time a query repeats a term counts again."""
     return (
@@ -56,41 +54,140 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
 
 
-def term_weight(tf: Column, n_terms: Column, mean_terms: Column) -> Column:
-    length = F.lit(1.0 - B) + F.lit(B) * n_terms / mean_terms
-    return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * length)
+def term_frequency(chunks: DataFrame, *by: str) -> DataFrame:
+    """``*by, term, df``: in how many chunks each term occurs.
 
+    Counts are combined before the shuffle, so a term that most chunks share
+    ships one row per task.
+    """
+    terms = chunks.select(*by, F.explode(F.array_distinct("terms")).alias("term"))
+    return terms.groupBy(*by, "term").agg(F.count("*").alias("df"))
+
+
+def chunk_totals(chunks: DataFrame, *by: str) -> DataFrame:
+    """``*by, n, n_terms``: how many chunks there are and how long they are together."""
+    return chunks.groupBy(*by).agg(F.count("*").alias("n"), F.sum("n_terms").alias("n_terms"))
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """``query_id, accession, start_offset, keyword_rank, keyword_score``.
 
-    Only postings of the queried terms are read on. They are shuffled once, by
-    chunk; each task then scores its chunks for all queries and keeps the best
-    ``k`` per query, so the pairs of queries and chunks are never shuffled.
+@dataclass(frozen=True)
+class Index:
+    """What retrieval reads: chunks, and the counts that weigh their terms.
+
+    The counts may be split by bucket; they are added up per queried term.
+    ``buckets`` is set where the chunks are partitioned by a bucket column.
     """
-    asked = query_term_counts(queries)
-    small = is_small(asked)
-    vocabulary = broadcast_if(asked.select("term").distinct(), small)
-    hits = postings.join(vocabulary, "term", "left_semi").repartition(*CHUNK_KEY)
-
-    stats = corpus_stats(chunks)
-    n = stats.select("n").scalar()
-    mean_terms = stats.select("mean_terms").scalar()
-
-    frequency = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weighted = asked.join(frequency, "term").select(
-        "query_id", "term", (F.col("times") * idf(n, F.col("df"))).alias("weight")
+
+    chunks: DataFrame
+    frequency: DataFrame
+    totals: DataFrame
+    buckets: int | None = None
+
+    @classmethod
+    def of(cls, chunks: DataFrame) -> Index:
+        """Count ``chunks`` once and keep the counts."""
+        return cls(
+            chunks,
+            materialise(term_frequency(chunks).sortWithinPartitions("term"), "frequency"),
+            materialise(chunk_totals(chunks), "totals"),
+        )
+
+
+def weighted_terms(asked: DataFrame, index: Index) -> DataFrame:
+    """``query_id, term, weight, mean_terms`` of the asked terms that occur at all."""
+    found = index.frequency.join(broadcast_if(asked, is_small(asked)), "term")
+    frequency = found.groupBy("query_id", "term", "times").agg(F.sum("df").cast("double").alias("df"))
+    totals = index.totals.agg(
+        F.sum("n").cast("double").alias("n"),
+        (F.sum("n_terms") / F.sum("n")).cast("double").alias("mean_terms"),
     )
-    part = term_weight(F.col("tf"), F.col("n_terms"), mean_terms)
-    scored = (
-        hits.withColumn("part", part)
-        .join(broadcast_if(weighted, small), "term")
-        .groupBy(*CHUNK_KEY, "query_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("part")), SCORE_DIGITS).alias("keyword_score"))
+    return frequency.select(
+        "query_id",
+        "term",
+        (F.col("times") * idf(totals.select("n").scalar(), F.col("df"))).alias("weight"),
+        totals.select("mean_terms").scalar().alias("mean_terms"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), *CHUNK_KEY)
-    return (
-        scored.withColumn("keyword_rank", F.row_number().over(order))
-        .filter(F.col("keyword_rank") <= k)
-        .select("query_id", *CHUNK_KEY, "keyword_rank", "keyword_score")
+
+
+@dataclass
+class _Block:
+    vocabulary: pa.Array
+    first: np.ndarray
+    numbers: np.ndarray
+    weights: np.ndarray
+    mean_terms: float
+    n_queries: int
+
+
+class _Bm25:
+    """Adds up what each term gives to each pair of a chunk and a query that share it."""
+
+    query_columns = ("term", "weight", "mean_terms")
+    corpus_columns = ("terms",)
+
+    def prepare(self, query_rows: pa.Table) -> tuple[pa.Array, _Block]:
+        ids = query_rows["query_id"].combine_chunks().dictionary_encode()
+        terms = query_rows["term"].combine_chunks().dictionary_encode()
+        codes = terms.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        block = _Block(
+            terms.dictionary,
+            np.searchsorted(codes[order], np.arange(len(terms.dictionary) + 1)),
+            ids.indices.to_numpy(zero_copy_only=False)[order],
+            query_rows["weight"].to_numpy()[order],
+            query_rows["mean_terms"][0].as_py(),
+            len(ids.dictionary),
+        )
+        return ids.dictionary, block
+
+    def slice_rows(self, state: _Block) -> int:
+        return max(64, _CELLS // state.n_queries)
+
+    def best(self, state: _Block, part: pa.Table, k: int):
+        lists = part["terms"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        codes = pc.index_in(lists.flatten(), value_set=state.vocabulary)
+        hit = codes.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(sizes)), sizes)[hit]
+        pairs = codes.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * len(sizes) + rows
+        pairs, tf = np.unique(pairs, return_counts=True)
+        codes, rows = np.divmod(pairs, len(sizes)) if len(pairs) else (pairs, pairs)
+        length = 1.0 - B + B * sizes[rows] / state.mean_terms
+        gains = tf * (K1 + 1.0) / (tf + K1 * length)
+        scores = np.zeros((state.n_queries, len(sizes)))
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(codes))):
+            asked = slice(state.first[codes[a]], state.first[codes[a] + 1])
+            scores[state.numbers[asked][:, None], rows[a:b]] += (
+                state.weights[asked][:, None] * gains[a:b]
+            )
+        return _best_scores(scores, k)
+
+
+def _best_scores(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = -np.floor(scores * UNITS + 0.5).astype(np.int64)
+    if scores.shape[1] > k:
+        limit = np.partition(keys, k - 1, axis=1)[:, k - 1 : k]
+        numbers, rows = np.nonzero((keys <= limit) & (scores > 0))
+    else:
+        numbers, rows = np.nonzero(scores > 0)
+    keys = keys[numbers, rows]
+    keep = first_k(keys, numbers, rows, k)
+    return numbers[keep], rows[keep], keys[keep]
+
+
+def bm25_topk(
+    queries: DataFrame, index: Index, k: int, max_broadcast_terms: int = MAX_BROADCAST_TERMS
+) -> DataFrame:
+    """``query_id, accession, start_offset, keyword_rank, keyword_score``.
+
+    ``queries`` has ``query_id`` and ``query``. A chunk that shares no term with a
+    query is not in its list.
+    """
+    weighted = weighted_terms(query_term_counts(queries), index)
+    found = blockwise_topk(weighted, index.chunks, CHUNK_KEY, k, _Bm25(), max_broadcast_terms)
+    return found.select(
+        "query_id",
+        *CHUNK_KEY,
+        F.col("rank").alias("keyword_rank"),
+        (-F.col("key") / F.lit(UNITS)).alias("keyword_score"),
     )

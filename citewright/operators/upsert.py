@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citewright.session import broadcast_if, is_small
 
-# How many partitions a replaced-by-accession table has; fixed once written.
+# How many buckets a table replaced by key has unless told otherwise.
 BUCKETS = 64
 
 

@@ -1,34 +1,24 @@
-"""Exact nearest neighbours by L2 distance, for a whole batch of queries.
-
-Each task scores the vectors it holds against a block of queries with a matrix
-product and keeps the best ``k`` per query, so what is shuffled is ``k`` rows per
-query and task and never a pair table. A batch of queries that is small enough
-goes to the tasks as a broadcast; a larger one is cut into blocks that meet
-blocks of the corpus in a co-grouped shuffle.
-"""
+"""Exact nearest neighbours by L2 distance, for a whole batch of queries."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Distances are measured in billionths; equal ones go by the chunk order.
-UNITS = 1e9
+from citewright.operators.blocks import UNITS, blockwise_topk, first_k
+
 MAX_BROADCAST_QUERIES = 4096
-CORPUS_BLOCK = 50_000
 _SLICE = 2048
 _PAIRS = 65_536
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, dims: int | None = None) -> np.ndarray:
     """A list column as a float64 matrix; all rows must have the same size."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.combine_chunks()
     sizes = np.unique(flat.value_lengths().to_numpy(zero_copy_only=False)) if len(flat) else []
     if len(sizes) > 1 or (dims is not None and len(sizes) and sizes[0] != dims):
         raise ValueError(f"embedding sizes {list(sizes)} do not match {dims}")
@@ -37,7 +27,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.n
 
 
 def _exact_keys(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Distances of the given pairs, summed directly, in whole distance units."""
+    """Distances of the given pairs, summed directly."""
     out = np.empty(len(rows), dtype=np.int64)
     for a in range(0, len(rows), _PAIRS):
         b = a + _PAIRS
@@ -52,139 +42,32 @@ def nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     The matrix product only narrows the candidates: its rounding error is bounded,
     so whatever could still be among the best ``k`` is measured again directly.
     """
-    rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
+    squares = (x * x).sum(axis=1)
+    rough = (q * q).sum(axis=1)[:, None] + squares[None, :] - 2.0 * (q @ x.T)
     if x.shape[0] > k:
-        scale = 1.0 + float(rough.max(initial=0.0)) + float((x * x).sum(axis=1).max(initial=0.0))
+        scale = 1.0 + float(rough.max(initial=0.0)) + float(squares.max(initial=0.0))
         slack = scale * (1e-11 + 4 / UNITS)
         limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
         rows, cols = np.nonzero(rough <= limit + slack)
     else:
         rows, cols = np.nonzero(np.ones(rough.shape, dtype=bool))
     keys = _exact_keys(q, x, rows, cols)
-    order = np.lexsort((cols, keys, rows))
-    rows, cols, keys = rows[order], cols[order], keys[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
+    keep = first_k(keys, rows, cols, k)
     return rows[keep], cols[keep], keys[keep]
 
 
-class _Best:
-    """The best ``k`` rows per query so far, as an Arrow table."""
-
-    def __init__(self, ids: Sequence[str], k: int) -> None:
-        self.ids, self.k = list(ids), k
-        self.parts: list[pa.Table] = []
-        self.rows = 0
-        self.floor = 0
-
-    def add(self, part: pa.Table) -> None:
-        self.parts.append(part)
-        self.rows += part.num_rows
-        if self.rows > 100_000 + 4 * self.floor:
-            self.parts = [self.result()]
-            self.rows = self.floor = self.parts[0].num_rows
-
-    def result(self) -> pa.Table:
-        table = pa.concat_tables(self.parts).sort_by(
-            [("query_no", "ascending"), ("distance_key", "ascending")]
-            + [(name, "ascending") for name in self.ids]
-        )
-        numbers = table["query_no"].to_numpy()
-        rank = np.arange(len(numbers)) - np.searchsorted(numbers, numbers, side="left")
-        return table.filter(pa.array(rank < self.k))
-
-
-def _scan(
-    batches: Iterable[pa.RecordBatch | pa.Table],
-    query_ids: pa.Array,
-    queries: np.ndarray,
-    ids: Sequence[str],
-    k: int,
-) -> pa.Table | None:
-    best = _Best(ids, k)
-    for batch in batches:
-        table = pa.table(batch) if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
-        for at in range(0, table.num_rows, _SLICE):
-            part = table.slice(at, _SLICE).sort_by([(name, "ascending") for name in ids])
-            x = _matrix(part["embedding"], queries.shape[1])
-            rows, cols, keys = nearest(queries, x, k)
-            picked = part.select(list(ids)).take(pa.array(cols))
-            best.add(
-                picked.append_column("query_no", pa.array(rows, pa.int64())).append_column(
-                    "distance_key", pa.array(keys, pa.int64())
-                )
-            )
-    if not best.parts:
-        return None
-    table = best.result()
-    table = table.append_column("query_id", query_ids.take(table["query_no"]))
-    return table.select(["query_id", *ids, "distance_key"])
-
-
-def _output(queries: DataFrame, corpus: DataFrame, ids: Sequence[str]) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            *[T.StructField(name, corpus.schema[name].dataType) for name in ids],
-            T.StructField("distance_key", T.LongType()),
-        ]
-    )
+class _L2:
+    query_columns = ("embedding",)
+    corpus_columns = ("embedding",)
 
+    def prepare(self, query_rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        return query_rows["query_id"].combine_chunks(), _matrix(query_rows["embedding"])
 
-def _broadcast_scan(
-    block: pa.Table, queries: DataFrame, corpus: DataFrame, ids: Sequence[str], k: int
-) -> DataFrame:
-    context = corpus.sparkSession.sparkContext
-    shared = context.broadcast(
-        (block["query_id"].combine_chunks(), _matrix(block["embedding"]).astype(np.float64))
-    )
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        table = _scan(batches, query_ids, matrix, ids, k)
-        if table is not None:
-            yield from table.to_batches()
+    def slice_rows(self, state: np.ndarray) -> int:
+        return _SLICE
 
-    return corpus.select(*ids, "embedding").mapInArrow(best, _output(queries, corpus, ids))
-
-
-def _block_scan(
-    queries: DataFrame, corpus: DataFrame, ids: Sequence[str], k: int, block: int
-) -> DataFrame:
-    """Both sides cut into blocks by hash; each pair of blocks meets in one group."""
-    query_blocks = max(1, math.ceil(queries.count() / block))
-    corpus_blocks = max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
-    left = queries.select(
-        "query_id",
-        "embedding",
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).cast("long").alias("cb"),
-    )
-    right = corpus.select(
-        *ids,
-        "embedding",
-        F.pmod(F.xxhash64(*ids), F.lit(corpus_blocks)).alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long").alias("qb"),
-    )
-    schema = _output(queries, corpus, ids)
-
-    def best(query_rows: pa.Table, corpus_rows: pa.Table) -> pa.Table:
-        table = None
-        if query_rows.num_rows and corpus_rows.num_rows:
-            query_ids = query_rows["query_id"].combine_chunks()
-            matrix = _matrix(query_rows["embedding"])
-            table = _scan([corpus_rows], query_ids, matrix, ids, k)
-        if table is None:
-            return pa.table(
-                {
-                    "query_id": query_rows["query_id"].slice(0, 0),
-                    **{name: corpus_rows[name].slice(0, 0) for name in ids},
-                    "distance_key": pa.array([], pa.int64()),
-                }
-            )
-        return table
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(best, schema)
+    def best(self, state: np.ndarray, part: pa.Table, k: int):
+        return nearest(state, _matrix(part["embedding"], state.shape[1]), k)
 
 
 def vector_topk(
@@ -199,22 +82,10 @@ def vector_topk(
     ``queries`` has ``query_id`` and ``embedding``; ``corpus`` has ``ids``, which
     order equal distances, and ``embedding``.
     """
-    side = queries.select("query_id", "embedding")
-    head = side.limit(max_broadcast_queries + 1).toArrow()
-    if head.num_rows == 0:
-        found = corpus.sparkSession.createDataFrame([], _output(queries, corpus, ids))
-    elif head.num_rows <= max_broadcast_queries:
-        found = _broadcast_scan(head, queries, corpus, ids, k)
-    else:
-        found = _block_scan(side, corpus, ids, k, max_broadcast_queries)
-    order = Window.partitionBy("query_id").orderBy("distance_key", *ids)
-    return (
-        found.withColumn("vector_rank", F.row_number().over(order))
-        .filter(F.col("vector_rank") <= k)
-        .select(
-            "query_id",
-            *ids,
-            "vector_rank",
-            (F.col("distance_key") / F.lit(UNITS)).alias("vector_distance"),
-        )
+    found = blockwise_topk(queries, corpus, ids, k, _L2(), max_broadcast_queries)
+    return found.select(
+        "query_id",
+        *ids,
+        F.col("rank").alias("vector_rank"),
+        (F.col("key") / F.lit(UNITS)).alias("vector_distance"),
     )

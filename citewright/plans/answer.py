@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citewright.functions.citations import (
@@ -15,6 +15,7 @@ from citewright.functions.citations import (
 from citewright.functions.embed import Embedder, HashEmbedder
 from citewright.functions.generation import Generator, grounded_generator
 from citewright.functions.pii import redact_pii
+from citewright.operators.keyword import Index
 from citewright.plans.retrieve import RetrieveOptions, hybrid_retrieve, retrieved_array
 from citewright.session import materialise
 
@@ -109,8 +110,7 @@ def answer_retrieved(
 
 def answer_queries(
     queries: DataFrame,
-    chunks: DataFrame,
-    postings: DataFrame,
+    index: Index,
     generator: Generator | None = None,
     verifier: Verifier | None = None,
     embedder: Embedder | None = None,
@@ -119,11 +119,26 @@ def answer_queries(
 ) -> DataFrame:
     """The whole flow for ``query_id, query, created_at``; see ``answer_retrieved``."""
     emb = embedder or HashEmbedder()
-    retrieved = hybrid_retrieve(queries, chunks, postings, emb, options)
+    retrieved = hybrid_retrieve(queries, index, emb, options)
     rows = retrieved_array(queries, retrieved)
     return answer_retrieved(rows, generator, verifier, emb.id, min_top_rrf)
 
 
+def observed(answers: DataFrame, observation: Observation) -> DataFrame:
+    """``answers`` with its counts and cost recorded while it is computed."""
+    best = F.array_max(F.transform("retrieved", lambda r: r["rrf"]))
+    return answers.observe(
+        observation,
+        F.count("*").alias("queries"),
+        F.count_if(F.col("verdict") == "answered").alias("answered"),
+        F.count_if(F.col("verdict") == "refused").alias("refused"),
+        F.sum(F.size("retrieved")).alias("retrieved_count"),
+        F.max(best).alias("top_rrf"),
+        F.sum(F.coalesce(F.size("claims"), F.lit(0))).alias("claim_count"),
+        F.sum("cost_usd").alias("cost_usd"),
+    )
+
+
 def answer_trace(answers: DataFrame) -> DataFrame:
     """A flat summary of each answer and the steps that ran for it."""
     claims = F.coalesce("claims", F.array().cast(answers.schema["claims"].dataType))

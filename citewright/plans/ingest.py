@@ -79,10 +79,13 @@ def chunk_filings(filings: DataFrame, options: ChunkOptions | None = None) -> Da
 
 
 def with_features(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """Add ``embedding`` and ``n_terms``, all that ranking needs besides postings."""
-    return chunks.withColumn(
-        "embedding", embed_column(F.col("text"), embedder or HashEmbedder())
-    ).withColumn("n_terms", F.size(index_terms(F.col("text"))))
+    """Add ``embedding``, ``terms`` and ``n_terms``, which are all that ranking reads."""
+    return chunks.withColumns(
+        {
+            "embedding": embed_column(F.col("text"), embedder or HashEmbedder()),
+            "terms": index_terms(F.col("text")),
+        }
+    ).withColumn("n_terms", F.size("terms"))
 
 
 def ingest_summary(filings: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from citewright.functions.embed import Embedder, HashEmbedder, embed_column
 from citewright.operators.fusion import RRF_K, fuse_two
-from citewright.operators.keyword import CHUNK_KEY, bm25_topk
+from citewright.operators.keyword import CHUNK_KEY, Index, bm25_topk
+from citewright.operators.upsert import bucket_of
 from citewright.operators.vector import vector_topk
 from citewright.session import broadcast_if, is_small, materialise
 
@@ -18,6 +19,9 @@ PROVENANCE = (
     "section_id", "section_label", "start_offset", "end_offset",
 )
 
+# Up to this many winners, their accessions become a filter on the chunk scan.
+FEW = 64
+
 
 @dataclass(frozen=True)
 class RetrieveOptions:
@@ -37,43 +41,49 @@ def embed_queries(queries: DataFrame, embedder: Embedder | None = None) -> DataF
 
 def hybrid_ranking(
     queries: DataFrame,
-    chunks: DataFrame,
-    postings: DataFrame,
+    index: Index,
     embedder: Embedder | None = None,
     options: RetrieveOptions | None = None,
 ) -> DataFrame:
     """Fused winners per query, by chunk key only: texts stay out of the ranking.
 
-    ``queries`` has ``query_id`` and ``query``; ``chunks`` has the chunk key,
-    ``embedding`` and ``n_terms``.
+    ``queries`` has ``query_id`` and ``query``.
     """
     opts = options or RetrieveOptions()
-    vector = vector_topk(embed_queries(queries, embedder), chunks, opts.vector_k, CHUNK_KEY)
-    keyword = bm25_topk(queries, chunks, postings, opts.keyword_k)
+    vector = vector_topk(
+        embed_queries(queries, embedder), index.chunks, opts.vector_k, CHUNK_KEY
+    )
+    keyword = bm25_topk(queries, index, opts.keyword_k)
     return fuse_two(vector, keyword, CHUNK_KEY, opts.top_k, opts.rrf_k)
 
 
-def hydrate(ranking: DataFrame, chunks: DataFrame) -> DataFrame:
+def hydrate(ranking: DataFrame, index: Index) -> DataFrame:
     """Join winners with their chunk rows; a winner without a row is dropped.
 
     The winners are written once and counted: a batch small enough is broadcast,
-    so the chunk table is read but not shuffled.
+    so the chunk table is read but not shuffled. Buckets prune that read
+    to the winners' buckets, and a handful of winners also to their row groups.
     """
     winners = materialise(ranking, "winners")
-    return chunks.select(*PROVENANCE, "text").join(
-        broadcast_if(winners, is_small(winners)), list(CHUNK_KEY)
-    )
+    bucket = ["bucket"] if index.buckets else []
+    rows = index.chunks.select(*PROVENANCE, "text", *bucket)
+    few = [row["accession"] for row in winners.select("accession").limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        rows = rows.filter(F.col("accession").isin(sorted(set(few))))
+    small = len(few) <= FEW or is_small(winners)
+    if bucket:
+        winners = winners.withColumn("bucket", bucket_of(F.col("accession"), index.buckets))
+    return rows.join(broadcast_if(winners, small), [*bucket, *CHUNK_KEY]).drop(*bucket)
 
 
 def hybrid_retrieve(
     queries: DataFrame,
-    chunks: DataFrame,
-    postings: DataFrame,
+    index: Index,
     embedder: Embedder | None = None,
     options: RetrieveOptions | None = None,
 ) -> DataFrame:
     """One row per query and retrieved chunk, with text, provenance and scores."""
-    return hydrate(hybrid_ranking(queries, chunks, postings, embedder, options), chunks)
+    return hydrate(hybrid_ranking(queries, index, embedder, options), index)
 
 
 def retrieved_array(queries: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import pandas as pd
@@ -21,6 +22,33 @@ def http_get(url: str, user_agent: str) -> str:
         return response.read().decode("utf-8", errors="replace")
 
 
+@dataclass(frozen=True)
+class JsonPost:
+    """POST a JSON body and return the reply; any status but success raises."""
+
+    url: str
+    headers: tuple[tuple[str, str], ...]
+
+    def __call__(self, body: str) -> str:
+        headers = {"Content-Type": "application/json", **dict(self.headers)}
+        request = urllib.request.Request(self.url, body.encode(), headers, method="POST")
+        with urllib.request.urlopen(request, timeout=300) as response:
+            return response.read().decode()
+
+
+def model_post(api_key: str) -> JsonPost:
+    return JsonPost(
+        "https://api.anthropic.com/v1/messages",
+        (("x-api-key", api_key), ("anthropic-version", "2023-06-01")),
+    )
+
+
+def embedding_post(api_key: str) -> JsonPost:
+    return JsonPost(
+        "https://api.voyageai.com/v1/embeddings", (("Authorization", f"Bearer {api_key}"),)
+    )
+
+
 def fetch_documents(
     urls: DataFrame,
     user_agent: str,

@@ -1,8 +1,13 @@
 """The index on shared storage: parquet tables under one root folder.
 
-``filings``, ``chunks`` and ``postings`` are partitioned by a hash bucket of the
-accession, so that ingesting a filing again rewrites only the buckets it touches.
-``audit`` only ever grows. ``meta`` pins the size of the vectors.
+``filings`` and ``chunks`` are partitioned by a hash bucket of the accession, so
+that ingesting a filing again rewrites only the buckets it touches; ``frequency``
+and ``totals`` count the terms and chunks of each bucket. ``audit`` only ever
+grows. ``meta`` pins the vector size and the number of buckets: choose the latter
+so that one bucket is what a single ingest may rewrite.
+
+Each table is swapped atomically, the tables one after another. An ingest that
+fails in between is repaired by running it again, which replaces the same rows.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from pyspark.sql import functions as F
 from citewright.functions.chunk import ChunkOptions
 from citewright.functions.embed import Embedder, HashEmbedder
 from citewright.operators.audit import duplicate_requests, to_audit_rows
-from citewright.operators.keyword import postings_of
-from citewright.operators.upsert import bucket_of, replace_by_key
+from citewright.operators.keyword import Index, chunk_totals, term_frequency
+from citewright.operators.upsert import BUCKETS, bucket_of, replace_by_key
 from citewright.plans.ingest import (
     canonical_filings,
     chunk_filings,
@@ -26,6 +31,8 @@ from citewright.plans.ingest import (
 )
 from citewright.session import materialise
 
+META_SCHEMA = "key string, value string"
+
 AUDIT_SCHEMA = """
     request_id string, created_at string, query string, verdict string, refusal_reason string,
     answer string, retrieved_json string, claims_json string, verification_json string,
@@ -39,25 +46,30 @@ class Store:
     spark: SparkSession
     root: str
     dimensions: int
+    buckets: int
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, dimensions: int) -> Store:
+    def create(cls, spark: SparkSession, root: str, dimensions: int, buckets: int = BUCKETS) -> Store:
         """Open ``root``, setting it up if it is new; the vector size must agree."""
-        found = _pinned_dimensions(spark, root)
-        if found is None:
-            meta = spark.createDataFrame([("embedding_dimensions", str(dimensions))], "key string, value string")
-            meta.coalesce(1).write.mode("append").json(f"{root}/meta")
-        elif found != dimensions:
-            raise ValueError(f"store was built with {found} dimensions, not {dimensions}")
-        return cls(spark, root, dimensions)
+        pinned = _pinned(spark, root)
+        if pinned is None:
+            pinned = {"embedding_dimensions": dimensions, "buckets": buckets}
+            rows = [(key, str(value)) for key, value in pinned.items()]
+            meta = spark.createDataFrame(rows, META_SCHEMA).coalesce(1)
+            meta.write.mode("append").json(f"{root}/meta")
+        elif pinned["embedding_dimensions"] != dimensions:
+            raise ValueError(
+                f"store was built with {pinned['embedding_dimensions']} dimensions, not {dimensions}"
+            )
+        return cls(spark, root, dimensions, pinned["buckets"])
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Store:
         """Open an existing store and read its vector size from it."""
-        found = _pinned_dimensions(spark, root)
-        if found is None:
+        pinned = _pinned(spark, root)
+        if pinned is None:
             raise FileNotFoundError(f"no store at {root}")
-        return cls(spark, root, found)
+        return cls(spark, root, pinned["embedding_dimensions"], pinned["buckets"])
 
     def _read(self, name: str) -> DataFrame | None:
         return _read(self.spark, f"{self.root}/{name}")
@@ -68,8 +80,9 @@ class Store:
     def chunks(self) -> DataFrame:
         return self._need("chunks")
 
-    def postings(self) -> DataFrame:
-        return self._need("postings")
+    def index(self) -> Index:
+        """Chunks and counts, with the bucket column pruning reads of single chunks."""
+        return Index(self.chunks(), self._need("frequency"), self._need("totals"), self.buckets)
 
     def audit(self) -> DataFrame:
         log = _read(self.spark, f"{self.root}/audit", AUDIT_SCHEMA)
@@ -96,39 +109,50 @@ class Store:
         emb = embedder or HashEmbedder()
         if emb.dimensions != self.dimensions:
             raise ValueError(f"store holds {self.dimensions} dimensions, embedder gives {emb.dimensions}")
+        bucket = bucket_of(F.col("accession"), self.buckets)
         when = F.lit(ingested_at) if ingested_at else F.date_format(
             F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
         )
         filings = materialise(
             canonical_filings(require_valid_meta(raw))
             .withColumn("ingested_at", when)
-            .withColumn("bucket", bucket_of(F.col("accession"))),
+            .withColumn("bucket", bucket),
             "filings",
         )
         _require_unique(filings)
-        bucket = bucket_of(F.col("accession"))
         chunks = materialise(
             with_features(chunk_filings(filings, options), emb).withColumn("bucket", bucket), "chunks"
         )
-        postings = materialise(postings_of(chunks).withColumn("bucket", bucket), "postings")
-        for name, table, order in (
-            ("postings", postings, ["term"]),
-            ("chunks", chunks, ["accession", "start_offset"]),
-            ("filings", filings, ["accession"]),
-        ):
-            self._replace(name, table, filings, order)
+        touched = [row["bucket"] for row in filings.select("bucket").distinct().collect()]
+        self._replace("chunks", chunks, filings, touched, ["accession", "start_offset"])
+        self._replace("filings", filings, filings, touched, ["accession"])
+        self._recount(touched)
         return filings
 
-    def _replace(self, name: str, incoming: DataFrame, filings: DataFrame, order: list[str]) -> None:
+    def _replace(
+        self, name: str, incoming: DataFrame, filings: DataFrame, touched: list[int], order: list[str]
+    ) -> None:
         """Swap in the touched buckets. A filing that lost all its chunks loses its rows too."""
-        touched = [row["bucket"] for row in filings.select("bucket").distinct().collect()]
         stored = self._read(name)
         merged = incoming
-        if stored is not None and touched:
+        if stored is not None:
             old = stored.filter(F.col("bucket").isin(touched))
             merged = materialise(replace_by_key(old, incoming, filings, ["accession"]), name)
+        self._overwrite(name, merged, order)
+
+    def _recount(self, touched: list[int]) -> None:
+        """Bring the term counts of the touched buckets up to date."""
+        chunks = self.chunks().filter(F.col("bucket").isin(touched))
+        self._overwrite("frequency", term_frequency(chunks, "bucket"), ["term"])
+        self._overwrite("totals", chunk_totals(chunks, "bucket"), [])
+
+    def _overwrite(self, name: str, rows: DataFrame, order: list[str]) -> None:
+        """Write whole buckets, as many files each as their size asks for.
+
+        Files hold sorted ranges, so that scans can skip files and row groups.
+        """
         (
-            merged.repartition("bucket", *order[:1])
+            rows.repartitionByRange("bucket", *order)
             .sortWithinPartitions("bucket", *order)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -161,12 +185,11 @@ def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
         raise
 
 
-def _pinned_dimensions(spark: SparkSession, root: str) -> int | None:
+def _pinned(spark: SparkSession, root: str) -> dict[str, int] | None:
     try:
-        meta = spark.read.schema("key string, value string").json(f"{root}/meta")
+        meta = spark.read.schema(META_SCHEMA).json(f"{root}/meta")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    row = meta.filter("key = 'embedding_dimensions'").first()
-    return int(row["value"]) if row else None
+    return {row["key"]: int(row["value"]) for row in meta.limit(10).collect()} or None

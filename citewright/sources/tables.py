@@ -13,7 +13,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.operators.keyword import postings_of
+from citewright.operators.keyword import Index
 from citewright.plans.ingest import chunk_filings, redacted_texts, with_features
 from citewright.session import materialise, spread
 
@@ -113,13 +113,14 @@ class Tables:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Their chunks with vectors and term counts, written once."""
-        return materialise(with_features(chunk_filings(spread(self.filings, "accession"))), "chunks")
+        """Their chunks with vectors and terms, written once."""
+        cut = chunk_filings(spread(self.filings, "accession"))
+        return materialise(with_features(cut).sortWithinPartitions("accession", "start_offset"), "chunks")
 
     @cached_property
-    def postings(self) -> DataFrame:
-        """Their keyword index, written once with the terms clustered."""
-        return materialise(postings_of(self.chunks).sortWithinPartitions("term"), "postings")
+    def index(self) -> Index:
+        """The chunks with their term counts, counted once."""
+        return Index.of(self.chunks)
 
 
 @lru_cache(maxsize=8)

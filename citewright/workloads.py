@@ -227,11 +227,11 @@ def _vector(t: Tables) -> DataFrame:
 
 
 def _keyword(t: Tables) -> DataFrame:
-    return bm25_topk(t.queries(), t.chunks, t.postings, 20)
+    return bm25_topk(t.queries(), t.index, 20)
 
 
 def _retrieved(t: Tables) -> DataFrame:
-    return hybrid_retrieve(t.queries(), t.chunks, t.postings)
+    return hybrid_retrieve(t.queries(), t.index)
 
 
 def _arrays(t: Tables) -> DataFrame:
@@ -533,7 +533,7 @@ def _answers(t: Tables, skeptic: bool = False) -> DataFrame:
 @_register
 def answer_or_refuse(t: Tables) -> DataFrame:
     """The whole flow: retrieve, gate, generate, resolve, verify, gate, record."""
-    done = answer_queries(t.queries(), t.chunks, t.postings, mixed_generator())
+    done = answer_queries(t.queries(), t.index, mixed_generator())
     return done.select(
         "request_id", "created_at", "query", "verdict", "refusal_reason", "answer", "message",
         F.array_join(F.transform("retrieved", lambda r: r["chunk_id"]), ",").alias("retrieved"),
