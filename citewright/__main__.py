@@ -101,7 +101,7 @@ def query(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def export(spark: SparkSession, args: argparse.Namespace) -> int:
     store = Store.open(spark, args.store)
-    snapshot = build_snapshot(store.filings(), store.audit())
+    snapshot = build_snapshot(store.filings(), store.records())
     whole = write_snapshot(snapshot, args.out, _now())
     print(
         f"wrote snapshot to {args.out}{'' if whole else ' in parts'}: "

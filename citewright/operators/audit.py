@@ -45,8 +45,30 @@ def duplicate_requests(incoming: DataFrame, log: DataFrame | None = None) -> Dat
     return repeated.union(known).distinct()
 
 
-def parse_json(column: str, schema: str) -> Column:
-    return F.from_json(F.col(column), schema)
+RETRIEVED = """array<struct<chunk_id:string,company:string,accession:string,section_id:string,
+    section_label:string,rrf:double,vector_rank:int,keyword_rank:int,vector_distance:double>>"""
+
+_PROVENANCE = """struct<cik:string,accession:string,company:string,form:string,filing_date:string,
+    section_id:string,section_label:string,start_offset:int,end_offset:int>"""
+
+CLAIMS = f"""array<struct<text:string,citations:array<struct<chunk_id:string,chunk_found:boolean,
+    quote:string,quote_found:boolean,span:struct<start_offset:int,end_offset:int>,
+    provenance:{_PROVENANCE}>>,supported:boolean>>"""
+
+VERIFICATION = """struct<verdict:string,claims:array<struct<claim:string,deterministic_ok:boolean,
+    judge:struct<entailed:boolean,confidence:double,rationale:string>,verified:boolean>>,
+    verifier_id:string,cost_usd:double>"""
+
+
+def audit_records(log: DataFrame) -> DataFrame:
+    """The log with its JSON parts as nested columns; an absent part stays null."""
+    return log.withColumns(
+        {
+            "retrieved": F.from_json("retrieved_json", RETRIEVED),
+            "claims": F.from_json("claims_json", CLAIMS),
+            "verification": F.from_json("verification_json", VERIFICATION),
+        }
+    ).drop("retrieved_json", "claims_json", "verification_json")
 
 
 def audit_filter(

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Rows a side may have before it is joined without a broadcast hint.
 MAX_BROADCAST_ROWS = 200_000
 
+# Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -36,12 +39,14 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local session may do without: it gets a folder of its own, once.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="citewright-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="citewright-")
+    return _own_folders[context.applicationId]
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.operators.audit import audit_list
+from citewright.operators.audit import CLAIMS, RETRIEVED, VERIFICATION, audit_list
 
 # Fixed value: how many audit rows a snapshot holds.
 AUDIT_LIMIT = 1000
@@ -88,30 +88,29 @@ def document(snapshot: Snapshot, generated_at: str) -> DataFrame:
     texts = snapshot.texts.agg(
         F.map_from_entries(F.collect_list(F.struct("accession", "canonical_text"))).alias("texts")
     )
-    nested = [c for c in snapshot.audit.columns]
-    audit = snapshot.audit.agg(
-        F.reverse(
-            F.array_sort(F.collect_list(F.struct("created_at", "request_id", F.struct(*nested).alias("row"))))
-        ).alias("audit")
+    row = F.struct(*snapshot.audit.columns).alias("row")
+    newest_first = F.reverse(
+        F.sort_array(F.collect_list(F.struct("created_at", "request_id", row)))
     )
+    audit = snapshot.audit.agg(F.transform(newest_first, lambda a: a["row"]).alias("audit"))
     body = F.struct(
         F.lit(generated_at).alias("generatedAt"),
         filings.select("filings").scalar().alias("filings"),
         texts.select("texts").scalar().alias("canonicalTexts"),
-        F.transform(audit.select("audit").scalar(), lambda a: a["row"]).alias("audit"),
+        audit.select("audit").scalar().alias("audit"),
     )
     spark: SparkSession = snapshot.filings.sparkSession
     return spark.range(1).select(F.to_json(body, {"pretty": "true"}).alias("value"))
 
 
-SNAPSHOT_SCHEMA = """
+SNAPSHOT_SCHEMA = f"""
     generatedAt string,
     filings array<struct<cik:string,accession:string,company:string,form:string,filingDate:string>>,
     canonicalTexts map<string,string>,
     audit array<struct<request_id:string,created_at:string,query:string,verdict:string,
-        refusal_reason:string,answer:string,retrieved_json:string,claims_json:string,
-        verification_json:string,embedder_id:string,generation_model:string,verifier_id:string,
-        cost_usd:double,latency_ms:bigint>>
+        refusal_reason:string,answer:string,embedder_id:string,generation_model:string,
+        verifier_id:string,cost_usd:double,latency_ms:bigint,
+        retrieved:{RETRIEVED},claims:{CLAIMS},verification:{VERIFICATION}>>
 """
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.chunk import ChunkOptions
 from citewright.functions.embed import Embedder, HashEmbedder
-from citewright.operators.audit import duplicate_requests, to_audit_rows
+from citewright.operators.audit import audit_records, duplicate_requests, to_audit_rows
 from citewright.operators.keyword import Index, chunk_totals, term_frequency
 from citewright.operators.upsert import BUCKETS, bucket_of, replace_by_key
 from citewright.plans.ingest import (
@@ -88,6 +88,10 @@ class Store:
         log = _read(self.spark, f"{self.root}/audit", AUDIT_SCHEMA)
         return self.spark.createDataFrame([], AUDIT_SCHEMA) if log is None else log
 
+    def records(self) -> DataFrame:
+        """The audit log with its nested parts parsed."""
+        return audit_records(self.audit())
+
     def _need(self, name: str) -> DataFrame:
         table = self._read(name)
         if table is None:
