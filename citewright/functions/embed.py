@@ -21,6 +21,7 @@ class Embedder(Protocol):
 
     id: str
     dimensions: int
+    remote: bool
 
     def embed(self, texts: Sequence[str]) -> np.ndarray: ...
 
@@ -52,6 +53,7 @@ class HashEmbedder:
     """Counts tokens by hash bucket and scales to unit length. Needs no network."""
 
     dimensions: int = 256
+    remote: bool = False
 
     @property
     def id(self) -> str:
@@ -84,6 +86,7 @@ class RemoteEmbedder:
     model: str = "voyage-3"
     size: int | None = None
     input_type: str = "document"
+    remote: bool = True
 
     @property
     def dimensions(self) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.session import broadcast_if, is_small
+from citewright.session import pinned
 
 # Fixed value: how many rows a listing gives unless told otherwise.
 LIST_LIMIT = 100
@@ -38,10 +38,8 @@ def duplicate_requests(incoming: DataFrame, log: DataFrame | None = None) -> Dat
     ).select("request_id")
     if log is None:
         return repeated
-    asked = incoming.select("request_id").distinct()
-    known = log.select("request_id").join(
-        broadcast_if(asked, is_small(asked)), "request_id", "left_semi"
-    )
+    asked, _ = pinned(incoming.select("request_id").distinct())
+    known = log.select("request_id").join(asked, "request_id", "left_semi")
     return repeated.union(known).distinct()
 
 

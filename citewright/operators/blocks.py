@@ -34,6 +34,9 @@ class Scorer(Protocol):
     query_columns: Sequence[str]
     corpus_columns: Sequence[str]
 
+    def narrow(self, corpus: DataFrame, query_rows: pa.Table) -> DataFrame:
+        """``corpus`` without what cannot score against a broadcast block of queries."""
+
     def prepare(self, query_rows: pa.Table) -> tuple[pa.Array, Any]:
         """The ids of the queries, in the order scores refer to them, and a state."""
 
@@ -176,7 +179,7 @@ def blockwise_topk(
     if head.num_rows == 0:
         found = corpus.sparkSession.createDataFrame([], schema)
     elif head.num_rows <= max_broadcast_rows:
-        found = _broadcast(head, corpus_side, schema, ids, k, scorer)
+        found = _broadcast(head, scorer.narrow(corpus_side, head), schema, ids, k, scorer)
     else:
         query_side = materialise(query_side, "query-rows")
         found = _cogroup(query_side, corpus_side, schema, ids, k, scorer, max_broadcast_rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.tokens import index_terms, query_terms
 from citewright.operators.blocks import UNITS, blockwise_topk, first_k
-from citewright.session import broadcast_if, is_small, materialise
+from citewright.session import materialise, pinned
 
 CHUNK_KEY = ("accession", "start_offset")
 
@@ -22,6 +22,8 @@ B = 0.75
 IDF_FLOOR = 1e-6
 
 MAX_BROADCAST_TERMS = 100_000
+# Up to this many distinct terms, they become a filter on the chunk scan.
+MAX_LITERAL_TERMS = 10_000
 _CELLS = 4_000_000
 
 
@@ -94,7 +96,8 @@ class Index:
 
 def weighted_terms(asked: DataFrame, index: Index) -> DataFrame:
     """``query_id, term, weight, mean_terms`` of the asked terms that occur at all."""
-    found = index.frequency.join(broadcast_if(asked, is_small(asked)), "term")
+    asked, _ = pinned(asked)
+    found = index.frequency.join(asked, "term")
     frequency = found.groupBy("query_id", "term", "times").agg(F.sum("df").cast("double").alias("df"))
     totals = index.totals.agg(
         F.sum("n").cast("double").alias("n"),
@@ -122,7 +125,17 @@ class _Bm25:
     """Adds up what each term gives to each pair of a chunk and a query that share it."""
 
     query_columns = ("term", "weight", "mean_terms")
-    corpus_columns = ("terms",)
+    corpus_columns = ("terms", "n_terms")
+
+    def narrow(self, corpus: DataFrame, query_rows: pa.Table) -> DataFrame:
+        """Only asked terms leave the JVM."""
+        asked = pc.unique(query_rows["term"]).to_pylist()
+        if len(asked) > MAX_LITERAL_TERMS:
+            return corpus
+        # Query terms are letters and digits only; one expression text parses faster
+        # than that many column literals are built.
+        listed = ", ".join(f"'{term}'" for term in sorted(asked))
+        return corpus.withColumn("terms", F.expr(f"filter(terms, t -> t IN ({listed}))"))
 
     def prepare(self, query_rows: pa.Table) -> tuple[pa.Array, _Block]:
         ids = query_rows["query_id"].combine_chunks().dictionary_encode()
@@ -151,7 +164,8 @@ class _Bm25:
         pairs = codes.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * len(sizes) + rows
         pairs, tf = np.unique(pairs, return_counts=True)
         codes, rows = np.divmod(pairs, len(sizes)) if len(pairs) else (pairs, pairs)
-        length = 1.0 - B + B * sizes[rows] / state.mean_terms
+        n_terms = part["n_terms"].to_numpy()
+        length = 1.0 - B + B * n_terms[rows] / state.mean_terms
         gains = tf * (K1 + 1.0) / (tf + K1 * length)
         scores = np.zeros((state.n_queries, len(sizes)))
         starts = np.flatnonzero(np.diff(codes, prepend=-1))

@@ -60,6 +60,9 @@ class _L2:
     query_columns = ("embedding",)
     corpus_columns = ("embedding",)
 
+    def narrow(self, corpus: DataFrame, query_rows: pa.Table) -> DataFrame:
+        return corpus
+
     def prepare(self, query_rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
         return query_rows["query_id"].combine_chunks(), _matrix(query_rows["embedding"])
 

@@ -139,6 +139,37 @@ def observed(answers: DataFrame, observation: Observation) -> DataFrame:
     )
 
 
+def cassettes(answers: DataFrame, recorded_at: str) -> DataFrame:
+    """``case_id, value``: each answer's summary, steps and cost as one JSON text.
+
+    Latency is a constant, so that recording twice gives the same text.
+    """
+    flat = answer_trace(answers)
+    output = F.struct(
+        "verdict",
+        F.col("refusal_reason").alias("refusalReason"),
+        F.col("answer_present").alias("answerPresent"),
+        F.col("claim_count").alias("claimCount"),
+        F.col("all_claims_supported").alias("allClaimsSupported"),
+        F.col("citations_resolved").alias("citationsResolved"),
+        F.col("verification_verdict").alias("verificationVerdict"),
+        "company",
+    )
+    steps = F.transform(
+        F.split("trace", ","),
+        lambda name: F.struct(F.lit("tool_call").alias("type"), F.struct(name.alias("name")).alias("call")),
+    )
+    metrics = F.struct(F.lit(1).alias("latencyMs"), F.col("cost_usd").alias("costUsd"), "steps")
+    body = F.struct(
+        F.lit(1).alias("version"),
+        F.col("case_id").alias("caseId"),
+        F.lit(recorded_at).alias("recordedAt"),
+        F.struct(output.alias("output"), steps.alias("trace"), metrics.alias("metrics")).alias("result"),
+    )
+    text = F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"})
+    return flat.select("case_id", text.alias("value"))
+
+
 def answer_trace(answers: DataFrame) -> DataFrame:
     """A flat summary of each answer and the steps that ran for it."""
     claims = F.coalesce("claims", F.array().cast(answers.schema["claims"].dataType))

@@ -12,7 +12,7 @@ from citewright.operators.fusion import RRF_K, fuse_two
 from citewright.operators.keyword import CHUNK_KEY, Index, bm25_topk
 from citewright.operators.upsert import bucket_of
 from citewright.operators.vector import vector_topk
-from citewright.session import broadcast_if, is_small, materialise
+from citewright.session import MAX_BROADCAST_ROWS, materialise, pinned
 
 PROVENANCE = (
     "chunk_id", "cik", "accession", "company", "form", "filing_date",
@@ -50,30 +50,33 @@ def hybrid_ranking(
     ``queries`` has ``query_id`` and ``query``.
     """
     opts = options or RetrieveOptions()
-    vector = vector_topk(
-        embed_queries(queries, embedder), index.chunks, opts.vector_k, CHUNK_KEY
-    )
+    embedded = embed_queries(queries, embedder)
+    if embedder is not None and embedder.remote:
+        embedded = materialise(embedded, "embedded")
+    vector = vector_topk(embedded, index.chunks, opts.vector_k, CHUNK_KEY)
     keyword = bm25_topk(queries, index, opts.keyword_k)
     return fuse_two(vector, keyword, CHUNK_KEY, opts.top_k, opts.rrf_k)
 
 
-def hydrate(ranking: DataFrame, index: Index) -> DataFrame:
+def hydrate(ranking: DataFrame, index: Index, small: bool) -> DataFrame:
     """Join winners with their chunk rows; a winner without a row is dropped.
 
-    The winners are written once and counted: a batch small enough is broadcast,
-    so the chunk table is read but not shuffled. Buckets prune that read
-    to the winners' buckets, and a handful of winners also to their row groups.
+    Winners of a ``small`` batch are broadcast, so the chunk table is read but not
+    shuffled. Buckets prune that read to the winners' buckets, and a handful of
+    winners also to their row groups. Those of a large batch are written once.
     """
-    winners = materialise(ranking, "winners")
+    if small:
+        winners, small = pinned(ranking)
+    else:
+        winners = materialise(ranking, "winners")
     bucket = ["bucket"] if index.buckets else []
     rows = index.chunks.select(*PROVENANCE, "text", *bucket)
-    few = [row["accession"] for row in winners.select("accession").limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        rows = rows.filter(F.col("accession").isin(sorted(set(few))))
-    small = len(few) <= FEW or is_small(winners)
+    few = winners.select("accession").limit(FEW + 1).collect() if small else []
+    if 0 < len(few) <= FEW:
+        rows = rows.filter(F.col("accession").isin(sorted({row["accession"] for row in few})))
     if bucket:
         winners = winners.withColumn("bucket", bucket_of(F.col("accession"), index.buckets))
-    return rows.join(broadcast_if(winners, small), [*bucket, *CHUNK_KEY]).drop(*bucket)
+    return rows.join(winners, [*bucket, *CHUNK_KEY]).drop(*bucket)
 
 
 def hybrid_retrieve(
@@ -83,7 +86,10 @@ def hybrid_retrieve(
     options: RetrieveOptions | None = None,
 ) -> DataFrame:
     """One row per query and retrieved chunk, with text, provenance and scores."""
-    return hydrate(hybrid_ranking(queries, index, embedder, options), index)
+    opts = options or RetrieveOptions()
+    most = MAX_BROADCAST_ROWS // max(opts.top_k, 1)
+    small = queries.limit(most + 1).count() <= most
+    return hydrate(hybrid_ranking(queries, index, embedder, opts), index, small)
 
 
 def retrieved_array(queries: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is joined without a broadcast hint.
-MAX_BROADCAST_ROWS = 200_000
+# Rows of keys or scores that a side may have to be broadcast.
+MAX_BROADCAST_ROWS = 100_000
 
 # Folders of local sessions that name none, by application.
 _own_folders: dict[str, str] = {}
@@ -74,10 +74,13 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys) if keys else scan.repartition(cores)
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops counting just beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` computed once and marked for broadcast, and True, if it is small.
 
-
-def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+    Rows are fetched up to just beyond ``max_rows``; where there are more, the
+    answer is ``df`` as it was, and False, and joins shuffle it.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df, False
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema)), True

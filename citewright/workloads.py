@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citewright.functions.citations import (
@@ -47,6 +47,7 @@ from citewright.plans.answer import (
     retrieval_gate,
     top_rrf,
 )
+from citewright.plans.explore import citation_contexts
 from citewright.plans.ingest import (
     canonical_filings,
     chunk_filings,
@@ -283,37 +284,29 @@ def rrf_two_list(t: Tables) -> DataFrame:
 @_register
 def rrf_n_list(t: Tables) -> DataFrame:
     """Each customer's orders ranked by price, by date and by key, then fused."""
-    orders = t.table("orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    by = lambda *cols: F.row_number().over(_by_customer(*cols))
-    ranks = orders.select(
-        F.col("o_custkey").alias("query_id"),
-        "o_orderkey",
-        by(F.desc("o_totalprice"), F.col("o_orderkey")).alias("r0"),
-        by(F.desc("o_orderdate"), F.col("o_orderkey")).alias("r1"),
-        by(F.desc("o_orderkey")).alias("r2"),
-    )
-    lists = ranks.select(
-        "query_id",
-        "o_orderkey",
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(i).alias("list_no"), F.col(f"r{i}").alias("rank")) for i in range(3)]
-            )
-        ).alias("e"),
-    ).select("query_id", "o_orderkey", "e.list_no", "e.rank")
-    fused = rank_fusion(lists.filter("rank <= 5"), ["o_orderkey"], 3)
+    orders = t.table("orders")
+
+    def top5(list_no: int, *order: Column) -> DataFrame:
+        """One list at a time, so that each task keeps five rows of even the largest customer."""
+        rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order))
+        return (
+            orders.withColumn("rank", rank)
+            .filter("rank <= 5")
+            .select(F.col("o_custkey").alias("query_id"), "o_orderkey", F.lit(list_no).alias("list_no"), "rank")
+        )
+
+    lists = (
+        top5(0, F.desc("o_totalprice"), F.col("o_orderkey"))
+        .union(top5(1, F.desc("o_orderdate"), F.col("o_orderkey")))
+        .union(top5(2, F.desc("o_orderkey")))
+    )
+    fused = rank_fusion(lists, ["o_orderkey"], 3)
     return fused.select(
         "query_id", "o_orderkey", *_long("fused_rank"), F.round("rrf", 9).alias("rrf"),
         *[F.get("ranks", F.lit(i)).cast("long").alias(f"rank_{i}") for i in range(3)],
     )
 
 
-def _by_customer(*order: Column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("o_custkey").orderBy(*order)
-
-
 @_register
 def hybrid_retrieve_chunks(t: Tables) -> DataFrame:
     return _retrieved(t).select(
@@ -658,6 +651,16 @@ def highlight_spans(t: Tables) -> DataFrame:
     return shown.select("accession", *_long("h.start"), "s.*")
 
 
+@_register
+def citation_context(t: Tables) -> DataFrame:
+    """Every resolved citation of every answer in its surroundings."""
+    shown = citation_contexts(_answers(t), t.filings)
+    return shown.select(
+        "request_id", *_long("claim_no", "cite_no", "start_offset", "end_offset"),
+        "accession", "company", "section_label", "shown.*",
+    )
+
+
 @_register
 def recent_filings_filter(t: Tables) -> DataFrame:
     """A company listing per customer, as the parallel arrays such listings hold."""

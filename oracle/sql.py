@@ -582,6 +582,16 @@ ORDER BY created_at DESC, request_id DESC LIMIT 1000""",
   substr(clean, spot + 1, length(type) + 11) AS match, substr(clean, spot + length(type) + 12, 160) AS after,
   spot - 160 > 0 AS truncated_before, spot + length(type) + 11 + 160 < length(clean) AS truncated_after
 FROM pii JOIN redacted USING (accession)""",
+        "citation_context": _with(*GOVERN)
+        + """SELECT query_id::VARCHAR AS request_id, claim_no::BIGINT AS claim_no, cite_no::BIGINT AS cite_no,
+  s AS start_offset, e AS end_offset, accession, company, section_label,
+  substr(body, greatest(s - 160, 0) + 1, s - greatest(s - 160, 0)) AS before, substr(body, s + 1, e - s) AS match,
+  substr(body, e + 1, 160) AS after, s - 160 > 0 AS truncated_before, e + 160 < length(body) AS truncated_after
+FROM (SELECT x.*, t.accession, t.company, t.section_label, x.o + x.pos - 1 AS s,
+             x.o + x.pos - 1 + length(needle) AS e
+      FROM cites x JOIN top8 t ON t.query_id = x.query_id AND t.chunk_id = x.chunk_id
+      JOIN checks k ON k.query_id = x.query_id WHERE x.pos > 0 AND k.top_rrf >= 0.02)
+JOIN clean_texts USING (accession, company)""",
         "recent_filings_filter": """SELECT c_custkey, '10-K' AS form,
   lpad(c_custkey::VARCHAR, 10, '0') || '-24-000000' AS accession, '2024-01-15' AS filing_date, 'a.htm' AS primary_document
 FROM customer

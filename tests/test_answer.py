@@ -23,6 +23,7 @@ from citewright.plans.answer import (
     answer_queries,
     answer_retrieved,
     answer_trace,
+    cassettes,
     observed,
 )
 from citewright.plans.retrieve import hybrid_retrieve, retrieved_array
@@ -177,6 +178,15 @@ def test_hosted_model_and_judge(spark, index):
     assert [c.deterministic_ok for c in got["c"].verification.claims] == [True, False]
 
 
+def test_cassettes(arrays):
+    rows = cassettes(answer_retrieved(arrays), "2026-06-12T12:00:00.000Z").collect()
+    out = json.loads({r.case_id: r.value for r in rows}["out"])
+    assert out["caseId"] == "out" and out["result"]["output"]["refusalReason"] == "low_retrieval_score"
+    assert [s["call"]["name"] for s in out["result"]["trace"]] == ["retrieve"]
+    assert out["result"]["metrics"] == {"latencyMs": 1, "costUsd": 0.0, "steps": 1}
+    assert out["result"]["output"]["verificationVerdict"] is None
+
+
 def test_sentence_generator(arrays):
     row = decide(arrays, sentence_generator())["in"]
     assert row.verdict in ("answered", "refused")
