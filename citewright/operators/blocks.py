@@ -25,6 +25,9 @@ from citewright.session import materialise
 UNITS = 1e9
 
 CORPUS_BLOCK = 50_000
+# Blocks in a shuffle may be this many times larger than a broadcast, which every
+# task holds: the larger the query blocks, the fewer copies of the corpus meet them.
+SHUFFLE_BLOCKS = 8
 _BUFFER_ROWS = 100_000
 
 
@@ -126,7 +129,7 @@ def _cogroup(
     block: int,
 ) -> DataFrame:
     """Both sides cut into blocks by hash; each pair of blocks meets in one group."""
-    query_blocks = max(1, math.ceil(queries.count() / block))
+    query_blocks = max(1, math.ceil(queries.count() / (SHUFFLE_BLOCKS * block)))
     corpus_blocks = max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
     left = queries.withColumns(
         {

@@ -94,16 +94,29 @@ class Index:
         )
 
 
+def _listed(terms: list[str]) -> str:
+    """Terms as SQL literals; query terms are ASCII letters and digits only.
+
+    One expression text parses faster than that many literal columns are built.
+    """
+    return ", ".join(f"'{term}'" for term in sorted(terms))
+
+
 def weighted_terms(asked: DataFrame, index: Index) -> DataFrame:
     """``query_id, term, weight, mean_terms`` of the asked terms that occur at all."""
-    asked, _ = pinned(asked)
-    found = index.frequency.join(asked, "term")
-    frequency = found.groupBy("query_id", "term", "times").agg(F.sum("df").cast("double").alias("df"))
+    asked, small = pinned(asked)
+    frequency = index.frequency
+    if small:
+        terms = [row["term"] for row in asked.select("term").distinct().collect()]
+        if 0 < len(terms) <= MAX_LITERAL_TERMS:
+            frequency = frequency.filter(F.expr(f"term IN ({_listed(terms)})"))
+    found = frequency.join(asked, "term")
+    counted = found.groupBy("query_id", "term", "times").agg(F.sum("df").cast("double").alias("df"))
     totals = index.totals.agg(
         F.sum("n").cast("double").alias("n"),
         (F.sum("n_terms") / F.sum("n")).cast("double").alias("mean_terms"),
     )
-    return frequency.select(
+    return counted.select(
         "query_id",
         "term",
         (F.col("times") * idf(totals.select("n").scalar(), F.col("df"))).alias("weight"),
@@ -132,10 +145,7 @@ class _Bm25:
         asked = pc.unique(query_rows["term"]).to_pylist()
         if len(asked) > MAX_LITERAL_TERMS:
             return corpus
-        # Query terms are letters and digits only; one expression text parses faster
-        # than that many column literals are built.
-        listed = ", ".join(f"'{term}'" for term in sorted(asked))
-        return corpus.withColumn("terms", F.expr(f"filter(terms, t -> t IN ({listed}))"))
+        return corpus.withColumn("terms", F.expr(f"filter(terms, t -> t IN ({_listed(asked)}))"))
 
     def prepare(self, query_rows: pa.Table) -> tuple[pa.Array, _Block]:
         ids = query_rows["query_id"].combine_chunks().dictionary_encode()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citewright.operators.blocks import UNITS, blockwise_topk, first_k
 
 MAX_BROADCAST_QUERIES = 4096
-_SLICE = 2048
+_CELLS = 8_000_000
 _PAIRS = 65_536
 
 
@@ -67,7 +67,7 @@ class _L2:
         return query_rows["query_id"].combine_chunks(), _matrix(query_rows["embedding"])
 
     def slice_rows(self, state: np.ndarray) -> int:
-        return _SLICE
+        return min(2048, max(64, _CELLS // max(len(state), 1)))
 
     def best(self, state: np.ndarray, part: pa.Table, k: int):
         return nearest(state, _matrix(part["embedding"], state.shape[1]), k)

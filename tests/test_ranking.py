@@ -35,6 +35,7 @@ def test_nearest_is_exact_with_ties():
 def test_vector_topk_either_way(spark, limit, monkeypatch):
     """The broadcast and the co-grouped form agree with brute force."""
     monkeypatch.setattr("citewright.operators.blocks.CORPUS_BLOCK", 40)
+    monkeypatch.setattr("citewright.operators.blocks.SHUFFLE_BLOCKS", 1)
     x = RNG.integers(0, 4, (150, 6)).astype(np.float32)
     q = RNG.integers(0, 4, (11, 6)).astype(np.float32)
     q[0] = 0
@@ -93,6 +94,7 @@ def plain_bm25(rows, query, k):
 @pytest.mark.parametrize("limit", [1000, 3])
 def test_bm25_either_way(spark, corpus, limit, monkeypatch):
     monkeypatch.setattr("citewright.operators.blocks.CORPUS_BLOCK", 30)
+    monkeypatch.setattr("citewright.operators.blocks.SHUFFLE_BLOCKS", 1)
     rows, index = corpus
     asked = ["frost frost robot", "the", "dock x lease elan", "unknown words", "", "cider harvest the freight"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
