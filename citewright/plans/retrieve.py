@@ -71,11 +71,13 @@ def hydrate(ranking: DataFrame, index: Index, small: bool) -> DataFrame:
         winners = materialise(ranking, "winners")
     bucket = ["bucket"] if index.buckets else []
     rows = index.chunks.select(*PROVENANCE, "text", *bucket)
-    few = winners.select("accession").limit(FEW + 1).collect() if small else []
-    if 0 < len(few) <= FEW:
-        rows = rows.filter(F.col("accession").isin(sorted({row["accession"] for row in few})))
     if bucket:
         winners = winners.withColumn("bucket", bucket_of(F.col("accession"), index.buckets))
+    if small:
+        for column, most in [("accession", FEW), *[(name, index.buckets) for name in bucket]]:
+            values = [row[0] for row in winners.select(column).distinct().limit(most + 1).collect()]
+            if 0 < len(values) <= most:
+                rows = rows.filter(F.col(column).isin(sorted(values)))
     return rows.join(winners, [*bucket, *CHUNK_KEY]).drop(*bucket)
 
 

@@ -89,7 +89,7 @@ def plain_pii(text):
 pieces = st.lists(
     st.sampled_from(
         ["acct ", "Account", " a@b.co", "x.y@z.org", "123-45-6789", "425-555-0143", "(425) 555-0143", "1",
-         "123456789", "@", "+", "-", " ", "\n", "é", "iban:", "000000000000", ".com", "a/c #"]
+         "123456789", "@", "+", "-", " ", "\n", "é", "iban:", "000000000000", ".com", "a/c #", "😀"]
     ),
     max_size=14,
 ).map("".join)
@@ -118,7 +118,7 @@ def plain_sections(text):
 headings = st.lists(
     st.sampled_from(
         ["PART I\n", "Part II\n", "part iv ", "Item 1. Alpha text\n", "ITEM 1A. Beta here\n",
-         "Item 2.\nGamma line\n", "see Item 1, no\n", "body words. ", "xItem 3. Nope\n", "Item 10. Delta\n"]
+         "Item 2.\nGamma line\n", "see Item 1, no\n", "body words. ", "xItem 3. Nope\n", "Item 10. Delta\n", "😀 ", "Item 4. 😀x\n", "Item 5. Ab😀c\n"]
     ),
     max_size=12,
 ).map("".join)
