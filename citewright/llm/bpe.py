@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewright.llm.shared import slices
+from citewright.llm.shared import extended, slices, with_fields
 
 # Entries of a worker's memo tables; a full table is emptied and fills again.
 MEMO_ENTRIES = 800_000
@@ -227,18 +227,6 @@ def encoder(ranks: str, pattern: str, by_words: bool) -> Encoder:
     return Encoder(vocabulary(ranks), pattern, by_words)
 
 
-def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    names = {field.name.lower() for field in fields}
-    return T.StructType([*(f for f in schema if f.name.lower() not in names), *fields])
-
-
-def _extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    kept = [name for name in batch.schema.names if name.lower() not in columns]
-    return pa.RecordBatch.from_arrays(
-        [*(batch.column(name) for name in kept), *columns.values()], names=[*kept, *columns]
-    )
-
-
 def encode(
     texts: DataFrame, ranks: str, pattern: str, text: str = "text", by_words: bool = False
 ) -> DataFrame:
@@ -254,10 +242,10 @@ def encode(
         for batch in slices(batches, text):
             ids = [ids_of(value or "") for value in batch.column(text).to_pylist()]
             counts = pa.array([len(value) // 4 for value in ids], pa.int64())
-            yield _extended(batch, ids=pa.array(ids, pa.binary()), n_tokens=counts)
+            yield extended(batch, ids=pa.array(ids, pa.binary()), n_tokens=counts)
 
     added = T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())
-    return texts.mapInArrow(run, _with(texts.schema, *added))
+    return texts.mapInArrow(run, with_fields(texts.schema, *added))
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
@@ -268,9 +256,9 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
         for batch in slices(batches, ids):
             numbers = (np.frombuffer(value or b"", "<u4").tolist() for value in batch.column(ids).to_pylist())
             texts = [b"".join(map(spelling.__getitem__, row)) for row in numbers]
-            yield _extended(batch, decoded=pa.array(texts, pa.binary()))
+            yield extended(batch, decoded=pa.array(texts, pa.binary()))
 
-    return encoded.mapInArrow(run, _with(encoded.schema, T.StructField("decoded", T.BinaryType())))
+    return encoded.mapInArrow(run, with_fields(encoded.schema, T.StructField("decoded", T.BinaryType())))
 
 
 def token_digests(

@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import bpe
+from citewright.llm import bpe, language
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    return language.predict(_table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     ranks = public_tokenizers.path(RANKS)
@@ -26,6 +32,7 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op6_language_id": op6_language_id,
         "op8_byte_bpe": op8_byte_bpe,
     }
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citewright.session import materialise
 
@@ -220,3 +221,17 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType | None = None
 
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column, 256)
+
+
+def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
+    """``schema`` with ``fields`` at its end; a column of the same name makes way."""
+    names = {field.name.lower() for field in fields}
+    return T.StructType([*(f for f in schema if f.name.lower() not in names), *fields])
+
+
+def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """``batch`` with further columns, as ``with_fields`` orders them; their names are lower case."""
+    kept = [name for name in batch.schema.names if name.lower() not in columns]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(name) for name in kept), *columns.values()], names=[*kept, *columns]
+    )
