@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from citewright.llm.shared import extended, slices, with_fields
 
 # Entries of a worker's memo tables; a full table is emptied and fills again.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 # Longer pieces are seldom seen twice and are not remembered.
 MEMO_PIECE = 48
 # A space after white space: there the text does not split at single spaces.

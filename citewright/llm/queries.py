@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import bpe, language
+from citewright.llm import bpe, language, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,12 +30,43 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, by_words=True)
 
 
+def op10_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 50-word windows that an earlier one has."""
+    found = spans.remove_repeated(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""
+with words as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents
+), windows as (
+    select doc_id, w, i, array_to_string(w[i : i + 49], ' ') as win
+    from words, unnest(range(1, len(w) - 48)) as t(i)
+), firsts as (
+    select md5(win) as h, min(doc_id) as least from windows group by 1
+), marked as (
+    select doc_id, i from windows join firsts on md5(win) = h where doc_id > least
+), removed as (
+    select distinct doc_id, i + k as place from marked, unnest(range(50)) as t(k)
+), gone as (
+    select doc_id, list(place) as places from removed group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: places is null or not list_contains(places, i)), ' '), '')) as kept_sha256
+from words left join gone using (doc_id)
+"""
+
+
 def registered() -> dict[str, Query]:
     return {
         "op6_language_id": op6_language_id,
         "op8_byte_bpe": op8_byte_bpe,
+        "op10_span_dedup": op10_span_dedup,
     }
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {
+        "op10_span_dedup": OP10_SQL,
+    }
