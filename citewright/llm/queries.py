@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import bpe, language, spans
+from citewright.llm import bpe, language, runs, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,11 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(_table(spark, folder, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_run_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 100-byte strings that also start earlier."""
+    return runs.remove_repeated(_table(spark, folder, "documents")).drop("kept")
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     ranks = public_tokenizers.path(RANKS)
@@ -61,6 +66,7 @@ from words left join gone using (doc_id)
 def registered() -> dict[str, Query]:
     return {
         "op6_language_id": op6_language_id,
+        "op7_run_index_dedup": op7_run_index_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_span_dedup": op10_span_dedup,
     }

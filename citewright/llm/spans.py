@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from citewright.llm.shared import (
     anchors,
+    keyed,
     lists,
     partitions_for,
     signed,
@@ -57,17 +58,6 @@ WALKS_IN_TASK = 20_000
 _U = np.uint64
 
 
-def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc, row, text``: documents in order of ``doc``; ``row`` tells texts of one id apart."""
-    ident, value = F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return documents.select(
-        F.coalesce(ident, F.lit(-(1 << 63))).alias("doc"),
-        F.xxhash64(ident, value).alias("row"),
-        value.alias("text"),
-        ident.alias("id"),
-    )
-
-
 def _edges(column: pa.Array, window: int, edge: int):
     """Words and their hashes by row, and each chosen edge with the windows it stands for."""
     starts, ends, hashes, first = words(*text_bytes(column))
