@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import bpe, language, runs, spans
+from citewright.llm import bpe, contamination, language, runs, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,31 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, by_words=True)
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items of which a document contains four fifths of the five-word shingles."""
+    return contamination.contained(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+OP9_SQL = r"""
+with item_words as (
+    select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark
+), wanted as (
+    select distinct item_id, array_to_string(w[i : i + 4], ' ') as shingle
+    from item_words, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0
+), doc_words as (
+    select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as shingle
+    from doc_words, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0
+), sizes as (
+    select item_id, count(*) as n from wanted group by 1
+)
+select doc_id, item_id, any_value(n)::bigint as n_shingles, count(*)::bigint as n_shared
+from shingles join wanted using (shingle) join sizes using (item_id)
+group by 1, 2 having count(*) >= ceil(any_value(n) * 80 / 100.0)
+"""
+
+
 def op10_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the 50-word windows that an earlier one has."""
     found = spans.remove_repeated(_table(spark, folder, "documents"))
@@ -68,11 +93,13 @@ def registered() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_run_index_dedup": op7_run_index_dedup,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_decontamination": op9_decontamination,
         "op10_span_dedup": op10_span_dedup,
     }
 
 
 def statements() -> dict[str, str]:
     return {
+        "op9_decontamination": OP9_SQL,
         "op10_span_dedup": OP10_SQL,
     }
