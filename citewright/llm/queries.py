@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import bpe, contamination, language, runs, spans
+from citewright.llm import bpe, contamination, language, runs, spans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,24 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    return warc.archived(_table(spark, folder, "pages"))
+
+
+OP1_SQL = """
+with sized as (
+    select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as size from pages
+), kept as (
+    select *, max(page_id) over (partition by payload) as largest from sized
+)
+select page_id, size::bigint as payload_bytes, sha1(payload) as payload_digest,
+       case when size >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+       case when size >= 1000 and page_id <> largest then largest end as refers_to
+from kept
+"""
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     return language.predict(_table(spark, folder, "documents"), public_tokenizers.path(PIECES))
@@ -90,6 +108,7 @@ from words left join gone using (doc_id)
 
 def registered() -> dict[str, Query]:
     return {
+        "op1_warc": op1_warc,
         "op6_language_id": op6_language_id,
         "op7_run_index_dedup": op7_run_index_dedup,
         "op8_byte_bpe": op8_byte_bpe,
@@ -100,6 +119,7 @@ def registered() -> dict[str, Query]:
 
 def statements() -> dict[str, str]:
     return {
+        "op1_warc": OP1_SQL,
         "op9_decontamination": OP9_SQL,
         "op10_span_dedup": OP10_SQL,
     }
