@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citewright.llm import bpe, contamination, language, runs, spans, warc
+from citewright.llm import bpe, contamination, language, neighbours, reputation, runs, spans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,80 @@ from kept
 """
 
 
+def op4_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, among all."""
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+URL_RULES = (
+    reputation.Rule("block", "net", "/"),
+    reputation.Rule("allow", "example.net", "/en/"),
+    reputation.Rule("block", "example.com", "/de/"),
+    reputation.Rule("allow", "org", "/fr/"),
+)
+
+
+def op5_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's address, judged by a rule or by its host's reputation."""
+    pages, labels = _table(spark, folder, "pages"), _table(spark, folder, "labels")
+    found = reputation.judged(pages, labels, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = """
+with split as (
+    select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), parts as (
+    select page_id, regexp_extract(rest, '^([^/?#]*)', 1) as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from split
+), addresses as (
+    select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts
+), hosts as (
+    select host, count(quality) as n, coalesce(sum(case when quality = 1 and toxic = 0 then 1 else 0 end) filter (quality is not null and toxic is not null), 0) as good,
+           string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as names
+    from addresses left join labels on page_id = doc_id group by host
+), levels as (
+    select host, n, good, array_to_string(names[-2:], '.') as domain, names[-1] as suffix from hosts
+), overall as (
+    select (sum(good) + 1.0) / (sum(n) + 2) as p from levels
+), s as (
+    select suffix, sum(n) as n, sum(good) as good, any_value(p) as prior from levels, overall group by suffix
+), s_share as (
+    select sum(pow(good - n * prior, 2) / n - prior * (1 - prior)) / nullif(sum(prior * (1 - prior) * (n - 1)), 0) as r from s where n > 0
+), s_strength as (
+    select case when coalesce(r, 1) > 0 then least(10000.0, greatest(1.0, 1 / coalesce(r, 1) - 1)) else 10000.0 end as m from s_share
+), s_mean as (
+    select suffix, (good + m * prior) / (n + m) as mean from s, s_strength
+), d as (
+    select domain, sum(n) as n, sum(good) as good, any_value(mean) as prior from levels join s_mean using (suffix) group by domain
+), d_share as (
+    select sum(pow(good - n * prior, 2) / n - prior * (1 - prior)) / nullif(sum(prior * (1 - prior) * (n - 1)), 0) as r from d where n > 0
+), d_strength as (
+    select case when coalesce(r, 1) > 0 then least(10000.0, greatest(1.0, 1 / coalesce(r, 1) - 1)) else 10000.0 end as m from d_share
+), d_mean as (
+    select domain, (good + m * prior) / (n + m) as mean from d, d_strength
+), h as (
+    select host, n, good, mean as prior from levels join d_mean using (domain)
+), h_share as (
+    select sum(pow(good - n * prior, 2) / n - prior * (1 - prior)) / nullif(sum(prior * (1 - prior) * (n - 1)), 0) as r from h where n > 0
+), h_strength as (
+    select case when coalesce(r, 1) > 0 then least(10000.0, greatest(1.0, 1 / coalesce(r, 1) - 1)) else 10000.0 end as m from h_share
+), h_mean as (
+    select host, (good + m * prior) / (n + m) as mean, n + m + 1 as size from h, h_strength
+), judged as (
+    select page_id, host, path, mean - 1.645 * sqrt(mean * (1 - mean) / size) as bound,
+           case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
+    from addresses join h_mean using (host)
+)
+select page_id, host, path, rule,
+       case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+            when bound >= 0.5 then 'allow' else 'block' end as verdict
+from judged
+"""
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     return language.predict(_table(spark, folder, "documents"), public_tokenizers.path(PIECES))
@@ -109,6 +184,8 @@ from words left join gone using (doc_id)
 def registered() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
+        "op4_hilbert_neighbours": op4_hilbert_neighbours,
+        "op5_url_reputation": op5_url_reputation,
         "op6_language_id": op6_language_id,
         "op7_run_index_dedup": op7_run_index_dedup,
         "op8_byte_bpe": op8_byte_bpe,
@@ -120,6 +197,7 @@ def registered() -> dict[str, Query]:
 def statements() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
+        "op5_url_reputation": OP5_SQL,
         "op9_decontamination": OP9_SQL,
         "op10_span_dedup": OP10_SQL,
     }
