@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm import bpe, contamination, language, neighbours, reputation, runs, spans, warc
+from citewright.llm import bpe, contamination, jaccard, language, neighbours, reputation, runs, spans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,11 @@ from kept
 """
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op4_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, among all."""
     return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
@@ -184,6 +189,7 @@ from words left join gone using (doc_id)
 def registered() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_hilbert_neighbours": op4_hilbert_neighbours,
         "op5_url_reputation": op5_url_reputation,
         "op6_language_id": op6_language_id,
