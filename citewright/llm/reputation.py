@@ -27,13 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.llm.shared import written
+from citewright.llm.shared import shrunk, written
 
 THRESHOLD = 0.5
 # Standard deviations between the posterior's mean and its bound.
 WIDTH = 1.645
-# A level is never trusted less or more than so many pages.
-STRENGTHS = 1.0, 10_000.0
 
 
 @dataclass(frozen=True)
@@ -68,24 +66,6 @@ def _first_fit(rules: Sequence[Rule]) -> Column:
     return chosen
 
 
-def _shrunk(groups: DataFrame) -> DataFrame:
-    """``groups`` (``good`` of ``n``, prior mean ``prior``) with ``strength``, ``mean``.
-
-    With rates spread around their priors as beta variables of strength ``s``, the
-    squared deviations of the counts are larger than binomial ones by ``(n - 1) / (s + 1)``.
-    """
-    variance = F.col("prior") * (1 - F.col("prior"))
-    deviation = F.pow(F.col("good") - F.col("n") * F.col("prior"), 2) / F.col("n")
-    sums = groups.filter("n > 0").agg(
-        F.sum(deviation - variance).alias("extra"), F.sum(variance * (F.col("n") - 1)).alias("scale")
-    ).first()
-    share = sums["extra"] / sums["scale"] if sums["scale"] else 1.0
-    low, high = STRENGTHS
-    strength = min(high, max(low, 1 / share - 1)) if share > 0 else high
-    mean = (F.col("good") + strength * F.col("prior")) / (F.col("n") + strength)
-    return groups.withColumns({"strength": F.lit(float(strength)), "mean": mean})
-
-
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``host, n, good, mean, bound`` of every host.
 
@@ -101,11 +81,11 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     overall = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 2)
 
     counted = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = _shrunk(counted("suffix").withColumn("prior", F.lit(overall)))
+    suffixes = shrunk(counted("suffix").withColumn("prior", F.lit(overall)))
     prior = suffixes.select("suffix", F.col("mean").alias("prior"))
-    domains = _shrunk(written(counted("domain", "suffix").join(prior, "suffix"), "domains"))
+    domains = shrunk(written(counted("domain", "suffix").join(prior, "suffix"), "domains"))
     prior = domains.select("domain", F.col("mean").alias("prior"))
-    judged = _shrunk(written(hosts.join(prior, "domain"), "host-priors"))
+    judged = shrunk(written(hosts.join(prior, "domain"), "host-priors"))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
     return judged.select("host", "n", "good", "mean", (F.col("mean") - WIDTH * spread).alias("bound"))
 

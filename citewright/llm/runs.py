@@ -32,28 +32,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citewright.llm.shared import (
     anchors,
+    discard,
     keyed,
     lists,
     mix,
+    packed,
     partitions_for,
     prefix_hash,
+    rows_key,
     signed,
     slices,
     span_hash,
     text_bytes,
+    unpacked,
     within_rows,
     written,
 )
 
 LENGTH = 100
-ANCHOR = 16
+ANCHOR = 32
 # Anchors that a task holds before it passes them on.
 HELD_ANCHORS = 1 << 20
-# Different segments around one anchor that are put in order within a task.
+# An anchor with more pieces than this, and more than one in so many of all pieces, is
+# not compared within a task. So there are at most MOST_WIDE such anchors.
 PIECES_IN_TASK = 10_000
+MOST_WIDE = 10_000
 # Pieces that are put in order at once.
 BLOCK_PIECES = 1_500
 
@@ -96,11 +103,11 @@ def _repeats(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, again, first
 
 
-def repeated_anchors(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``doc, edges``: the anchors of each document that occur more than once in the corpus.
+def _scan(rows: DataFrame, length: int, anchor: int):
+    """A function for ``mapInArrow``, and its schema: the anchors of texts, dealt into buckets.
 
-    A task knows those that it saw twice itself and sends one of each kind on, so
-    a string in a third of all documents is a row per task in the shuffle.
+    A task keeps those that it saw twice itself (bucket -1) and sends one of each kind
+    on, so a string in a third of all documents is a row per task in the shuffle.
     """
     count = 4 * partitions_for(rows.sparkSession)
 
@@ -123,7 +130,13 @@ def repeated_anchors(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
         if held:
             yield from out()
 
-    def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return scan, "bucket int, edges binary, docs binary"
+
+
+def repeated_anchors(seen: DataFrame) -> DataFrame:
+    """``doc, edges``: the anchors of each document that occur more than once in the corpus."""
+
+    def numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         edges, docs = (b"".join(batch.column(name).to_pylist()) for name in ("edges", "docs"))
         return np.frombuffer(edges, _U), np.frombuffer(docs, np.int64)
 
@@ -132,7 +145,7 @@ def repeated_anchors(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield plain(*unpacked(batch))
+            yield plain(*numbers(batch))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Batches come in order of their bucket; a bucket is settled when the next one begins.
@@ -148,12 +161,11 @@ def repeated_anchors(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             yield settled(held)
 
     def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        edges, docs = (np.concatenate(part) for part in zip(*map(unpacked, held)))
+        edges, docs = (np.concatenate(part) for part in zip(*map(numbers, held)))
         order, again, _ = _repeats(edges)
         return plain(edges[order[again]], docs[order[again]])
 
-    seen = written(rows.select("doc", "text").mapInArrow(scan, "bucket int, edges binary, docs binary"), "anchors")
-    dealt = seen.filter("bucket >= 0").repartition(partitions_for(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = seen.filter("bucket >= 0").repartition(partitions_for(seen.sparkSession), "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(merged, "doc long, edge long").unionByName(
         seen.filter("bucket < 0").mapInArrow(local, "doc long, edge long")
     )
@@ -169,7 +181,7 @@ def segments(rows: DataFrame, repeated: DataFrame, length: int = LENGTH, anchor:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in unpacked(batches):
             data, offsets = text_bytes(batch.column("text"))
             edges, of, firsts, lasts = _anchors(data, offsets, length, anchor)
             wanted = batch.column("edges")
@@ -203,11 +215,13 @@ def segments(rows: DataFrame, repeated: DataFrame, length: int = LENGTH, anchor:
             )
 
     schema = "doc long, row long, start long, size long, before int, data binary, edges array<long>, sizes array<int>"
-    return rows.select("doc", "row", "text").join(repeated, "doc").mapInArrow(run, schema)
+    return packed(rows.select("doc", "row", "text")).join(repeated, "doc").mapInArrow(run, schema)
 
 
-def _pieces(different: DataFrame, length: int) -> DataFrame:
-    """``edge, seg, check, doc, start, at, n, piece``: the windows around each anchor, a byte before them first."""
+def _pieces(different: DataFrame, length: int, only: frozenset[int] = frozenset(), apart: bool = False) -> DataFrame:
+    """``edge, seg, check, doc, start, at, n, piece``: the windows around each anchor, a byte before
+    them first. Either without the anchors in ``only``, or those alone (``apart``)."""
+    named = different.sparkSession.sparkContext.broadcast(np.array(sorted(only), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data"):
@@ -217,6 +231,9 @@ def _pieces(different: DataFrame, length: int) -> DataFrame:
             ends = np.cumsum(sizes)
             heads = np.cumsum(counts) - counts
             at = ends - sizes - (ends - sizes)[heads][of]
+            edges = batch.column("edges").flatten()
+            here = np.flatnonzero(np.isin(edges.to_numpy(zero_copy_only=False), named.value) == apart)
+            of, at, sizes, edges = of[here], at[here], sizes[here], edges.take(pa.array(here))
             data, before = batch.column("data").to_pylist(), batch.column("before").to_pylist()
             framed = [bytes([max(b, 0)]) + d for d, b in zip(data, before)]
             pieces = [
@@ -225,7 +242,7 @@ def _pieces(different: DataFrame, length: int) -> DataFrame:
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("edges").flatten(),
+                    edges,
                     *(batch.column(name).take(take) for name in ("seg", "check", "doc", "start")),
                     pa.array(at),
                     pa.array(sizes),
@@ -372,13 +389,12 @@ def _different(found: DataFrame) -> DataFrame:
 
 def found_segments(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``segments`` with two hashes, ``seg`` and ``check``, of the byte before each and its content; written once."""
-    found = segments(rows, repeated_anchors(rows, length, anchor), length, anchor)
-    return written(
-        found.withColumns(
-            {"seg": F.xxhash64("data", "before"), "check": F.xxhash64(F.lit(1), "before", "data")}
-        ),
-        "segments",
-    )
+    seen = written(rows.select("doc", "text").mapInArrow(*_scan(rows, length, anchor)), "anchors")
+    found = segments(rows, repeated_anchors(seen), length, anchor)
+    hashes = {"seg": F.xxhash64("data", "before"), "check": F.xxhash64(F.lit(1), "before", "data")}
+    found = written(found.withColumns(hashes), "segments")
+    discard(seen)
+    return found
 
 
 def run_length_index(
@@ -411,20 +427,27 @@ def run_length_index(
     return _in_blocks(_pieces(_different(found), length), each, schema)
 
 
+def _wide(different: DataFrame, least: int) -> frozenset[int]:
+    """The few anchors with so many pieces that they are compared apart."""
+    pieces = different.select(F.explode("edges").alias("edge")).groupBy("edge").agg(F.count("*").alias("n"))
+    pieces = written(pieces.filter("n > 1"), "piece-counts")
+    total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return frozenset(row["edge"] for row in pieces.filter(F.col("n") > max(least, total / MOST_WIDE)).collect())
+
+
 def repeated_spans(
     rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, pieces_in_task: int | None = None
 ) -> DataFrame:
     """``doc, row, spans``: arrays of ``from, to``, the starts of windows that also start earlier."""
     found = found_segments(rows, length, anchor)
-    different = _different(found)
-    pieces = written(_pieces(different, length), "pieces")
-    wide = pieces.groupBy("edge").agg(F.count("*").alias("ways"))
-    wide = wide.filter(F.col("ways") > (pieces_in_task or PIECES_IN_TASK)).select("edge")
-    marks = _marked(pieces.join(wide, "edge", "left_anti"), length).unionByName(
-        _marked_apart(pieces.join(wide, "edge", "left_semi"), length)
-    )
+    different = written(_different(found), "different-segments")
+    own = written(found.select("doc", "row", "start", "size", "seg", "check"), "segment-places")
+    discard(found)
+    wide = _wide(different, PIECES_IN_TASK if pieces_in_task is None else pieces_in_task)
+    marks = _marked(_pieces(different, length, wide), length)
+    if wide:
+        marks = marks.unionByName(_marked_apart(_pieces(different, length, wide, apart=True), length))
     spans = marks.groupBy("seg", "check").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    own = found.select("doc", "row", "start", "size", "seg", "check")
     first = own.groupBy("seg", "check").agg(F.min(F.struct("doc", "start")).alias("least"))
     placed = own.join(first, ["seg", "check"]).join(spans, ["seg", "check"], "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
@@ -435,6 +458,28 @@ def repeated_spans(
     return kept.groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def _without(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Bytes, removed bytes and removed runs of each row, and what is left of its text."""
+    data, offsets = text_bytes(batch.column("text"))
+    column = batch.column("spans")
+    of = np.repeat(np.arange(batch.num_rows), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    spans = column.flatten()
+    begin, end = (spans.field(n).to_numpy(zero_copy_only=False) + offsets[of] for n in range(2))
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, begin, 1)
+    np.add.at(change, end + length - 1, -1)
+    gone = np.zeros(len(data) + 1, bool)
+    gone[1:] = np.cumsum(change[:-1]) > 0
+    rises = gone[1:] & ~gone[:-1]
+    # A run that goes on from one document to the next is a run in each.
+    inner = offsets[1:-1][offsets[1:-1] < len(data)]
+    rises[inner] = gone[1:][inner]
+    removed, runs = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone[1:], rises))
+    left = data[~gone[1:]].tobytes()
+    ends = (offsets - removed).tolist()
+    return np.diff(offsets), np.diff(removed), np.diff(runs), [left[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def remove_repeated(
     documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR
 ) -> DataFrame:
@@ -445,36 +490,41 @@ def remove_repeated(
     marks = repeated_spans(rows, length, anchor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = text_bytes(batch.column("text"))
-            column = batch.column("spans")
-            of = np.repeat(np.arange(batch.num_rows), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            spans = column.flatten()
-            begin, end = (spans.field(n).to_numpy(zero_copy_only=False) + offsets[of] for n in range(2))
-            change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, begin, 1)
-            np.add.at(change, end + length - 1, -1)
-            gone = np.zeros(len(data) + 1, bool)
-            gone[1:] = np.cumsum(change[:-1]) > 0
-            rises = gone[1:] & ~gone[:-1]
-            # A run that goes on from one document to the next is a run in each.
-            inner = offsets[1:-1][offsets[1:-1] < len(data)]
-            rises[inner] = gone[1:][inner]
-            removed, runs = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone[1:], rises))
-            left = data[~gone[1:]].tobytes()
-            ends = (offsets - removed).tolist()
-            kept = [left[a:b] for a, b in zip(ends, ends[1:])]
+        for batch in unpacked(batches):
+            size, removed, spans, kept = _without(batch, length)
+            digests = pa.array([hashlib.sha256(value).hexdigest() for value in kept], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(np.diff(offsets)),
-                    pa.array(np.diff(removed)),
-                    pa.array(np.diff(runs)),
-                    pa.array([hashlib.sha256(value).hexdigest() for value in kept], pa.string()),
-                    pa.array(kept, pa.binary()),
-                ],
+                [batch.column("id"), pa.array(size), pa.array(removed), pa.array(spans), digests, pa.array(kept, pa.binary())],
                 names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     schema = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return rows.join(marks, ["doc", "row"], "left").select("id", "text", "spans").mapInArrow(run, schema)
+    return packed(rows).join(marks, ["doc", "row"], "left").select("id", "text", "spans").mapInArrow(run, schema)
+
+
+def cleaned(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR
+) -> DataFrame:
+    """``documents`` with repeated bytes taken out of their texts, as ``remove_repeated`` does.
+
+    A character that a cut went through is left out. Null texts stay null.
+    """
+    rows = keyed(documents, key, text)
+    marks = repeated_spans(rows, length, anchor)
+    others = [name for name in documents.columns if name != text]
+    carried = documents.select(
+        rows_key(key, text), F.struct(*[F.col(f"`{name}`") for name in others], F.col(f"`{text}`").isNull().alias(" null")).alias("carried"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+    ).select("k.doc", "k.row", "carried", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpacked(batches):
+            kept = [value.decode("utf-8", "ignore") for value in _without(batch, length)[3]]
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(kept, pa.string())], names=["carried", "text"])
+
+    joined = packed(carried).join(marks, ["doc", "row"], "left").select("carried", "text", "spans")
+    kind = joined.schema["carried"].dataType
+    schema = T.StructType([T.StructField("carried", kind), T.StructField("text", T.StringType())])
+    done = joined.mapInArrow(run, schema)
+    left = F.when(~F.col("carried")[" null"], F.col("text")).alias(text)
+    return done.select(*[left if name == text else F.col("carried")[name].alias(name) for name in documents.columns])

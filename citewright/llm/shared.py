@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from citewright.session import materialise
 SLICE_BYTES = 1 << 20
 # Odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+# A group is never trusted less or more than so many of its members.
+STRENGTHS = 1.0, 10_000.0
 SPACES = b" \t\n\x0b\x0c\r"
 
 _U = np.uint64
@@ -33,15 +36,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
-def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc, row, text``: documents in order of ``doc``; ``row`` tells texts of one id apart."""
+def rows_key(key: str, text: str) -> Column:
+    """``k``, a struct of ``doc, row``: the place of a document among all, and a hash that tells
+    texts of one id apart. A null id comes before all others."""
     ident, value = F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return documents.select(
-        F.coalesce(ident, F.lit(-(1 << 63))).alias("doc"),
-        F.xxhash64(ident, value).alias("row"),
-        value.alias("text"),
-        ident.alias("id"),
-    )
+    doc = F.coalesce(ident, F.lit(-(1 << 63)))
+    return F.struct(doc.alias("doc"), F.xxhash64(ident, value).alias("row")).alias("k")
+
+
+def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc, row, text, id`` of every document; a null text is empty."""
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = documents.select(rows_key(key, text), value.alias("text"), F.col(f"`{key}`").cast("long").alias("id"))
+    return rows.select("k.doc", "k.row", "text", "id")
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``written`` made and nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``text`` compressed, for shuffles that carry whole texts; ``unpacked`` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches, text):
+            data = [shrink((value or "").encode()) for value in batch.column(text).to_pylist()]
+            yield extended(batch, **{text: pa.array(data, pa.binary())})
+
+    return rows.mapInArrow(run, with_fields(rows.schema, T.StructField(text, T.BinaryType())))
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of batches, with the texts that ``packed`` compressed as bytes again."""
+    grow = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, text, SLICE_BYTES // 2):
+        data = [grow(value) for value in batch.column(text).to_pylist()]
+        yield extended(batch, **{text: pa.array(data, pa.binary())})
 
 
 def partitions_for(spark: SparkSession) -> int:
@@ -238,3 +273,21 @@ def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [*(batch.column(name) for name in kept), *columns.values()], names=[*kept, *columns]
     )
+
+
+def shrunk(groups: DataFrame) -> DataFrame:
+    """``groups`` (``good`` of ``n``, prior mean ``prior``) with ``strength``, ``mean``.
+
+    With rates spread around their priors as beta variables of strength ``s``, the
+    squared deviations of the counts are larger than binomial ones by ``(n - 1) / (s + 1)``.
+    """
+    variance = F.col("prior") * (1 - F.col("prior"))
+    deviation = F.pow(F.col("good") - F.col("n") * F.col("prior"), 2) / F.col("n")
+    sums = groups.filter("n > 0").agg(
+        F.sum(deviation - variance).alias("extra"), F.sum(variance * (F.col("n") - 1)).alias("scale")
+    ).first()
+    share = sums["extra"] / sums["scale"] if sums["scale"] else 1.0
+    low, high = STRENGTHS
+    strength = min(high, max(low, 1 / share - 1)) if share > 0 else high
+    mean = (F.col("good") + strength * F.col("prior")) / (F.col("n") + strength)
+    return groups.withColumns({"strength": F.lit(float(strength)), "mean": mean})

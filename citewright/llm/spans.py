@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 
 from citewright.llm.shared import (
     anchors,
+    discard,
     keyed,
     lists,
+    packed,
     partitions_for,
     signed,
     slices,
     text_bytes,
+    unpacked,
     window_hash,
     within_rows,
     words,
@@ -111,12 +114,13 @@ def paths(repeated: DataFrame) -> DataFrame:
         further = back.select(
             F.col("edge").alias("head"), F.col("head").alias("beyond"), F.col("place").alias("more")
         )
-        back = back.join(further, "head", "left").select(
+        longer = back.join(further, "head", "left").select(
             "edge",
             F.coalesce("beyond", "head").alias("head"),
             (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"),
         )
-        back = written(back, "path-back")
+        shorter, back = back, written(longer, "path-back")
+        discard(shorter)
     # A head that has an edge before it was not reached to the end.
     ended = back.join(back.select(F.col("edge").alias("head")), "head", "left_anti")
     return ended.select("edge", F.col("head").alias("path"), "place")
@@ -130,10 +134,10 @@ def walks(rows: DataFrame, found: DataFrame, window: int = WINDOW, edge: int = E
     and ``place`` words after the head of the path.
     """
     spots = F.array_sort(F.collect_set(F.struct("at", "path", "place")))
-    wanted = rows.select("doc", "row", "text").join(found.groupBy("doc", "row").agg(spots.alias("spots")), ["doc", "row"])
+    wanted = packed(rows.select("doc", "row", "text")).join(found.groupBy("doc", "row").agg(spots.alias("spots")), ["doc", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in unpacked(batches):
             hashes, first, _, _, places, firsts, lasts = _edges(batch.column("text"), window, edge)
             column = batch.column("spots")
             of = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
@@ -237,9 +241,13 @@ def repeated_windows(
 ) -> DataFrame:
     """``doc, row, at``: arrays of the starts of all windows that an earlier document has too."""
     seen = written(edge_occurrences(rows, window, edge), "edges")
+    # Written, so that a join may split the rows of an edge that very many documents have.
     common = seen.groupBy("edge").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    repeated = written(seen.join(common.filter("least < most").select("edge"), "edge"), "repeated-edges")
-    found = repeated.join(paths(repeated), "edge", "left").select(
+    common = written(common.filter("least < most").select("edge"), "common-edges")
+    repeated = written(seen.join(common, "edge"), "repeated-edges")
+    discard(seen)
+    path = written(paths(repeated), "paths")
+    found = repeated.join(path, "edge", "left").select(
         "doc", "row", "at", F.coalesce("path", "edge").alias("path"), F.coalesce("place", F.lit(0)).alias("place")
     )
     walked = walks(rows, found, window, edge).withColumns(
@@ -271,7 +279,7 @@ def remove_repeated(
     marks = repeated_windows(rows, window, edge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in unpacked(batches):
             data, offsets = text_bytes(batch.column("text"))
             starts, ends, _, first = words(data, offsets)
             column = batch.column("at")
@@ -301,4 +309,4 @@ def remove_repeated(
             )
 
     schema = f"`{key}` long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return rows.join(marks, ["doc", "row"], "left").select("id", "text", "at").mapInArrow(run, schema)
+    return packed(rows).join(marks, ["doc", "row"], "left").select("id", "text", "at").mapInArrow(run, schema)
