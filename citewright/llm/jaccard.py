@@ -36,7 +36,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewright.llm.shared import (
@@ -46,6 +46,7 @@ from citewright.llm.shared import (
     mix,
     packed,
     partitions_for,
+    rows_key,
     slices,
     text_bytes,
     unpacked,
@@ -335,21 +336,42 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """``key, n_shingles, component_id``: of each document, and the least key reachable by links."""
-    rows = keyed(documents, key, text)
+def _classified(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Every document's set (``_described``), and ``class, root``, the component of each class."""
     for seed in count(1):
         described = written(_described(rows, size, seed), "shingle-sets")
         classes = described.filter("n > 0").groupBy("class", "check", "n").agg(F.min("doc").alias("least"))
-        classes = written(classes, "classes")
         # Two sets with one class number: choose other numbers.
         if not classes.groupBy("class").count().filter("count > 1").take(1):
             break
-    roots = written(components(class_links(rows, described, size)), "roots")
-    labelled = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.select("class", "least", F.coalesce("root", "class").alias("root"))
-    of_root = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = written(labelled.join(of_root, "root").select("class", "component"), "components")
-    found = described.select("id", "doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
-    component = F.nullif(F.coalesce("component", "doc"), F.lit(-(1 << 63)))
+    roots = components(class_links(rows, described, size)).withColumnRenamed("node", "class")
+    every = described.filter("n > 0").select("class").distinct()
+    return described, written(every.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "roots")
+
+
+def _with_least(rows: DataFrame, size: int) -> DataFrame:
+    """``id, doc, row, n, root, least``: the first ``doc, row`` of each document's component."""
+    described, roots = _classified(rows, size)
+    own = F.struct("doc", "row")
+    first = described.join(roots, "class").groupBy("root").agg(F.min(own).alias("least"))
+    known = written(roots.join(first, "root").select("class", "root", "least"), "components")
+    found = described.select("id", "doc", "row", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return found.join(known, "class", "left").withColumn("least", F.coalesce("least", own))
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """``key, n_shingles, component_id``: of each document, and the least key reachable by links."""
+    found = _with_least(keyed(documents, key, text), size)
+    component = F.nullif(F.col("least.doc"), F.lit(-(1 << 63)))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """``documents`` with one of each component: that with the least key. Repeated rows are one."""
+    found = _with_least(keyed(documents, key, text), size)
+    kept = found.filter(F.struct("doc", "row") == F.col("least")).select("doc", "row").distinct()
+    kept = written(kept, "kept")
+    rows = documents.select(rows_key(key, text), F.struct("*").alias("carried")).select("k.doc", "k.row", "carried")
+    rows = rows.join(kept, ["doc", "row"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc", "row").orderBy("doc"))
+    return rows.withColumn("place", place).filter("place = 1").select("carried.*")

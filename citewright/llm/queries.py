@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm import bpe, contamination, jaccard, language, neighbours, reputation, runs, spans, warc
+import corpus_pipeline
+from citewright.llm import bpe, contamination, jaccard, language, neighbours, quality, reputation, runs, spans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,11 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """How good every document is, by its text and by where it stands."""
+    return quality.judged(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, among all."""
     return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
@@ -190,6 +196,7 @@ def registered() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_quality": op3_quality,
         "op4_hilbert_neighbours": op4_hilbert_neighbours,
         "op5_url_reputation": op5_url_reputation,
         "op6_language_id": op6_language_id,
@@ -197,6 +204,7 @@ def registered() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_decontamination": op9_decontamination,
         "op10_span_dedup": op10_span_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
