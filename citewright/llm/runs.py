@@ -349,34 +349,96 @@ def _marked(pieces: DataFrame, length: int) -> DataFrame:
     return _in_blocks(pieces, each, "seg long, check long, from long, to long")
 
 
+def _merged(seg: np.ndarray, check: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Runs of consecutive windows of a segment, as ``seg, check, from, to``."""
+    order = np.lexsort((at, check, seg))
+    seg, check, at = seg[order], check[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (seg[1:] != seg[:-1]) | (check[1:] != check[:-1]) | (at[1:] > at[:-1] + 1)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(order))[: len(heads)] - 1
+    columns = [pa.array(seg[heads]), pa.array(check[heads]), pa.array(at[heads]), pa.array(at[tails] + 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["seg", "check", "from", "to"])
+
+
+#: A window on its way: two hashes of its bytes, where it starts, and its segment and place there.
+_WINDOW = np.dtype([(name, np.int64) for name in ("window", "half", "doc", "place", "seg", "check", "at")])
+
+
+def _firsts(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each kind of window those that start where the first one does, and the later ones."""
+    order = np.lexsort((windows["place"], windows["doc"], windows["half"], windows["window"]))
+    windows = windows[order]
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["window"][1:] != windows["window"][:-1]) | (windows["half"][1:] != windows["half"][:-1])
+    heads = windows[new]
+    own = np.cumsum(new) - 1
+    later = (windows["doc"] != heads["doc"][own]) | (windows["place"] != heads["place"][own])
+    return windows[~later], windows[later]
+
+
 def _marked_apart(pieces: DataFrame, length: int) -> DataFrame:
-    """The same, a row per window and two hashes for its bytes; equal windows of a task meet before the shuffle."""
+    """The same, by two hashes of each window. Windows travel as arrays, a row for each bucket of
+    hashes; a task marks those that it saw earlier itself and sends one of each kind on."""
+    spark = pieces.sparkSession
+    count = 4 * partitions_for(spark)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            heads, later = _firsts(np.concatenate(held))
+            held.clear()
+            for windows, sign in ((heads, 1), (later, -1)):
+                bucket = mix(windows["window" if sign > 0 else "seg"].view(_U)) % _U(count)
+                order = np.argsort(bucket, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+                # Below zero: known to be later, and only on its way.
+                names = [sign * (1 + int(bucket[part[0]])) for part in parts]
+                data = [windows[part].tobytes() for part in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "piece"):
             data, offsets = text_bytes(batch.column("piece"))
             sizes = batch.column("n").to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(batch.num_rows), sizes)
             within = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at, half = offsets[:-1][of] + 1 + within, length // 2
-            total = prefix_hash(data)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(name).take(take) for name in ("edge", "seg", "check", "doc", "start")),
-                    pa.array(within + batch.column("at").to_numpy(zero_copy_only=False)[of]),
-                    pa.array(signed(span_hash(total, at, at + length))),
-                    pa.array(signed(span_hash(total, at + half, at + length))),
-                ],
-                names=["edge", "seg", "check", "doc", "start", "at", "window", "half"],
-            )
+            begin, total = offsets[:-1][of] + 1 + within, prefix_hash(data)
+            windows = np.zeros(len(of), _WINDOW)
+            windows["window"] = signed(span_hash(total, begin, begin + length))
+            windows["half"] = signed(span_hash(total, begin + length // 2, begin + length))
+            windows["at"] = within + batch.column("at").to_numpy(zero_copy_only=False)[of]
+            for name in ("doc", "seg", "check"):
+                windows[name] = batch.column(name).to_numpy(zero_copy_only=False)[of]
+            windows["place"] = windows["at"] + batch.column("start").to_numpy(zero_copy_only=False)[of]
+            held.append(windows)
+            if sum(map(len, held)) >= HELD_ANCHORS:
+                yield from out()
+        if held:
+            yield from out()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        of = 0
+
+        def out() -> pa.RecordBatch:
+            windows = np.frombuffer(b"".join(held), _WINDOW)
+            held.clear()
+            later = windows if of < 0 else _firsts(windows)[1]
+            return _merged(later["seg"], later["check"], later["at"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if held and bucket != of:
+                    yield out()
+                of = bucket
+                held.append(data)
+        if held:
+            yield out()
 
-    schema = "edge long, seg long, check long, doc long, start long, at long, window long, half long"
-    each = pieces.mapInArrow(run, schema).withColumn("place", F.struct("doc", (F.col("start") + F.col("at")).alias("at")))
-    spot = ["edge", "window", "half"]
-    least = each.groupBy(*spot).agg(F.min("place").alias("least"))
-    later = each.join(least, spot).filter("place > least")
-    return later.select("seg", "check", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+    dealt = pieces.mapInArrow(deal, "bucket int, data binary")
+    dealt = dealt.repartition(partitions_for(spark), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(settle, "seg long, check long, from long, to long")
 
 
 def _different(found: DataFrame) -> DataFrame:
