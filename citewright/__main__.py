@@ -92,7 +92,7 @@ def query(spark: SparkSession, args: argparse.Namespace) -> int:
         post = model_post(_key("ANTHROPIC_API_KEY", "--scripted"))
         generator, verifier = ModelGenerator(post), ModelVerifier(post)
     answers: DataFrame = materialise(
-        answer_queries(asked, store.index(), generator, verifier, embedder), "answers"
+        answer_queries(asked, store.index(embedder), generator, verifier, embedder), "answers"
     )
     store.append_audit(answers)
     _show(answers.first())
@@ -102,9 +102,9 @@ def query(spark: SparkSession, args: argparse.Namespace) -> int:
 def export(spark: SparkSession, args: argparse.Namespace) -> int:
     store = Store.open(spark, args.store)
     snapshot = build_snapshot(store.filings(), store.records())
-    whole = write_snapshot(snapshot, args.out, _now())
+    write_snapshot(snapshot, args.out, _now())
     print(
-        f"wrote snapshot to {args.out}{'' if whole else ' in parts'}: "
+        f"wrote snapshot to {args.out}: "
         f"{snapshot.filings.count()} filings, {snapshot.audit.count()} audit records"
     )
     return 0

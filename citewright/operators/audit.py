@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.session import pinned
-
-# Fixed value: how many rows a listing gives unless told otherwise.
-LIST_LIMIT = 100
-
 
 def to_audit_rows(answers: DataFrame) -> DataFrame:
     """Answers as audit rows, their nested parts as JSON text."""
@@ -38,8 +33,7 @@ def duplicate_requests(incoming: DataFrame, log: DataFrame | None = None) -> Dat
     ).select("request_id")
     if log is None:
         return repeated
-    asked, _ = pinned(incoming.select("request_id").distinct())
-    known = log.select("request_id").join(asked, "request_id", "left_semi")
+    known = log.select("request_id").join(incoming.select("request_id"), "request_id", "left_semi")
     return repeated.union(known).distinct()
 
 
@@ -100,11 +94,11 @@ def audit_filter(
 def audit_list(
     log: DataFrame, limit: int | None = None, offset: int = 0, tie: str = "request_id", **filters: str | None
 ) -> DataFrame:
-    """A page of the filtered log, newest first."""
+    """The filtered log, newest first; a page of it, if ``limit`` is given."""
     page = audit_filter(log, **filters).orderBy(F.desc("created_at"), F.desc(tie))
     if offset:
         page = page.offset(offset)
-    return page.limit(LIST_LIMIT if limit is None else limit)
+    return page if limit is None else page.limit(limit)
 
 
 def audit_by_request(log: DataFrame, request_id: str) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.session import pinned
-
 # How many buckets a table replaced by key has unless told otherwise.
 BUCKETS = 64
 
@@ -24,6 +22,5 @@ def replace_by_key(
 
     A changed key without an incoming row just loses its stored rows.
     """
-    gone, _ = pinned(changed.select(*keys).distinct())
-    kept = stored.join(gone, list(keys), "left_anti")
+    kept = stored.join(changed.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(incoming)

@@ -9,18 +9,12 @@ from pyspark.sql import functions as F
 
 from citewright.operators.audit import CLAIMS, RETRIEVED, VERIFICATION, audit_list
 
-# Fixed value: how many audit rows a snapshot holds.
-AUDIT_LIMIT = 1000
-
-# Above this many characters the texts are written as a folder of lines instead.
-MAX_DOCUMENT_CHARS = 64_000_000
-
-
 @dataclass(frozen=True)
 class Snapshot:
     filings: DataFrame
     texts: DataFrame
     audit: DataFrame
+    generated_at: str | None = None
 
 
 def cited_accessions(answers: DataFrame) -> DataFrame:
@@ -42,34 +36,31 @@ def list_filings(filings: DataFrame) -> DataFrame:
 
 
 def build_snapshot(
-    filings: DataFrame, log: DataFrame, cited: DataFrame | None = None, audit_limit: int = AUDIT_LIMIT
+    filings: DataFrame, log: DataFrame, cited: DataFrame | None = None, audit_limit: int | None = None
 ) -> Snapshot:
-    """``cited`` keeps only the texts of those accessions."""
+    """``cited`` keeps only the texts of those accessions, ``audit_limit`` only the newest audit rows."""
     texts = filings.select("accession", "canonical_text")
     if cited is not None:
         texts = texts.join(cited, "accession", "left_semi")
     return Snapshot(list_filings(filings), texts, audit_list(log, limit=audit_limit))
 
 
-def write_snapshot(snapshot: Snapshot, path: str, generated_at: str) -> bool:
-    """Write one JSON document if it is small enough, else a folder per part.
+def write_snapshot(snapshot: Snapshot, path: str, generated_at: str) -> None:
+    """Write a folder of JSON lines for each part, whatever their size."""
+    spark = snapshot.filings.sparkSession
+    parts = {"filings": snapshot.filings, "texts": snapshot.texts, "audit": snapshot.audit}
+    for name, part in parts.items():
+        part.write.json(f"{path}/{name}")
+    spark.createDataFrame([(generated_at,)], META_SCHEMA).coalesce(1).write.json(f"{path}/meta")
 
-    Returns whether it is one document. One document means one row, so its size
-    is measured before anything is collected into it.
-    """
-    size = snapshot.texts.agg(F.sum(F.length("canonical_text"))).first()[0] or 0
-    count = snapshot.filings.count()
-    if size + 200 * count > MAX_DOCUMENT_CHARS:
-        snapshot.filings.write.json(f"{path}/filings")
-        snapshot.texts.write.json(f"{path}/texts")
-        snapshot.audit.write.json(f"{path}/audit")
-        return False
+
+def write_document(snapshot: Snapshot, path: str, generated_at: str) -> None:
+    """Write one JSON document. It passes through one task: for snapshots that are known to be small."""
     document(snapshot, generated_at).coalesce(1).write.text(path)
-    return True
 
 
 def document(snapshot: Snapshot, generated_at: str) -> DataFrame:
-    """The snapshot as one row of JSON. For sizes ``write_snapshot`` has checked."""
+    """The snapshot as one row of JSON."""
     order = F.struct(F.col("company"), F.col("filing_date"), F.col("accession"))
     filing = F.struct("cik", "accession", "company", "form", F.col("filing_date").alias("filingDate"))
     filings = snapshot.filings.agg(
@@ -104,16 +95,41 @@ def document(snapshot: Snapshot, generated_at: str) -> DataFrame:
     return spark.range(1).select(F.to_json(body, {"pretty": "true"}).alias("value"))
 
 
-SNAPSHOT_SCHEMA = f"""
-    generatedAt string,
-    filings array<struct<cik:string,accession:string,company:string,form:string,filingDate:string>>,
-    canonicalTexts map<string,string>,
-    audit array<struct<request_id:string,created_at:string,query:string,verdict:string,
-        refusal_reason:string,answer:string,embedder_id:string,generation_model:string,
-        verifier_id:string,cost_usd:double,latency_ms:bigint,
-        retrieved:{RETRIEVED},claims:{CLAIMS},verification:{VERIFICATION}>>
+META_SCHEMA = "generated_at string"
+FILINGS_SCHEMA = "cik string, accession string, company string, form string, filing_date string"
+TEXTS_SCHEMA = "accession string, canonical_text string"
+_TEXT_FIELDS = (
+    "request_id created_at query verdict refusal_reason answer embedder_id generation_model verifier_id"
+).split()
+_AUDIT_FIELDS = [
+    *((name, "string") for name in _TEXT_FIELDS),
+    ("cost_usd", "double"),
+    ("latency_ms", "bigint"),
+    ("retrieved", RETRIEVED),
+    ("claims", CLAIMS),
+    ("verification", VERIFICATION),
+]
+AUDIT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in _AUDIT_FIELDS)
+
+_FILING = "struct<cik:string,accession:string,company:string,form:string,filingDate:string>"
+_AUDIT = ",".join(f"{name}:{kind}" for name, kind in _AUDIT_FIELDS)
+DOCUMENT_SCHEMA = f"""
+    generatedAt string, filings array<{_FILING}>, canonicalTexts map<string,string>, audit array<struct<{_AUDIT}>>
 """
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT_SCHEMA).json(path, multiLine=True)
+def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """What ``write_snapshot`` wrote. Rows have no order of their own; sort them anew."""
+    part = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    meta = part("meta", META_SCHEMA).first()
+    return Snapshot(
+        part("filings", FILINGS_SCHEMA),
+        part("texts", TEXTS_SCHEMA),
+        part("audit", AUDIT_SCHEMA),
+        meta["generated_at"] if meta else None,
+    )
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_document`` wrote, as one row."""
+    return spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True)

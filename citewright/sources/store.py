@@ -6,17 +6,22 @@ and ``totals`` count the terms and chunks of each bucket. ``audit`` only ever
 grows. ``meta`` pins the vector size and the number of buckets: choose the latter
 so that one bucket is what a single ingest may rewrite.
 
-Each table is swapped atomically, the tables one after another. An ingest that
-fails in between is repaired by running it again, which replaces the same rows.
+An ingest writes the touched buckets of every table under a version of its own and
+publishes them together with one small manifest, which names the version of each
+bucket. Readers take the newest manifest: they see an ingest whole or not at all,
+a bucket that lost its last row reads as empty, and an ingest that failed has left
+nothing but files that no manifest names (``vacuum`` removes those).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citewright.functions.chunk import ChunkOptions
 from citewright.functions.embed import Embedder, HashEmbedder
@@ -32,6 +37,9 @@ from citewright.plans.ingest import (
 from citewright.session import materialise
 
 META_SCHEMA = "key string, value string"
+MANIFEST_SCHEMA = "number bigint, bucket int, version string"
+RAW_SCHEMA = "cik string, accession string, company string, form string, filing_date string, html string"
+TABLES = ("filings", "chunks", "frequency", "totals")
 
 AUDIT_SCHEMA = """
     request_id string, created_at string, query string, verdict string, refusal_reason string,
@@ -71,18 +79,73 @@ class Store:
             raise FileNotFoundError(f"no store at {root}")
         return cls(spark, root, pinned["embedding_dimensions"], pinned["buckets"])
 
-    def _read(self, name: str) -> DataFrame | None:
-        return _read(self.spark, f"{self.root}/{name}")
+    def filings(self, accession: str | None = None) -> DataFrame:
+        """The canonical texts; of one filing, a read of its bucket only."""
+        return self._one(self._read("filings"), accession)
 
-    def filings(self) -> DataFrame:
-        return self._need("filings")
+    def chunks(self, accession: str | None = None) -> DataFrame:
+        """The chunks; of one filing, a read of its bucket only."""
+        return self._one(self._read("chunks"), accession)
 
-    def chunks(self) -> DataFrame:
-        return self._need("chunks")
+    def index(self, embedder: Embedder | None = None) -> Index:
+        """Chunks and counts, with the bucket column pruning reads of single chunks.
 
-    def index(self) -> Index:
-        """Chunks and counts, with the bucket column pruning reads of single chunks."""
-        return Index(self.chunks(), self._need("frequency"), self._need("totals"), self.buckets)
+        ``embedder`` is what queries will be embedded with: chunks that another one
+        made would rank without meaning, so they are an error.
+        """
+        chunks = self.chunks()
+        if embedder is not None:
+            others = chunks.filter(F.col("embedder_id") != embedder.id).select("embedder_id").take(1)
+            if others:
+                raise ValueError(f"chunks were embedded by {others[0]['embedder_id']}, not {embedder.id}")
+        return Index(chunks, self._read("frequency"), self._read("totals"), self.buckets)
+
+    def _one(self, table: DataFrame, accession: str | None) -> DataFrame:
+        if accession is None:
+            return table
+        bucket = bucket_of(F.lit(accession), self.buckets)
+        return table.filter((F.col("bucket") == bucket) & (F.col("accession") == accession))
+
+    def _manifest(self) -> tuple[int, dict[int, str]]:
+        """The number of the newest manifest, and the version of each bucket it names."""
+        try:
+            rows = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.root}/manifest")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return 0, {}
+            raise
+        newest = rows.agg(F.max("number")).first()[0]
+        if newest is None:
+            return 0, {}
+        named = rows.filter(F.col("number") == newest).select("bucket", "version").limit(self.buckets).collect()
+        return newest, {row["bucket"]: row["version"] for row in named}
+
+    def _schema(self, name: str) -> T.StructType:
+        """What ``name`` holds, from the plans that make it; no data is read."""
+        raw = self.spark.createDataFrame([], RAW_SCHEMA)
+        filings = canonical_filings(raw).withColumns({"ingested_at": F.lit(""), "bucket": F.lit(0)})
+        if name == "filings":
+            return filings.schema
+        chunks = _chunks(filings, HashEmbedder(self.dimensions), None).withColumn("bucket", F.lit(0))
+        made = {"chunks": chunks, "frequency": term_frequency(chunks, "bucket"), "totals": chunk_totals(chunks, "bucket")}
+        return made[name].schema
+
+    def _read(self, name: str) -> DataFrame:
+        """The published rows of a table."""
+        _, versions = self._manifest()
+        schema = self._schema(name)
+        stored = T.StructType([field for field in schema if field.name != "bucket"])
+        stored = stored.add("version", T.StringType()).add("bucket", T.IntegerType())
+        table = _read(self.spark, f"{self.root}/{name}", stored) if versions else None
+        if table is None:
+            return self.spark.createDataFrame([], schema)
+        by_version: dict[str, list[int]] = {}
+        for bucket, version in versions.items():
+            by_version.setdefault(version, []).append(bucket)
+        current = F.lit(False)
+        for version, buckets in by_version.items():
+            current = current | ((F.col("version") == version) & F.col("bucket").isin(buckets))
+        return table.filter(current).drop("version")
 
     def audit(self) -> DataFrame:
         log = _read(self.spark, f"{self.root}/audit", AUDIT_SCHEMA)
@@ -92,12 +155,6 @@ class Store:
         """The audit log with its nested parts parsed."""
         return audit_records(self.audit())
 
-    def _need(self, name: str) -> DataFrame:
-        table = self._read(name)
-        if table is None:
-            raise FileNotFoundError(f"nothing has been ingested into {self.root}")
-        return table
-
     def ingest(
         self,
         raw: DataFrame,
@@ -108,7 +165,8 @@ class Store:
         """Ingest ``cik, accession, company, form, filing_date, html``.
 
         Gives back the new filings. Texts are redacted before anything is written,
-        and each later table is built from the one written before it.
+        and each later table is built from the one written before it. A filing
+        without headings has no chunks; ingested again, it loses those it had.
         """
         emb = embedder or HashEmbedder()
         if emb.dimensions != self.dimensions:
@@ -124,33 +182,26 @@ class Store:
             "filings",
         )
         _require_unique(filings)
-        chunks = materialise(
-            with_features(chunk_filings(filings, options), emb).withColumn("bucket", bucket), "chunks"
-        )
         touched = [row["bucket"] for row in filings.select("bucket").distinct().collect()]
-        self._replace("chunks", chunks, filings, touched, ["accession", "start_offset"])
-        self._replace("filings", filings, filings, touched, ["accession"])
-        self._recount(touched)
+        if not touched:
+            return filings
+        version = uuid.uuid4().hex
+        chunks = _chunks(filings, emb, options).withColumn("bucket", bucket)
+        for name, incoming, order in (("filings", filings, ["accession"]), ("chunks", chunks, ["accession", "start_offset"])):
+            kept = self._read(name).filter(F.col("bucket").isin(touched))
+            self._write(name, version, replace_by_key(kept, incoming, filings, ["accession"]), order)
+        written = _read(self.spark, f"{self.root}/chunks/version={version}", self._stored("chunks"))
+        if written is not None:
+            self._write("frequency", version, term_frequency(written, "bucket"), ["term"])
+            self._write("totals", version, chunk_totals(written, "bucket"), [])
+        self._publish(version, touched)
         return filings
 
-    def _replace(
-        self, name: str, incoming: DataFrame, filings: DataFrame, touched: list[int], order: list[str]
-    ) -> None:
-        """Swap in the touched buckets. A filing that lost all its chunks loses its rows too."""
-        stored = self._read(name)
-        merged = incoming
-        if stored is not None:
-            old = stored.filter(F.col("bucket").isin(touched))
-            merged = materialise(replace_by_key(old, incoming, filings, ["accession"]), name)
-        self._overwrite(name, merged, order)
-
-    def _recount(self, touched: list[int]) -> None:
-        """Bring the term counts of the touched buckets up to date."""
-        chunks = self.chunks().filter(F.col("bucket").isin(touched))
-        self._overwrite("frequency", term_frequency(chunks, "bucket"), ["term"])
-        self._overwrite("totals", chunk_totals(chunks, "bucket"), [])
-
-    def _overwrite(self, name: str, rows: DataFrame, order: list[str]) -> None:
+    def _stored(self, name: str) -> T.StructType:
+        schema = self._schema(name)
+        return T.StructType([field for field in schema if field.name != "bucket"]).add("bucket", T.IntegerType())
+
+    def _write(self, name: str, version: str, rows: DataFrame, order: list[str]) -> None:
         """Write whole buckets, as many files each as their size asks for.
 
         Files hold sorted ranges, so that scans can skip files and row groups.
@@ -158,12 +209,32 @@ class Store:
         (
             rows.repartitionByRange("bucket", *order)
             .sortWithinPartitions("bucket", *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{self.root}/{name}")
+            .write.partitionBy("bucket")
+            .parquet(f"{self.root}/{name}/version={version}")
         )
 
+    def _publish(self, version: str, touched: list[int]) -> None:
+        """One file, which appears as a whole, makes the version current."""
+        number, versions = self._manifest()
+        versions.update(dict.fromkeys(touched, version))
+        rows = [(number + 1, bucket, name) for bucket, name in sorted(versions.items())]
+        manifest = self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
+        manifest.write.mode("append").json(f"{self.root}/manifest")
+
+    def vacuum(self) -> None:
+        """Remove the files of versions that the newest manifest does not name.
+
+        Readers of an older manifest must have ended, and no ingest may be running.
+        """
+        _, versions = self._manifest()
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in TABLES:
+            folder = paths(f"{self.root}/{name}")
+            system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for entry in system.listStatus(folder) if system.exists(folder) else []:
+                if entry.getPath().getName().removeprefix("version=") not in set(versions.values()):
+                    system.delete(entry.getPath(), True)
+
     def append_audit(self, answers: DataFrame) -> None:
         """Add one row per answer; a request id that is taken already is an error."""
         rows = materialise(to_audit_rows(answers), "audit")
@@ -173,6 +244,10 @@ class Store:
         rows.write.mode("append").parquet(f"{self.root}/audit")
 
 
+def _chunks(filings: DataFrame, embedder: Embedder, options: ChunkOptions | None) -> DataFrame:
+    return with_features(chunk_filings(filings, options), embedder).withColumn("embedder_id", F.lit(embedder.id))
+
+
 def _require_unique(filings: DataFrame) -> None:
     again = filings.groupBy("accession").count().filter("count > 1").limit(5).collect()
     if again:

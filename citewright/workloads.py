@@ -6,6 +6,7 @@ nested results are flattened so that any engine's rows compare with them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,9 +57,16 @@ from citewright.plans.ingest import (
     redacted_texts,
 )
 from citewright.plans.retrieve import embed_queries, hybrid_retrieve, retrieved_array
-from citewright.session import materialise, spread
+from citewright.session import materialise, scratch_dir, spread
 from citewright.sources.filings import document_url, listing_url, recent_filings
-from citewright.sources.snapshot import build_snapshot, cited_accessions, list_filings
+from citewright.sources.snapshot import (
+    build_snapshot,
+    cited_accessions,
+    list_filings,
+    read_snapshot,
+    write_snapshot,
+)
+from citewright.sources.store import Store
 from citewright.sources.tables import AUDIT_RETRIEVED, Tables, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,19 +294,16 @@ def rrf_n_list(t: Tables) -> DataFrame:
     """Each customer's orders ranked by price, by date and by key, then fused."""
     orders = t.table("orders")
 
-    def top5(list_no: int, *order: Column) -> DataFrame:
-        """One list at a time, so that each task keeps five rows of even the largest customer."""
+    def ranked(list_no: int, *order: Column) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order))
-        return (
-            orders.withColumn("rank", rank)
-            .filter("rank <= 5")
-            .select(F.col("o_custkey").alias("query_id"), "o_orderkey", F.lit(list_no).alias("list_no"), "rank")
+        return orders.select(
+            F.col("o_custkey").alias("query_id"), "o_orderkey", F.lit(list_no).alias("list_no"), rank.alias("rank")
         )
 
     lists = (
-        top5(0, F.desc("o_totalprice"), F.col("o_orderkey"))
-        .union(top5(1, F.desc("o_orderdate"), F.col("o_orderkey")))
-        .union(top5(2, F.desc("o_orderkey")))
+        ranked(0, F.desc("o_totalprice"), F.col("o_orderkey"))
+        .union(ranked(1, F.desc("o_orderdate"), F.col("o_orderkey")))
+        .union(ranked(2, F.desc("o_orderkey")))
     )
     fused = rank_fusion(lists, ["o_orderkey"], 3)
     return fused.select(
@@ -581,7 +586,7 @@ def audit_duplicate_check(t: Tables) -> DataFrame:
             "request_id"
         )
     )
-    log = t.table("orders").filter("o_orderstatus = 'F'").select(
+    log = t.table("orders").select(
         F.concat(F.lit("req-"), "o_orderkey").alias("request_id")
     )
     return log_ops.duplicate_requests(incoming, log)
@@ -641,6 +646,43 @@ def snapshot_audit(t: Tables) -> DataFrame:
     return page.select("request_id", "created_at", "query", "verdict", "retrieved_json")
 
 
+@_register
+def snapshot_roundtrip(t: Tables) -> DataFrame:
+    """The texts and the log of a snapshot that was written and read again."""
+    log = t.audit_log().withColumn("retrieved", F.from_json("retrieved_json", AUDIT_RETRIEVED)).drop("retrieved_json")
+    path = f"{scratch_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(build_snapshot(t.filings, log), path, "2026-06-12T12:00:00.000Z")
+    found = read_snapshot(t.spark, path)
+    stamp = F.lit(found.generated_at).alias("generated_at")
+    texts = found.texts.select(stamp, F.lit("text").alias("part"), F.col("accession").alias("id"), F.col("canonical_text").alias("value"))
+    audit = found.audit.select(stamp, F.lit("audit"), "request_id", F.get("retrieved", F.lit(0))["company"])
+    return texts.union(audit)
+
+
+@_register
+def store_reingest(t: Tables) -> DataFrame:
+    """Chunks and term counts per filing of a store into which every document was ingested, and
+    every third one again: of those, the odd ones now without headings and so without chunks."""
+    store = Store.create(t.spark, f"{scratch_dir(t.spark)}/store-{uuid.uuid4().hex}", 256, buckets=16)
+    raw = t.document_filings().withColumn("html", F.concat(F.lit("<pre>"), _escaped("text"), F.lit("</pre>"))).drop("text")
+    store.ingest(raw)
+    number = F.col("accession").substr(1, 10).cast("long")
+    again = raw.filter(number % 3 == 0)
+    bare = F.when(number % 2 == 1, F.concat(F.lit("kelp "), F.col("cik"))).otherwise(F.lit("<p>Item 8. Kelp</p>kelp and more kelp"))
+    store.ingest(again.withColumn("html", bare))
+    kept = store.chunks().groupBy("accession").agg(F.count("*").alias("n_chunks"))
+    found = store.filings().join(kept, "accession", "left").select(
+        "accession", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"),
+        F.when(number % 3 == 0, F.length("canonical_text").cast("long")).alias("length"),
+    )
+    kelp = store.index().frequency.filter("term = 'kelp'").agg(F.coalesce(F.sum("df"), F.lit(0).cast("long")).alias("n"))
+    return found.unionByName(kelp.select(F.lit("kelp").alias("accession"), F.col("n").alias("n_chunks"), F.lit(None).cast("long").alias("length")))
+
+
+def _escaped(text: str) -> Column:
+    return F.replace(F.replace(F.col(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
 @_register
 def highlight_spans(t: Tables) -> DataFrame:
     """Every redaction of every filing in its surroundings."""

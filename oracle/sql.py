@@ -218,6 +218,17 @@ def _with(*parts: str) -> str:
 
 
 CLEAN = "clean_texts AS MATERIALIZED (SELECT * EXCLUDE (body, clean), clean AS body FROM redacted)"
+# The filings after a way through HTML.
+STORED = [
+    FILINGS.replace("raw AS", "texts AS", 1),
+    "raw AS MATERIALIZED (SELECT * EXCLUDE (body), "
+    + _extract("('<pre>' || replace(replace(body, '&', '&amp;'), '<', '&lt;') || '</pre>')")
+    + " AS body FROM texts)",
+    _pii("raw", "accession"),
+    CLEAN,
+    _sections("clean_texts"),
+    CHUNKS,
+]
 CORPUS = [FILINGS, _pii("raw", "accession"), CLEAN, _sections("clean_texts"), CHUNKS]
 
 _FNV = (
@@ -450,9 +461,7 @@ FROM benchmark""",
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r0,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r1,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r2 FROM orders),
-c AS (
-  SELECT query_id, o_orderkey, CASE WHEN r0 <= 5 THEN r0 END AS rank_0, CASE WHEN r1 <= 5 THEN r1 END AS rank_1,
-         CASE WHEN r2 <= 5 THEN r2 END AS rank_2 FROM r WHERE least(r0, r1, r2) <= 5),
+c AS (SELECT query_id, o_orderkey, r0 AS rank_0, r1 AS rank_1, r2 AS rank_2 FROM r),
 s AS (
   SELECT *, coalesce(1.0::DOUBLE / (60 + rank_0), 0) + coalesce(1.0::DOUBLE / (60 + rank_1), 0)
     + coalesce(1.0::DOUBLE / (60 + rank_2), 0) AS rrf FROM c)
@@ -558,7 +567,7 @@ FROM log WHERE user_id IN (7, 8) AND created_at <= '2024-02-01'""",
   SELECT 'req-' || CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id END AS request_id FROM events)
 SELECT request_id FROM i GROUP BY request_id HAVING count(*) > 1
 UNION SELECT 'req-' || o_orderkey FROM orders
-WHERE o_orderstatus = 'F' AND 'req-' || o_orderkey IN (SELECT request_id FROM i)""",
+WHERE 'req-' || o_orderkey IN (SELECT request_id FROM i)""",
         "store_counts": _with(*CORPUS)
         + """SELECT 'filings' AS name, count(*) AS n FROM documents UNION ALL
 SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'audit', count(*) FROM events""",
@@ -575,8 +584,17 @@ UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier""",
   SELECT split_part(c.chunk_id, ':', 1) FROM cites c JOIN checks k USING (query_id)
   WHERE c.chunk_found AND k.top_rrf >= 0.02)""",
         "snapshot_audit": _with(AUDIT)
-        + """SELECT request_id, created_at, query, verdict, retrieved_json FROM log
-ORDER BY created_at DESC, request_id DESC LIMIT 1000""",
+        + """SELECT request_id, created_at, query, verdict, retrieved_json FROM log""",
+        "snapshot_roundtrip": _with(FILINGS, _pii("raw", "accession"), CLEAN, AUDIT)
+        + """SELECT '2026-06-12T12:00:00.000Z' AS generated_at, 'text' AS part, accession AS id, body AS value
+FROM clean_texts UNION ALL SELECT '2026-06-12T12:00:00.000Z', 'audit', request_id, 'Issuer ' || user_id FROM log""",
+        "store_reingest": _with(*STORED)
+        + """SELECT accession, CASE WHEN n % 6 = 3 THEN 0 WHEN n % 3 = 0 THEN 1
+  ELSE (SELECT count(*) FROM chunks c WHERE c.accession = t.accession) END AS n_chunks,
+  CASE WHEN n % 6 = 3 THEN 15 WHEN n % 3 = 0 THEN 31 END AS length
+FROM (SELECT accession, substr(accession, 1, 10)::BIGINT AS n FROM clean_texts) t
+UNION ALL SELECT 'kelp', count(*) FILTER (n % 6 = 0), NULL
+FROM (SELECT substr(accession, 1, 10)::BIGINT AS n FROM clean_texts)""",
         "highlight_spans": _with(FILINGS, _pii("raw", "accession"))
         + """SELECT accession, spot AS start, substr(clean, greatest(spot - 160, 0) + 1, spot - greatest(spot - 160, 0)) AS before,
   substr(clean, spot + 1, length(type) + 11) AS match, substr(clean, spot + length(type) + 12, 160) AS after,

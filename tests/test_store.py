@@ -15,7 +15,9 @@ from citewright.sources.remote import fetch_documents
 from citewright.sources.snapshot import (
     build_snapshot,
     cited_accessions,
+    read_document,
     read_snapshot,
+    write_document,
     write_snapshot,
 )
 from citewright.sources.store import Store
@@ -55,6 +57,54 @@ def test_changed_filing_is_replaced_everywhere(spark, raw, tmp_path):
     assert made.chunks().filter("cik = '0000000001'").count() == 6
 
 
+def test_filing_that_loses_its_headings_leaves_no_chunks(spark, raw, tmp_path):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=64)
+    made.ingest(raw)
+    assert made.filings().select("bucket").distinct().count() == 2
+    bare = raw.withColumn("html", F.lit("no headings"))
+    made.ingest(bare.filter("cik = '0000000002'"))
+    assert {r.cik for r in made.chunks().collect()} == {"0000000001"}
+    assert made.filings("0000000002-26-000002").first().canonical_text == "no headings"
+    assert made.chunks("0000000002-26-000002").count() == 0 and made.chunks("0000000001-26-000001").count() == 6
+    assert made.index().frequency.filter("term = 'freight'").count() == 0
+    assert made.index().totals.agg(F.sum("n")).first()[0] == 6
+    versions = len(list((tmp_path / "s" / "filings").iterdir()))
+    made.ingest(bare)
+    assert made.chunks().count() == 0 and made.filings().count() == 2
+    made.vacuum()
+    assert versions == 2 and len(list((tmp_path / "s" / "filings").glob("version=*"))) == 1
+    assert made.filings().count() == 2
+    made.ingest(raw)
+    assert made.chunks().count() == 8
+
+
+def test_first_ingest_without_headings(spark, raw, tmp_path):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=8)
+    assert made.filings().count() == made.chunks().count() == 0
+    made.ingest(raw.withColumn("html", F.lit("no headings")))
+    assert made.filings().count() == 2 and made.chunks().count() == 0
+    made.ingest(raw)
+    assert made.chunks().count() == 8
+
+
+def test_unpublished_versions_are_not_seen(spark, raw, tmp_path, monkeypatch):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=8)
+    made.ingest(raw.limit(1))
+    monkeypatch.setattr(Store, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        made.ingest(raw)
+    assert made.filings().count() == 1
+
+
+def test_chunks_of_another_embedder_are_refused(spark, store):
+    class Other(HashEmbedder):
+        id = "other"
+
+    assert store.index(HashEmbedder(256)).chunks.count() == 8
+    with pytest.raises(ValueError, match="not other"):
+        store.index(Other(256))
+
+
 def test_sizes_are_pinned(spark, raw, store):
     with pytest.raises(ValueError, match="256 dimensions"):
         Store.create(spark, store.root, 64)
@@ -106,18 +156,21 @@ def test_audit_log(spark, store):
     }
 
 
-def test_snapshot(spark, store, tmp_path, monkeypatch):
+def test_snapshot(spark, store, tmp_path):
     queries = spark.createDataFrame([("s", "orchard net sales", "2026-06-10")], QUERY)
     cited = cited_accessions(answer_queries(queries, store.index()))
     snapshot = build_snapshot(store.filings(), store.records(), cited)
-    assert write_snapshot(snapshot, str(tmp_path / "one"), "2026")
-    row = read_snapshot(spark, str(tmp_path / "one")).first()
+    write_document(snapshot, str(tmp_path / "one"), "2026")
+    row = read_document(spark, str(tmp_path / "one")).first()
     assert [f.company for f in row.filings] == ["Harbor Lines Co.", "Orchard Systems Ltd."]
     assert list(row.canonicalTexts) == ["0000000001-26-000001"] and row.generatedAt == "2026"
     assert [a.created_at for a in row.audit] == sorted((a.created_at for a in row.audit), reverse=True)
-    monkeypatch.setattr("citewright.sources.snapshot.MAX_DOCUMENT_CHARS", 10)
-    assert not write_snapshot(snapshot, str(tmp_path / "parts"), "2026")
-    assert spark.read.json(str(tmp_path / "parts/texts")).count() == 1
+    write_snapshot(snapshot, str(tmp_path / "parts"), "2026")
+    found = read_snapshot(spark, str(tmp_path / "parts"))
+    assert found.generated_at == "2026" and found.filings.count() == 2
+    assert [r.canonical_text for r in found.texts.collect()] == list(row.canonicalTexts.values())
+    assert sorted(r.request_id for r in found.audit.collect()) == sorted(a.request_id for a in row.audit)
+    assert found.audit.schema == spark.createDataFrame([], found.audit.schema).schema
 
 
 def test_command_line(spark, tmp_path, capsys):
