@@ -128,6 +128,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{4,}"), F.lit(0))
 
 
+# What the scripted judge says.
+ENTAILED = "Evidence shares supporting terms with the claim."
+NOT_ENTAILED = "Evidence does not appear to support the claim."
+
+
 def overlap_verdict(claim: Column, quote: Column) -> Column:
     """Entailed when claim and quote share a word of four characters or more."""
     return let(
@@ -135,8 +140,8 @@ def overlap_verdict(claim: Column, quote: Column) -> Column:
         lambda yes: F.struct(
             yes.alias("entailed"),
             F.when(yes, F.lit(0.9)).otherwise(F.lit(0.1)).alias("confidence"),
-            F.when(yes, F.lit("Evidence shares supporting terms with the claim."))
-            .otherwise(F.lit("Evidence does not appear to support the claim."))
+            F.when(yes, F.lit(ENTAILED))
+            .otherwise(F.lit(NOT_ENTAILED))
             .alias("rationale"),
             F.lit(0.0).alias("cost_usd"),
         ),
@@ -220,6 +225,7 @@ class ModelVerifier:
         post, model, max_tokens = self.post, self.model, self.max_tokens
 
         def ask(item: dict) -> dict:
+            # Fixed value: how the judge is asked.
             question = (
                 f'EVIDENCE (from {item["section_label"]}):\n"""{item["quote"]}"""\n\n'
                 f'CLAIM:\n"""{item["claim"]}"""\n\nDoes the evidence directly support the claim?'

@@ -176,6 +176,11 @@ class ScriptedGenerator:
         return F.when(query.isNotNull(), _free(self.respond(query, retrieved)))
 
 
+# What the scripted answer says.
+GROUNDED_ANSWER = "A grounded answer drawn from the filing."
+GROUNDED_CLAIM = "From the filing: "
+
+
 def grounded_generator() -> ScriptedGenerator:
     """One claim that quotes the opening of the best chunk."""
 
@@ -185,8 +190,8 @@ def grounded_generator() -> ScriptedGenerator:
             lambda top: let(
                 opening_quote(top["text"]),
                 lambda quote: _one_claim(
-                    F.lit("A grounded answer drawn from the filing."),
-                    F.concat(F.lit("From the filing: "), quote),
+                    F.lit(GROUNDED_ANSWER),
+                    F.concat(F.lit(GROUNDED_CLAIM), quote),
                     top["chunk_id"],
                     quote,
                 ),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from citewright.functions.strings import WORD_END, WORD_START, WS, collapse_ws, let, match_spans
 
 # A Part marker, and an Item heading with its title up to the line end.
+# The look-ahead for the first letter changes no match: it spares the costlier look
+# behind for a word start at every other place.
 PART = f"(?i)(?=P){WORD_START}PART{WS}+(IV|I{{1,3}}){WORD_END}"
 ITEM = f"(?i)(?=I){WORD_START}Item{WS}+([0-9]{{1,2}}[A-Z]?)\\.{WS}+([A-Za-z][^\\n]{{2,90}})"
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -121,14 +122,7 @@ class Store:
         return newest, {row["bucket"]: row["version"] for row in named}
 
     def _schema(self, name: str) -> T.StructType:
-        """What ``name`` holds, from the plans that make it; no data is read."""
-        raw = self.spark.createDataFrame([], RAW_SCHEMA)
-        filings = canonical_filings(raw).withColumns({"ingested_at": F.lit(""), "bucket": F.lit(0)})
-        if name == "filings":
-            return filings.schema
-        chunks = _chunks(filings, HashEmbedder(self.dimensions), None).withColumn("bucket", F.lit(0))
-        made = {"chunks": chunks, "frequency": term_frequency(chunks, "bucket"), "totals": chunk_totals(chunks, "bucket")}
-        return made[name].schema
+        return _schemas(self.spark, self.dimensions)[name]
 
     def _read(self, name: str) -> DataFrame:
         """The published rows of a table."""
@@ -248,6 +242,19 @@ def _chunks(filings: DataFrame, embedder: Embedder, options: ChunkOptions | None
     return with_features(chunk_filings(filings, options), embedder).withColumn("embedder_id", F.lit(embedder.id))
 
 
+@lru_cache(maxsize=4)
+def _schemas(spark: SparkSession, dimensions: int) -> dict[str, T.StructType]:
+    """What each table holds, from the plans that make it; no data is read."""
+    raw = spark.createDataFrame([], RAW_SCHEMA)
+    filings = canonical_filings(raw).withColumns({"ingested_at": F.lit(""), "bucket": F.lit(0)})
+    # From here on by type only, so that the long plan is analysed once.
+    filings = spark.createDataFrame([], filings.schema)
+    chunks = _chunks(filings, HashEmbedder(dimensions), None).withColumn("bucket", F.lit(0))
+    chunks = spark.createDataFrame([], chunks.schema)
+    tables = filings, chunks, term_frequency(chunks, "bucket"), chunk_totals(chunks, "bucket")
+    return {name: table.schema for name, table in zip(TABLES, tables)}
+
+
 def _require_unique(filings: DataFrame) -> None:
     again = filings.groupBy("accession").count().filter("count > 1").limit(5).collect()
     if again:

@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from citewright.functions.generation import MODEL_RATES
-from citewright.functions.html import BLOCK_TAGS, NAMED_ENTITIES
-from citewright.functions.tokens import accent_map
-from citewright.plans.answer import REFUSAL_MESSAGE
+import unicodedata
+
+# Fixed values, stated here again so that a wrong one elsewhere shows.
+BLOCK_TAGS = ["p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section", "article"]
+NAMED_ENTITIES = {
+    "amp": "&",
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "nbsp": " ",
+    "rsquo": "’",
+    "lsquo": "‘",
+    "rdquo": "”",
+    "ldquo": "“",
+    "mdash": "—",
+    "ndash": "–",
+    "hellip": "…",
+}
+MODEL_RATES = {
+    "claude-opus-4-8": (5.0, 25.0),
+    "claude-sonnet-4-6": (3.0, 15.0),
+    "claude-haiku-4-5": (1.0, 5.0),
+}
+REFUSAL_MESSAGE = "This question is not supported by the available corpus."
 
 _SPACES = (
     r"\t\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -274,7 +295,17 @@ vec AS MATERIALIZED (
         ON dots.item_id = qn.item_id AND dots.accession = cn.accession AND dots.start_offset = cn.start_offset))
   WHERE vector_rank <= 20)"""
 
-_FROM, _TO = accent_map()
+def _base(char: str) -> str:
+    """The first letter that a character decomposes to, step by step; itself if to none."""
+    while (parts := unicodedata.decomposition(char).split()) and not parts[0].startswith("<"):
+        char = chr(int(parts[0], 16))
+    return char
+
+
+_LETTERS = [chr(code) for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00))]
+_FOLDED = {char: _base(char) for char in _LETTERS if char.islower() and _base(char) != char}
+_FROM = "".join(_FOLDED) + "".join(map(chr, range(0x0300, 0x0370)))
+_TO = "".join(_FOLDED.values())
 
 
 def _index_terms(text: str) -> str:

@@ -28,7 +28,7 @@ from citewright.plans.answer import (
 )
 from citewright.plans.retrieve import hybrid_retrieve, retrieved_array
 
-GROUNDED = "orchard net sales rose"
+GROUNDED = "orchard cider takings grew"
 OUTSIDE = "photosynthesis chlorophyll mitochondria xylophone"
 
 
@@ -102,10 +102,10 @@ def test_no_retrieval(spark, index):
 
 
 def test_only_the_recorded_query_is_redacted(spark, index):
-    asked = "orchard net sales for pat.lee@orchard.example"
+    asked = "orchard cider takings for pat.lee@orchard.example"
     queries = spark.createDataFrame([("a", asked, "2026")], "query_id string, query string, created_at string")
     row = answer_queries(queries, index).first()
-    assert row.query == "orchard net sales for [REDACTED:email]"
+    assert row.query == "orchard cider takings for [REDACTED:email]"
 
 
 def test_observed(spark, arrays):
@@ -189,5 +189,5 @@ def test_cassettes(arrays):
 
 def test_sentence_generator(arrays):
     row = decide(arrays, sentence_generator())["in"]
-    assert row.verdict in ("answered", "refused")
+    assert (row.verdict, row.refusal_reason) == ("refused", "unverified_claims")
     assert row.claims[0].text == row.claims[0].citations[0].quote

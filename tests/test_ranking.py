@@ -142,7 +142,7 @@ def test_two_lists_agree_with_many(spark):
 
 
 def test_retriever_finds_the_section(spark, index):
-    asked = [(1, "orchard net sales cider"), (2, "pruning robots frost risk"), (3, "freight volumes warehouses")]
+    asked = [(1, "orchard cider takings cider"), (2, "pruning robots frost risk"), (3, "freight volumes warehouses")]
     queries = spark.createDataFrame(asked, "query_id long, query string")
     rows = hybrid_retrieve(queries, index).filter("fused_rank = 1").orderBy("query_id").collect()
     assert [(r.company.split()[0], r.section_id) for r in rows] == [

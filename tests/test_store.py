@@ -126,7 +126,7 @@ def test_bad_fields_stop_an_ingest(spark, raw, store):
 
 def test_audit_log(spark, store):
     queries = spark.createDataFrame(
-        [("a", "orchard net sales 100%_", "2026-06-10"), ("b", "xylophone", "2026-06-11"),
+        [("a", "orchard cider takings 100%_", "2026-06-10"), ("b", "xylophone", "2026-06-11"),
          ("c", "pruning robots frost", "2026-06-12")], QUERY
     )
     answers = answer_queries(queries, store.index())
@@ -157,7 +157,7 @@ def test_audit_log(spark, store):
 
 
 def test_snapshot(spark, store, tmp_path):
-    queries = spark.createDataFrame([("s", "orchard net sales", "2026-06-10")], QUERY)
+    queries = spark.createDataFrame([("s", "orchard cider takings", "2026-06-10")], QUERY)
     cited = cited_accessions(answer_queries(queries, store.index()))
     snapshot = build_snapshot(store.filings(), store.records(), cited)
     write_document(snapshot, str(tmp_path / "one"), "2026")
