@@ -686,11 +686,15 @@ def _escaped(text: str) -> Column:
 @_register
 def highlight_spans(t: Tables) -> DataFrame:
     """Every redaction of every filing in its surroundings."""
-    hits = t.filings.select("accession", "canonical_text", F.explode("redactions").alias("h"))
-    shown = hits.withColumn(
-        "s", highlight_span(F.col("canonical_text"), F.col("h.start"), F.col("h.end"))
-    )
-    return shown.select("accession", *_long("h.start"), "s.*")
+    shown = F.transform(
+        "redactions",
+        lambda h: F.struct(
+            h["start"].alias("start"), highlight_span(F.col("canonical_text"), h["start"], h["end"]).alias("s")
+        ),
+    )
+    # Cut before the explode, so that no row but the filing's carries the text.
+    hits = t.filings.select("accession", F.explode(shown).alias("h"))
+    return hits.select("accession", *_long("h.start"), "h.s.*")
 
 
 @_register

@@ -17,6 +17,7 @@ from citewright.operators.vector import vector_topk
 from citewright.plans.ingest import canonical_filings
 from citewright.session import materialise, spread
 from citewright.sources.tables import tables
+from citewright.workloads import registered
 
 FOLDER = contract.SMOKE_DIR
 CROSS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -31,9 +32,9 @@ def plan(frame) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(registered()))
 def test_no_query_pairs_everything_with_everything(spark, name):
-    text = plan(contract.queries()[name](spark, FOLDER))
+    text = plan(registered()[name](spark, FOLDER))
     assert not any(node in text for node in CROSS)
 
 
