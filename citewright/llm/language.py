@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from citewright.llm.shared import extended, slices, with_fields, written
 
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+ALPHABETIC = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 # About so many labelled texts of each language are learned from, chosen by a
@@ -52,6 +52,16 @@ MEMO_WORDS = 600_000
 BLOCK = 4_096
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """The words of a text: runs of letters, lower-cased."""
+    found = ALPHABETIC.findall((text or "").lower())
+    if found and not "".join(found).isalpha():
+        # The pattern also takes fractions and letter-like numbers, which are no letters.
+        parts = ("".join(c if c.isalpha() else " " for c in word).split() for word in found)
+        found = [part for split in parts for part in split]
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     """``weights[piece, language]``: probabilities; the last two rows are a
@@ -167,7 +177,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for word, n in Counter(LETTERS.findall(text.lower())).items():
+                for word, n in Counter(letter_runs(text)).items():
                     held[lang, word] += n
             if len(held) >= MEMO_WORDS:
                 yield out()
@@ -241,7 +251,7 @@ class _Scorer:
         self.scores = np.zeros((0, len(model.languages)))
 
     def totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        counted = [Counter(LETTERS.findall((text or "").lower())) for text in texts]
+        counted = [Counter(letter_runs(text)) for text in texts]
         if len(self.place) >= MEMO_WORDS:
             self.__init__(self.model)
         new = list({word for counts in counted for word in counts if word not in self.place})

@@ -46,6 +46,11 @@ def test_words_sum_over_all_segmentations(weights):
         assert np.allclose(score, by_segmentations(word, weights)), word
 
 
+def test_words_are_runs_of_letters():
+    assert language.letter_runs("Don't x²y ½ Straße9 日本 _a_ " + chr(0x1F600)) == ["don", "t", "x", "y", "straße", "日本", "a"]
+    assert language.letter_runs(None) == []
+
+
 def test_expected_counts_cover_each_word(weights):
     words = ["the", "thing", "thing", "extraordinarily"]
     langs, counts = np.array([0, 1, 2, 0]), np.array([2.0, 1.0, 3.0, 1.0])
@@ -69,7 +74,7 @@ def test_held_out_accuracy(spark):
 def test_edges(spark):
     rows = [(i, "the one and the other of it", "en") for i in range(20)]
     rows += [(i, "der eine und die andere davon", "de") for i in range(20, 40)]
-    rows += [(50, None, "en"), (51, "", None), (52, "12 !! 34", "de"), (None, "the one", "en"), (53, "und die " * 50_000, None)]
+    rows += [(50, None, "en"), (51, "", None), (52, "12 !! 34 ² ½ Ⅷ _", "de"), (None, "the one", "en"), (53, "und die " * 50_000, None)]
     rows += [(1, "the one and the other of it", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = language.predict(df, PATH).collect()
