@@ -17,7 +17,8 @@ comes first in the order.
 Those within ``r`` of it link to it and leave; by the triangle inequality only those
 within ``2 r`` can link to one that left, so only these, the boundary, are compared with
 them as well; all others go on to the next pivot of the region, recursively. What is
-left after some levels, and small regions, are compared pair by pair.
+left after some levels, and small regions, are compared pair by pair. Classes that are
+connected already are not compared, and regions whose classes all are have ended.
 
 Equal sets are one class throughout. Links between classes give the components. For
 components, pairs that left around the same pivot need not be compared with each other.
@@ -32,6 +33,7 @@ components, pairs that left around the same pivot need not be compared with each
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -226,10 +228,10 @@ def _regions(described: DataFrame) -> DataFrame:
 
 def _all_pairs(members: DataFrame) -> DataFrame:
     """``a, b`` of each small region; a region's classes are few and lie in one array."""
-    named = members.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("class", "n"))).alias("m"))
+    named = members.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("class", "n", "root"))).alias("m"))
     left = named.select("m", F.posexplode("m").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("b"))
-    pairs = pairs.filter(_sizes_allow(F.col("a.n"), F.col("b.n"), LINK))
+    pairs = pairs.filter((F.col("a.root") != F.col("b.root")) & _sizes_allow(F.col("a.n"), F.col("b.n"), LINK))
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
 
 
@@ -264,52 +266,68 @@ def _class_sets(rows: DataFrame, described: DataFrame, members: DataFrame, size:
     return written(texts.mapInArrow(run, "class long, n long, shingles array<long>").dropDuplicates(["class"]), "class-sets")
 
 
-def _linked(measured: DataFrame) -> Column:
+def _linked() -> Column:
     return F.col("shared") * 100 >= F.col("total") * LINK
 
 
+def _merged_roots(links: list[DataFrame], nothing: DataFrame) -> DataFrame:
+    """``class, root`` of all classes that the links found so far connect."""
+    roots = components(reduce(DataFrame.unionByName, links, nothing))
+    return roots.withColumnRenamed("node", "class")
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` of regions that hold more than one component, with their ``root``."""
+    named = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = written(named.select("shingle", "class", "n", "root"), "region-members")
+    mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return named.join(written(mixed.filter("low != high").select("shingle"), "mixed-regions"), "shingle")
+
+
 def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> DataFrame:
     """``a, b``: links between classes that give the components of all links."""
+    nothing = described.sparkSession.createDataFrame([], "a long, b long")
     members = _regions(described)
     sets = _class_sets(rows, described, members, size)
+    members = members.withColumn("root", F.col("class"))
     # Within 2 r of the pivot: twice the distance of a link.
     near = F.col("shared") * 100 >= F.col("total") * (2 * LINK - 100)
+    away = 1 - F.col("shared") / F.col("total")
     links, pairs = [], []
     for _ in range(LEVELS):
         counts = members.groupBy("shingle").agg(F.count("*").alias("members"), F.min("class").alias("pivot"))
         counts = written(counts.filter("members > 1"), "region-pivots")
-        if not counts.take(1):
+        sizes = counts.agg(F.max("members").alias("largest")).first()
+        if sizes["largest"] is None:
             break
         pairs.append(_all_pairs(members.join(counts.filter(F.col("members") <= SMALL).select("shingle"), "shingle")))
+        if sizes["largest"] <= SMALL:
+            break
         star = members.join(counts.filter(F.col("members") > SMALL).select("shingle", "pivot"), "shingle")
-        star = written(star.filter("class != pivot"), "region-stars")
+        star = written(star.filter("class != pivot").select("shingle", "class", "n", "pivot"), "region-stars")
         pivots = star.select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        found = written(_measured(pivots, sets), "pivot-distances")
-        links.append(found.filter(_linked(found)).select("a", "b"))
-        spots = star.join(
-            found.select(F.col("a").alias("pivot"), F.col("b").alias("class"), _linked(found).alias("inner"), near.alias("near")),
-            ["pivot", "class"],
-        )
-        spots = written(spots, "region-distances")
-        boundary = spots.filter("near and not inner").select("shingle", F.col("class").alias("b"), F.col("n").alias("m"))
-        left = spots.filter("inner").select("shingle", F.col("class").alias("a"), "n")
-        # A class that left through one region need not be compared again in another.
-        across = left.join(boundary, "shingle").filter(_sizes_allow(F.col("n"), F.col("m"), LINK))
+        found = written(_measured(pivots, sets).withColumns({"inner": _linked(), "near": near, "away": away}), "pivot-distances")
+        links.append(found.filter("inner").select("a", "b"))
+        roots = written(_merged_roots(links, nothing), "roots")
+        # The boundary of a pivot meets those that left around it, once for all its regions, unless
+        # both are connected already. A partner lies as far from the pivot as the inequality asks for.
+        of = lambda name: roots.select(F.col("class").alias(name), F.col("root").alias(f"{name}_root"))
+        boundary = found.filter("near and not inner").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        boundary = boundary.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+        boundary = boundary.select(F.col("a").alias("pivot"), F.col("b"), F.col("away").alias("b_away"))
+        left = found.filter("inner").select(F.col("a").alias("pivot"), F.col("b").alias("a"), F.col("away").alias("a_away"))
+        across = left.join(boundary, "pivot").filter(F.col("a_away") >= F.col("b_away") - (1 - LINK / 100) - 1e-9)
         pairs.append(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        members = spots.filter("not inner").select("shingle", "class", "n")
+        outer = star.join(found.filter("not inner").select(F.col("a").alias("pivot"), F.col("b").alias("class")), ["pivot", "class"])
+        members = _apart(outer.select("shingle", "class", "n"), roots)
     else:
-        rest = members.withColumnRenamed("class", "a").join(
-            members.select("shingle", F.col("class").alias("b"), F.col("n").alias("m")), "shingle"
+        rest = members.select("shingle", F.col("class").alias("a"), "n", "root").join(
+            members.select("shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("other")), "shingle"
         )
-        rest = rest.filter((F.col("a") < F.col("b")) & _sizes_allow(F.col("n"), F.col("m"), LINK))
-        pairs.append(rest.select("a", "b"))
-    for part in pairs:
-        found = _measured(part, sets)
-        links.append(found.filter(_linked(found)).select("a", "b"))
-    nothing = described.sparkSession.createDataFrame([], "a long, b long")
-    for part in links:
-        nothing = nothing.unionByName(part)
-    return nothing
+        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
+        pairs.append(rest.filter(_sizes_allow(F.col("n"), F.col("m"), LINK)).select("a", "b"))
+    found = _measured(reduce(DataFrame.unionByName, pairs, nothing), sets)
+    return reduce(DataFrame.unionByName, links, found.filter(_linked()).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -319,6 +337,8 @@ def components(links: DataFrame) -> DataFrame:
     least node it knows, until nothing changes. The rounds are logarithmic in practice.
     """
     edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    sign = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    before = sign(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
@@ -327,12 +347,10 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("root").alias("b"))
         after = written(small.filter("a != b").distinct(), "edges")
-        sign = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        same = sign(after) == sign(edges)
         for old in (edges, large):
             discard(old)
-        edges = after
-        if same:
+        edges, known, before = after, before, sign(after)
+        if before == known:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
