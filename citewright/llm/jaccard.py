@@ -211,7 +211,10 @@ def _shared_shingles(described: DataFrame) -> DataFrame:
 
 
 def _regions(described: DataFrame) -> DataFrame:
-    """``shingle, class, n``: the classes of each region of a shingle pivot that has several."""
+    """``shingle, class, n, before``: the classes of each region of a shingle pivot that has several.
+
+    ``before`` shingles of the class, at least, come before this one in the order.
+    """
     counted = (F.shiftrightunsigned("shingle", 56).bitwiseXOR(F.lit(128))) < COUNTED
     rank = F.when(counted, F.col("n_classes")).otherwise(F.lit((1 << 63) - 1))
     shared = _shared_shingles(described).withColumn("spot", F.struct(rank.alias("rank"), "shingle", counted.alias("counted")))
@@ -220,18 +223,19 @@ def _regions(described: DataFrame) -> DataFrame:
     length = F.col("n") - F.floor((LINK * F.col("n") + 99) / 100) + 1
     alone = F.col("n_counted") - F.size(F.filter("spots", lambda s: s["counted"]))
     room = F.when(F.col("n_counted") >= length, F.greatest(length - alone, F.lit(0))).otherwise(F.size("spots"))
-    spots = of_class.join(sizes, "class").select("class", "n", F.explode(F.slice("spots", F.lit(1), room.cast("int"))).alias("s"))
-    spots = written(spots.select("s.shingle", "class", "n"), "prefixes")
+    prefix = F.posexplode(F.slice("spots", F.lit(1), room.cast("int"))).alias("at", "s")
+    spots = of_class.join(sizes, "class").select("class", "n", alone.alias("alone"), prefix)
+    spots = written(spots.select("s.shingle", "class", "n", (F.col("alone") + F.col("at")).alias("before")), "prefixes")
     several = spots.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1").select("shingle")
     return written(spots.join(written(several, "regions"), "shingle"), "region-members")
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
     """``a, b`` of each small region; a region's classes are few and lie in one array."""
-    named = members.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("class", "n", "root"))).alias("m"))
+    named = members.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("class", "n", "before", "root"))).alias("m"))
     left = named.select("m", F.posexplode("m").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("b"))
-    pairs = pairs.filter((F.col("a.root") != F.col("b.root")) & _sizes_allow(F.col("a.n"), F.col("b.n"), LINK))
+    pairs = pairs.filter((F.col("a.root") != F.col("b.root")) & _may_meet_first(*[F.col(f"{x}.{y}") for x in "ab" for y in ("n", "before")]))
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
 
 
@@ -239,6 +243,13 @@ def _sizes_allow(n: Column, m: Column, share: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * share
 
 
+def _may_meet_first(n: Column, before_n: Column, m: Column, before_m: Column) -> Column:
+    """Whether a shingle can be the first that two linked sets share: what comes before it in either
+    is not shared, and the rest must be enough. Linked sets pass where that shingle is."""
+    needed = F.ceil((n + m) * LINK / (100 + LINK))
+    return _sizes_allow(n, m, LINK) & (n - before_n >= needed) & (m - before_m >= needed)
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, shared, total``: sizes of intersection and union, counted on the whole sets."""
     one = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
@@ -279,7 +290,7 @@ def _merged_roots(links: list[DataFrame], nothing: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` of regions that hold more than one component, with their ``root``."""
     named = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = written(named.select("shingle", "class", "n", "root"), "region-members")
+    named = written(named.select("shingle", "class", "n", "before", "root"), "region-members")
     mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return named.join(written(mixed.filter("low != high").select("shingle"), "mixed-regions"), "shingle")
 
@@ -304,7 +315,7 @@ def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> Data
         if sizes["largest"] <= SMALL:
             break
         star = members.join(counts.filter(F.col("members") > SMALL).select("shingle", "pivot"), "shingle")
-        star = written(star.filter("class != pivot").select("shingle", "class", "n", "pivot"), "region-stars")
+        star = written(star.filter("class != pivot").select("shingle", "class", "n", "before", "pivot"), "region-stars")
         pivots = star.select(F.col("pivot").alias("a"), F.col("class").alias("b"))
         found = written(_measured(pivots, sets).withColumns({"inner": _linked(), "near": near, "away": away}), "pivot-distances")
         links.append(found.filter("inner").select("a", "b"))
@@ -319,13 +330,17 @@ def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> Data
         across = left.join(boundary, "pivot").filter(F.col("a_away") >= F.col("b_away") - (1 - LINK / 100) - 1e-9)
         pairs.append(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         outer = star.join(found.filter("not inner").select(F.col("a").alias("pivot"), F.col("b").alias("class")), ["pivot", "class"])
-        members = _apart(outer.select("shingle", "class", "n"), roots)
+        members = _apart(outer.select("shingle", "class", "n", "before"), roots)
     else:
-        rest = members.select("shingle", F.col("class").alias("a"), "n", "root").join(
-            members.select("shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("other")), "shingle"
+        rest = members.select("shingle", F.col("class").alias("a"), "n", "before", "root").join(
+            members.select(
+                "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("before").alias("before_m"), F.col("root").alias("other")
+            ),
+            "shingle",
         )
         rest = rest.filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
-        pairs.append(rest.filter(_sizes_allow(F.col("n"), F.col("m"), LINK)).select("a", "b"))
+        first = _may_meet_first(F.col("n"), F.col("before"), F.col("m"), F.col("before_m"))
+        pairs.append(rest.filter(first).select("a", "b"))
     found = _measured(reduce(DataFrame.unionByName, pairs, nothing), sets)
     return reduce(DataFrame.unionByName, links, found.filter(_linked()).select("a", "b"))
 
