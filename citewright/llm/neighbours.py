@@ -6,6 +6,12 @@ partitioned and sorted by Spark. A curve is cut into blocks of equal size. A que
 is compared exactly with the vectors of its block and of the blocks on both sides,
 on every curve; the best of all windows are merged and ranked by distance.
 
+How far a window reaches follows from the number of entries, by one rule at every
+size: the windows of a query on all curves hold as many entries together, repeats
+counted, as the table. Where neighbours are hardly nearer than the rest, recall
+depends on the share of the table that is seen, so a fixed window would lose it as
+the table grows. Blocks grow up to what a task holds, then a window takes more of them.
+
 Every row is in the index. Equal vectors are one entry of it with the least ids
 that carry it, so a vector that a third of all rows share is neither a large block
 nor a lost tie. Blocks hold the same number of entries whatever the data are.
@@ -21,6 +27,7 @@ nor a lost tie. Blocks hold the same number of entries whatever the data are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +40,11 @@ from citewright.llm.shared import partitions_for, written
 CURVES = 16
 DIMENSIONS = 6
 BITS = 8
-# Entries of a block; a query sees three blocks of a curve.
+# Entries of a block, least and most; a query sees its own and ``reach`` blocks on each side of a curve.
 BLOCK = 2_048
+MOST_IN_BLOCK = 32_768
+# Entries in all windows of a query together, by those of the table.
+COVER = 1.0
 # Coordinates beyond so many standard deviations lie on the border of the curve's cube.
 REACH = 3.0
 # The share of the cube that shifts take up.
@@ -42,6 +52,13 @@ SHIFT = 0.25
 SEED = 7
 
 
+def windows_for(entries: int, curves: int) -> tuple[int, int]:
+    """``block, reach``: entries of a block, and blocks on each side of a query's own that it sees."""
+    window = COVER * entries / curves
+    block = min(MOST_IN_BLOCK, max(BLOCK, math.ceil(window / 3)))
+    return block, max(1, math.ceil((window / block - 1) / 2))
+
+
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places of cells (rows of coordinates below ``2**bits``) along a Hilbert curve.
 
@@ -106,8 +123,8 @@ def _moments(entries: DataFrame, projections: np.ndarray) -> tuple[np.ndarray, n
     return mean, np.sqrt(np.maximum(found.q.to_numpy() / found.n.to_numpy() - mean**2, 1e-30))
 
 
-def curve_places(entries: DataFrame, width: int, curves: int, dimensions: int, bits: int) -> DataFrame:
-    """``curve, block, entry, is_query, vector``: every entry on every curve."""
+def curve_places(entries: DataFrame, width: int, curves: int, dimensions: int, bits: int, size: int) -> DataFrame:
+    """``curve, block, entry, is_query, vector``: every entry on every curve, in blocks of ``size``."""
     rng = np.random.default_rng(SEED)
     projections = rng.standard_normal((width, curves * dimensions))
     shifts = rng.random(curves * dimensions) * SHIFT
@@ -143,15 +160,16 @@ def curve_places(entries: DataFrame, width: int, curves: int, dimensions: int, b
     before = F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")
     parts = parts.select("curve", "part", (before - F.col("first")).alias("offset"))
     placed = numbered.join(F.broadcast(parts), ["curve", "part"])
-    block = F.floor((F.col("at") + F.col("offset")) / BLOCK)
+    block = F.floor((F.col("at") + F.col("offset")) / size)
     return placed.select("curve", block.alias("block"), "entry", "is_query", "vector")
 
 
-def _best_in_blocks(places: DataFrame, k: int) -> DataFrame:
+def _best_in_blocks(places: DataFrame, k: int, reach: int) -> DataFrame:
     """``query, entry, score``: the ``k`` nearest entries of each block to the queries that see it."""
+    around = F.sequence(F.col("block") - reach, F.col("block") + reach)
     asked = places.filter("is_query").select(
         F.col("curve").alias("on"),
-        F.explode(F.array(*[F.col("block") + n for n in (-1, 0, 1)])).alias("seen"),
+        F.explode(around).alias("seen"),
         F.col("entry").alias("query"),
         F.col("vector").alias("wanted"),
     )
@@ -202,11 +220,12 @@ def nearest(
         "entries",
     )
     # A row may share its id with one of another vector; an entry is then named by both.
-    first = entries.select(F.size("vector").alias("width")).first()
+    held = entries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     empty = f"query_id long, rank int, `{key}` long, score double"
-    if first is None:
+    if not held["n"]:
         return vectors.sparkSession.createDataFrame([], empty)
-    found = _best_in_blocks(curve_places(entries, first["width"], curves, dimensions, bits), k + 1)
+    size, reach = windows_for(held["n"], curves)
+    found = _best_in_blocks(curve_places(entries, held["width"], curves, dimensions, bits, size), k + 1, reach)
     found = found.groupBy("query", "entry").agg(F.min("score").alias("score"))
     nearer = Window.partitionBy("query").orderBy("score", "entry")
     best = found.withColumn("n", F.row_number().over(nearer)).filter(F.col("n") <= k + 1)

@@ -4,6 +4,9 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from citewright.llm import neighbours
@@ -62,3 +65,38 @@ def test_recall(spark):
         scores[at] = np.inf
         hits.append(len(got[ids[at]] & set(ids[np.lexsort((ids, scores))[:10]].tolist())) / 10)
     assert np.mean(hits) >= 0.9
+
+
+def test_windows_follow_the_table():
+    for curves in (1, 16):
+        for entries in (1, 10_256, 51_282, 98_304, 300_000, 5_000_000, 10**9):
+            block, reach = neighbours.windows_for(entries, curves)
+            assert neighbours.BLOCK <= block <= neighbours.MOST_IN_BLOCK and reach >= 1
+            assert curves * (2 * reach + 1) * block >= entries
+
+
+@pytest.mark.parametrize("n, block, most", [(30_000, 200, 200), (300_000, neighbours.BLOCK, neighbours.MOST_IN_BLOCK)])
+def test_recall_beyond_the_least_windows(spark, monkeypatch, tmp_path, n, block, most):
+    """Three times what 16 windows of three least blocks hold, in noise around ten centres as the given tables have."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "MOST_IN_BLOCK", most)
+    rng = np.random.default_rng(11)
+    width = 64
+    centres = rng.standard_normal((10, width))
+    centres /= 4 * np.linalg.norm(centres, axis=1, keepdims=True)
+    matrix = centres[rng.integers(0, 10, n)] + rng.standard_normal((n, width)) * 0.12
+    matrix = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), width).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), tmp_path / "vectors.parquet")
+    vectors = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    found = neighbours.nearest(vectors, F.col("id") % (n // 100) == 0).toPandas()
+    got = found.groupby("query_id").vec_id.apply(set)
+    asked = np.arange(0, n, n // 100)
+    assert sorted(got.index) == asked.tolist() and (found["rank"] <= 10).all()
+    hits = []
+    for at in asked:
+        scores = ((matrix - matrix[at]) ** 2).sum(axis=1)
+        scores[at] = np.inf
+        hits.append(len(got[at] & set(np.argpartition(scores, 10)[:10].tolist())) / 10)
+    print(f"recall at {n}: {np.mean(hits):.3f}")
+    assert np.mean(hits) >= 0.9
