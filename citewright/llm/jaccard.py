@@ -10,8 +10,8 @@ and a global order (rare shingles first) decides between them. A document lies i
 Voronoi region of its first shingle and is copied into those of the next ones as far
 as the triangle inequality lets a partner's first common shingle be (its prefix). A
 document whose prefix holds shingles of its own only has no partner and goes nowhere.
-Frequencies are exact counts over all documents, of the fifth of all shingles that
-comes first in the order.
+Frequencies are exact counts over all documents, of the shingles that come first by
+hash, a third more of them than a prefix has.
 
 *Document pivots.* A region with more than a few documents takes one of them as pivot.
 Those within ``r`` of it link to it and leave; by the triangle inequality only those
@@ -58,10 +58,8 @@ from citewright.llm.shared import (
 )
 
 SIZE = 4
-# Sets link if 100 * intersection >= LINK * union.
+# Sets link if 100 * intersection >= share * union; the share unless another is given.
 LINK = 85
-# The part of all hashes, in 256ths, whose frequencies are counted.
-COUNTED = 52
 # Documents of a region that are compared pair by pair.
 SMALL = 8
 # Levels of document pivots.
@@ -71,12 +69,16 @@ HELD = 1 << 20
 
 _U = np.uint64
 _TOP = _U(1 << 63)
-_FIRST = _U(COUNTED << 56)
 
 
-def _prefix(sizes: np.ndarray) -> np.ndarray:
+def _counted(share: int) -> int:
+    """The part of all hashes, in 256ths, whose frequencies are counted: a third more than a prefix."""
+    return min(255, -(-(100 - share) * 52 // 15))
+
+
+def _prefix(sizes: np.ndarray, share: int) -> np.ndarray:
     """Shingles of which a linked set must have one: all but those that it needs to share, and one."""
-    return sizes - (LINK * sizes + 99) // 100 + 1
+    return sizes - (share * sizes + 99) // 100 + 1
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -97,21 +99,22 @@ def _ordered(hashes: np.ndarray) -> np.ndarray:
     return (hashes ^ _TOP).view(np.int64)
 
 
-def _described(rows: DataFrame, size: int, seed: int) -> DataFrame:
+def _described(rows: DataFrame, size: int, share: int, seed: int) -> DataFrame:
     """``doc, row, id, n, class, check, n_counted, sent``: each document's set, its class and first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.array([seed], _U))[0]
+        first = _U(_counted(share) << 56)
         for batch in slices(batches, "text"):
             sizes, classes, checks, counted, sent = [], [], [], [], []
             for shingles in _sets(batch.column("text"), size):
                 n = len(shingles)
-                few = int(np.searchsorted(shingles, _FIRST))
+                few = int(np.searchsorted(shingles, first))
                 sizes.append(n)
                 classes.append(int(mix(shingles ^ salt).sum().view(np.int64)))
                 checks.append(int(mix(shingles + salt).sum().view(np.int64)))
                 counted.append(few)
-                sent.append(_ordered(shingles[: max(few, int(_prefix(np.int64(n))) if n else 0)]).tobytes())
+                sent.append(_ordered(shingles[: max(few, int(_prefix(np.int64(n), share)) if n else 0)]).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc"),
@@ -210,17 +213,17 @@ def _shared_shingles(described: DataFrame) -> DataFrame:
     return dealt.mapInArrow(count_up, "class long, shingle long, n_classes long")
 
 
-def _regions(described: DataFrame) -> DataFrame:
+def _regions(described: DataFrame, share: int) -> DataFrame:
     """``shingle, class, n, before``: the classes of each region of a shingle pivot that has several.
 
     ``before`` shingles of the class, at least, come before this one in the order.
     """
-    counted = (F.shiftrightunsigned("shingle", 56).bitwiseXOR(F.lit(128))) < COUNTED
+    counted = (F.shiftrightunsigned("shingle", 56).bitwiseXOR(F.lit(128))) < _counted(share)
     rank = F.when(counted, F.col("n_classes")).otherwise(F.lit((1 << 63) - 1))
     shared = _shared_shingles(described).withColumn("spot", F.struct(rank.alias("rank"), "shingle", counted.alias("counted")))
     of_class = shared.groupBy("class").agg(F.array_sort(F.collect_list("spot")).alias("spots"))
     sizes = described.filter("n > 0").select("class", "n", "n_counted").distinct()
-    length = F.col("n") - F.floor((LINK * F.col("n") + 99) / 100) + 1
+    length = F.col("n") - F.floor((share * F.col("n") + 99) / 100) + 1
     alone = F.col("n_counted") - F.size(F.filter("spots", lambda s: s["counted"]))
     room = F.when(F.col("n_counted") >= length, F.greatest(length - alone, F.lit(0))).otherwise(F.size("spots"))
     prefix = F.posexplode(F.slice("spots", F.lit(1), room.cast("int"))).alias("at", "s")
@@ -230,12 +233,13 @@ def _regions(described: DataFrame) -> DataFrame:
     return written(spots.join(written(several, "regions"), "shingle"), "region-members")
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
+def _all_pairs(members: DataFrame, share: int) -> DataFrame:
     """``a, b`` of each small region; a region's classes are few and lie in one array."""
     named = members.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("class", "n", "before", "root"))).alias("m"))
     left = named.select("m", F.posexplode("m").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("b"))
-    pairs = pairs.filter((F.col("a.root") != F.col("b.root")) & _may_meet_first(*[F.col(f"{x}.{y}") for x in "ab" for y in ("n", "before")]))
+    first = _may_meet_first(*[F.col(f"{x}.{y}") for x in "ab" for y in ("n", "before")], share)
+    pairs = pairs.filter((F.col("a.root") != F.col("b.root")) & first)
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
 
 
@@ -243,11 +247,11 @@ def _sizes_allow(n: Column, m: Column, share: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * share
 
 
-def _may_meet_first(n: Column, before_n: Column, m: Column, before_m: Column) -> Column:
+def _may_meet_first(n: Column, before_n: Column, m: Column, before_m: Column, share: int) -> Column:
     """Whether a shingle can be the first that two linked sets share: what comes before it in either
     is not shared, and the rest must be enough. Linked sets pass where that shingle is."""
-    needed = F.ceil((n + m) * LINK / (100 + LINK))
-    return _sizes_allow(n, m, LINK) & (n - before_n >= needed) & (m - before_m >= needed)
+    needed = F.ceil((n + m) * share / (100 + share))
+    return _sizes_allow(n, m, share) & (n - before_n >= needed) & (m - before_m >= needed)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,8 +281,8 @@ def _class_sets(rows: DataFrame, described: DataFrame, members: DataFrame, size:
     return written(texts.mapInArrow(run, "class long, n long, shingles array<long>").dropDuplicates(["class"]), "class-sets")
 
 
-def _linked() -> Column:
-    return F.col("shared") * 100 >= F.col("total") * LINK
+def _linked(share: int) -> Column:
+    return F.col("shared") * 100 >= F.col("total") * share
 
 
 def _merged_roots(links: list[DataFrame], nothing: DataFrame) -> DataFrame:
@@ -295,14 +299,14 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(written(mixed.filter("low != high").select("shingle"), "mixed-regions"), "shingle")
 
 
-def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> DataFrame:
+def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE, share: int = LINK) -> DataFrame:
     """``a, b``: links between classes that give the components of all links."""
     nothing = described.sparkSession.createDataFrame([], "a long, b long")
-    members = _regions(described)
+    members = _regions(described, share)
     sets = _class_sets(rows, described, members, size)
     members = members.withColumn("root", F.col("class"))
     # Within 2 r of the pivot: twice the distance of a link.
-    near = F.col("shared") * 100 >= F.col("total") * (2 * LINK - 100)
+    near = F.col("shared") * 100 >= F.col("total") * (2 * share - 100)
     away = 1 - F.col("shared") / F.col("total")
     links, pairs = [], []
     for _ in range(LEVELS):
@@ -311,13 +315,13 @@ def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> Data
         sizes = counts.agg(F.max("members").alias("largest")).first()
         if sizes["largest"] is None:
             break
-        pairs.append(_all_pairs(members.join(counts.filter(F.col("members") <= SMALL).select("shingle"), "shingle")))
+        pairs.append(_all_pairs(members.join(counts.filter(F.col("members") <= SMALL).select("shingle"), "shingle"), share))
         if sizes["largest"] <= SMALL:
             break
         star = members.join(counts.filter(F.col("members") > SMALL).select("shingle", "pivot"), "shingle")
         star = written(star.filter("class != pivot").select("shingle", "class", "n", "before", "pivot"), "region-stars")
         pivots = star.select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        found = written(_measured(pivots, sets).withColumns({"inner": _linked(), "near": near, "away": away}), "pivot-distances")
+        found = written(_measured(pivots, sets).withColumns({"inner": _linked(share), "near": near, "away": away}), "pivot-distances")
         links.append(found.filter("inner").select("a", "b"))
         roots = written(_merged_roots(links, nothing), "roots")
         # The boundary of a pivot meets those that left around it, once for all its regions, unless
@@ -327,7 +331,7 @@ def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> Data
         boundary = boundary.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
         boundary = boundary.select(F.col("a").alias("pivot"), F.col("b"), F.col("away").alias("b_away"))
         left = found.filter("inner").select(F.col("a").alias("pivot"), F.col("b").alias("a"), F.col("away").alias("a_away"))
-        across = left.join(boundary, "pivot").filter(F.col("a_away") >= F.col("b_away") - (1 - LINK / 100) - 1e-9)
+        across = left.join(boundary, "pivot").filter(F.col("a_away") >= F.col("b_away") - (1 - share / 100) - 1e-9)
         pairs.append(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         outer = star.join(found.filter("not inner").select(F.col("a").alias("pivot"), F.col("b").alias("class")), ["pivot", "class"])
         members = _apart(outer.select("shingle", "class", "n", "before"), roots)
@@ -339,10 +343,10 @@ def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE) -> Data
             "shingle",
         )
         rest = rest.filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
-        first = _may_meet_first(F.col("n"), F.col("before"), F.col("m"), F.col("before_m"))
+        first = _may_meet_first(F.col("n"), F.col("before"), F.col("m"), F.col("before_m"), share)
         pairs.append(rest.filter(first).select("a", "b"))
     found = _measured(reduce(DataFrame.unionByName, pairs, nothing), sets)
-    return reduce(DataFrame.unionByName, links, found.filter(_linked()).select("a", "b"))
+    return reduce(DataFrame.unionByName, links, found.filter(_linked(share)).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,22 +373,22 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _classified(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def _classified(rows: DataFrame, size: int, share: int) -> tuple[DataFrame, DataFrame]:
     """Every document's set (``_described``), and ``class, root``, the component of each class."""
     for seed in count(1):
-        described = written(_described(rows, size, seed), "shingle-sets")
+        described = written(_described(rows, size, share, seed), "shingle-sets")
         classes = described.filter("n > 0").groupBy("class", "check", "n").agg(F.min("doc").alias("least"))
         # Two sets with one class number: choose other numbers.
         if not classes.groupBy("class").count().filter("count > 1").take(1):
             break
-    roots = components(class_links(rows, described, size)).withColumnRenamed("node", "class")
+    roots = components(class_links(rows, described, size, share)).withColumnRenamed("node", "class")
     every = described.filter("n > 0").select("class").distinct()
     return described, written(every.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "roots")
 
 
-def _with_least(rows: DataFrame, size: int) -> DataFrame:
+def _with_least(rows: DataFrame, size: int, share: int) -> DataFrame:
     """``id, doc, row, n, root, least``: the first ``doc, row`` of each document's component."""
-    described, roots = _classified(rows, size)
+    described, roots = _classified(rows, size, share)
     own = F.struct("doc", "row")
     first = described.join(roots, "class").groupBy("root").agg(F.min(own).alias("least"))
     known = written(roots.join(first, "root").select("class", "root", "least"), "components")
@@ -392,16 +396,20 @@ def _with_least(rows: DataFrame, size: int) -> DataFrame:
     return found.join(known, "class", "left").withColumn("least", F.coalesce("least", own))
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, share: int = LINK
+) -> DataFrame:
     """``key, n_shingles, component_id``: of each document, and the least key reachable by links."""
-    found = _with_least(keyed(documents, key, text), size)
+    found = _with_least(keyed(documents, key, text), size, share)
     component = F.nullif(F.col("least.doc"), F.lit(-(1 << 63)))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def one_of_each(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, share: int = LINK
+) -> DataFrame:
     """``documents`` with one of each component: that with the least key. Repeated rows are one."""
-    found = _with_least(keyed(documents, key, text), size)
+    found = _with_least(keyed(documents, key, text), size, share)
     kept = found.filter(F.struct("doc", "row") == F.col("least")).select("doc", "row").distinct()
     kept = written(kept, "kept")
     rows = documents.select(rows_key(key, text), F.struct("*").alias("carried")).select("k.doc", "k.row", "carried")

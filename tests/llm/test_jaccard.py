@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,46 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     roots = jaccard.components(links).collect()
     assert len(roots) == 300 and {row.root for row in roots} == {0}
+
+
+def grams(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[at : at + size]) for at in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def kept_by_hand(rows, size, share):
+    """The least key of each component, by brute force."""
+    sets = [grams(text, size) for _, text in rows]
+    label = list(range(len(rows)))
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for n in range(len(rows)):
+        for m in range(n):
+            if sets[n] and sets[m] and 100 * len(sets[n] & sets[m]) >= share * len(sets[n] | sets[m]):
+                label[max(root(n), root(m))] = min(root(n), root(m))
+    least: dict = {}
+    for n, (key, _) in enumerate(rows):
+        key = -1 if key is None else key
+        least[root(n)] = min(least.get(root(n), key), key)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("small, levels", [(8, 4), (2, 2)])
+def test_stage_links_at_five_words_and_four_fifths(spark, monkeypatch, small, levels):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    one = [f"w{n}" for n in range(100)]
+    two = [*one[:30], "other", *one[31:70], "another", *one[71:]]
+    # 86 of 106 five-word shingles, 89 of 105 four-word ones.
+    pair = [(5000, " ".join(one)), (5001, " ".join(two))]
+    rows = corpus() + pair
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("clash"))
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    keys = sorted(-1 if row.doc_id is None else row.doc_id for row in got.collect())
+    want = kept_by_hand(rows, 5, 80)
+    assert keys == want and 5000 in keys and 5001 not in keys
+    assert want != kept_by_hand(rows, 4, 85)
