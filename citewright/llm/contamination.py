@@ -17,8 +17,8 @@ shuffled is the small rest.
 * Items or documents that are null or have no word match nothing. An item with fewer
   words than a shingle is one shingle of all its words, which a document contains
   only if it has no other words.
-* Rows with equal ids are one item or document, with the shingles of all of them;
-  so are rows whose id is null.
+* For ``contained``, rows with equal ids are one item or document, with the shingles
+  of all of them; so are rows whose id is null. ``without`` judges every row by itself.
 * Empty tables give an empty result; other columns are not read.
 """
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewright.llm.shared import written
+from citewright.llm.shared import rows_key, written
 
 WORDS = 5
 # The share of an item's shingles that a document must contain, in hundredths.
@@ -38,8 +38,11 @@ BUCKETS = 18
 NO_ID = -(1 << 63)
 
 
-def _rows(table: DataFrame, key: str, text: str) -> DataFrame:
-    ident = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))
+def _by_id(key: str) -> Column:
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))
+
+
+def _rows(table: DataFrame, ident: Column, text: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.col(f"`{text}`").cast("string")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return table.select(ident.alias("id"), words.alias("words")).filter(F.size("words") > 0)
 
@@ -64,22 +67,13 @@ def _bucket(hash_: str) -> Column:
     return F.shiftrightunsigned(F.col(hash_), 64 - BUCKETS)
 
 
-def contained(
-    documents: DataFrame,
-    items: DataFrame,
-    key: str = "doc_id",
-    item: str = "item_id",
-    text: str = "text",
-    size: int = WORDS,
-    share: int = SHARE,
-) -> DataFrame:
-    """``key, item, n_shingles, n_shared``: each item of which a document contains at least
-    ``share`` hundredths of the different shingles."""
-    hashed = _hashes(_rows(items, item, text), size)
+def _found(documents: DataFrame, items: DataFrame, size: int, share: int) -> DataFrame:
+    """``id, item, n, needed, n_shared`` of all pairs with enough shingles, ``id`` and ``item`` as the rows name them."""
+    hashed = _hashes(items, size)
     wanted = written(_texts(hashed, size).withColumnRenamed("id", "item"), "item-shingles")
     buckets = F.broadcast(hashed.select(_bucket("hash").alias("bucket")).distinct())
 
-    seen = _hashes(_rows(documents, key, text), size).withColumn("bucket", _bucket("hash"))
+    seen = _hashes(documents, size).withColumn("bucket", _bucket("hash"))
     near = _texts(seen.join(buckets, "bucket", "left_semi"), size)
     hits = written(near.join(wanted.select("shingle").distinct(), "shingle", "left_semi"), "shingle-hits")
 
@@ -100,6 +94,37 @@ def contained(
         .filter("found >= needed")
     )
     shared = candidates.join(wanted, "item").join(hits, ["id", "shingle"])
-    counted = shared.groupBy("id", "item", "n", "needed").agg(F.count("*").alias("n_shared")).filter("n_shared >= needed")
+    return shared.groupBy("id", "item", "n", "needed").agg(F.count("*").alias("n_shared")).filter("n_shared >= needed")
+
+
+def contained(
+    documents: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    item: str = "item_id",
+    text: str = "text",
+    size: int = WORDS,
+    share: int = SHARE,
+) -> DataFrame:
+    """``key, item, n_shingles, n_shared``: each item of which a document contains at least
+    ``share`` hundredths of the different shingles."""
+    counted = _found(_rows(documents, _by_id(key), text), _rows(items, _by_id(item), text), size, share)
     back = lambda name: F.nullif(F.col(name), F.lit(NO_ID))
     return counted.select(back("id").alias(key), back("item").alias(item), F.col("n").alias("n_shingles"), "n_shared")
+
+
+def without(
+    documents: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    item: str = "item_id",
+    text: str = "text",
+    size: int = WORDS,
+    share: int = SHARE,
+) -> DataFrame:
+    """``documents`` that contain no item. Rows that share an id, or have none, are told apart by their texts."""
+    ident = lambda name: rows_key(name, text).alias("id")
+    found = _found(_rows(documents, ident(key), text), _rows(items, ident(item), text), size, share)
+    leaks = written(found.select("id").distinct(), "leaks")
+    rows = documents.select(ident(key), F.struct("*").alias("carried"))
+    return rows.join(leaks, "id", "left_anti").select("carried.*")

@@ -39,8 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contamination.contained(docs, items).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(written(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")
+    return contamination.without(docs, items)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,22 @@ def test_equals_brute_force(spark, share):
     if share == 80:
         assert contamination.contained(docs.limit(0), tests).count() == 0
         assert contamination.contained(docs, tests.limit(0)).count() == 0
+
+
+def test_stage_judges_every_row_by_itself(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(n))
+    items = [(1, text(40)), (2, text(30)), (2, text(30)), (None, text(30)), (None, text(30)), (3, None)]
+    words = items[0][1].split()
+    clean = [(None, text(60)) for _ in range(30)] + [(7, text(60)) for _ in range(30)] + [(n, text(60)) for n in range(100, 130)]
+    # Two halves of an item, which only together hold enough of it.
+    clean += [(8, " ".join(words[:24])), (8, " ".join(words[16:])), (9, None), (None, None), (9, ""), (None, clean[0][1])]
+    leaking = [(None, text(5) + " " + items[0][1]), (7, items[0][1] + " " + text(5))]
+    # Of items that share an id, or have none, one each.
+    leaking += [(200 + n, text(20) + " " + item + " " + text(20)) for n, (_, item) in enumerate(items[1:5])]
+    columns = "doc_id long, text string, id string"
+    docs = spark.createDataFrame([(*row, "x") for row in clean + leaking], columns)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(*row, "x") for row in clean], key=str)
