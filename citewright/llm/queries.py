@@ -9,12 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citewright.llm import bpe, contamination, jaccard, language, neighbours, quality, reputation, runs, spans, warc
+from citewright.llm import (
+    bpe,
+    contamination,
+    jaccard,
+    language,
+    neighbours,
+    quality,
+    reputation,
+    runs,
+    spans,
+    spelling,
+    stripes,
+    warc,
+    word_bpe,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -192,6 +207,61 @@ from words left join gone using (doc_id)
 """
 
 
+def op11_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of every document under a vocabulary with word ends."""
+    return word_bpe.token_digests(_table(spark, folder, "documents"), public_tokenizers.path(WORDS))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word with the more frequent word it is a variant of."""
+    return spelling.grouped(_table(spark, folder, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of a language are from each other, and by which terms."""
+    return stripes.audited(_table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with docs as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+    from documents
+), occurrences as (
+    select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+), kept as (
+    select lang, term, count(*)::hugeint as n from occurrences group by all having count(distinct r) >= 10
+), langs as (
+    select lang, sum(n)::hugeint as total, count(*)::hugeint as v from kept group by all
+), groups as (
+    select distinct lang, source from docs
+), counted as (
+    select lang, source, term, count(*)::hugeint as n from occurrences semi join kept using (lang, term) group by all
+), totals as (
+    select lang, source, coalesce(sum(n), 0)::hugeint as total from groups left join counted using (lang, source) group by all
+), rates as (
+    select lang, source, term, coalesce(c.n, 0) as n,
+           1 + 1000000000 * (coalesce(c.n, 0) + 2) // (t.total + 2 * l.v) as p,
+           1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) as q
+    from totals t join kept k using (lang) join langs l using (lang) left join counted c using (lang, source, term)
+), pairs as (
+    select lang, a.source, b.source as item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) as value
+    from groups a join groups b using (lang) left join rates x on x.lang = lang and x.source = a.source
+    left join rates y on y.lang = lang and y.source = b.source and y.term = x.term
+    where a.source <> b.source group by all
+), terms as (
+    select lang, source, term as item, (p - q) * (p - q) // (p + q) as value from rates where n > 0 and p > q
+), ranked as (
+    select lang, source, 'pair' as part, item, value,
+           row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+    union all
+    select lang, source, 'term', item, value,
+           row_number() over (partition by lang, source order by value desc, item) as rank from terms
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -204,6 +274,9 @@ def registered() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_decontamination": op9_decontamination,
         "op10_span_dedup": op10_span_dedup,
+        "op11_word_bpe": op11_word_bpe,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -214,4 +287,5 @@ def statements() -> dict[str, str]:
         "op5_url_reputation": OP5_SQL,
         "op9_decontamination": OP9_SQL,
         "op10_span_dedup": OP10_SQL,
+        "op13_source_divergence": OP13_SQL,
     }

@@ -8,8 +8,9 @@ of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, kept by the worker until another key is asked for.
+
+    Workers outlive the stages they serve, so a stage must not leave its tables to the next.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def rows_key(key: str, text: str) -> Column:
     """``k``, a struct of ``doc, row``: the place of a document among all, and a hash that tells
     texts of one id apart. A null id comes before all others."""
