@@ -43,7 +43,9 @@ GROUPS = "e", "a", "i", "n", "r", "t", "s", "o", "lv", "udk", "cmx", "pgq", "bhf
 DEPTH = len(GROUPS) + 1
 # Levels that Spark deals out at once; a cell of more rows is parted further.
 FIRST_LEVELS = 3
-MOST_ROWS = 4096
+MOST_ROWS = 65_536
+# A leaf of more words is looked up by halves.
+MOST_LEAF = 24
 # A task hands on its words at so many (some 60 MB).
 MOST_WORDS = 400_000
 # A form occurs at least twice as often as its variant, so a chain is shorter than 2**6 words.
@@ -124,15 +126,21 @@ def _deeper(word: str, vector: list[int], state: int, cell: str, level: int) ->
             if vector[level] + change >= 0:
                 yield follows, f"{cell},{vector[level] + change}"
         return
-    # One edit leaves a half of the word as it is: of the shorter word's length, for words of two lengths.
+    for half in _halves(word, state):
+        yield state, f"{cell}|{half}"
+
+
+def _halves(word: str, state: int) -> list[str]:
+    """Keys of which two near words in one leaf share one: one edit leaves a half of the word
+    as it is, where halves are those of the shorter word. ``=``: words of one length."""
+    keys = []
     if state in (HOME, BOTH):
         half = len(word) // 2
-        yield state, f"{cell}|=<{word[:half]}"
-        yield state, f"{cell}|=>{word[half:]}"
+        keys += [f"=<{word[:half]}", f"=>{word[half:]}"]
     if state in (HOME, LONGER):
         half = (len(word) - (state == HOME)) // 2
-        yield state, f"{cell}|+<{word[:half]}"
-        yield state, f"{cell}|+>{word[half + (state == HOME) :]}"
+        keys += [f"+<{word[:half]}", f"+>{word[half + (state == HOME) :]}"]
+    return keys
 
 
 def _searches(words: DataFrame, level: int, upto: int) -> DataFrame:
@@ -141,14 +149,10 @@ def _searches(words: DataFrame, level: int, upto: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            rows = batch.to_pylist()
-            for row in rows:
-                word, n = row["word"], row["n"]
+            states, cells = (batch.column(c).to_pylist() if level else [None] * batch.num_rows for c in ("state", "cell"))
+            for word, n, state, cell in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), states, cells):
                 vector = counts(word)
-                if level:
-                    at = [(row["state"], row["cell"])]
-                else:
-                    at = [(HOME, f"{len(word)}:"), (LONG, f"{len(word) + 1}:")]
+                at = [(state, cell)] if level else [(HOME, f"{len(word)}:"), (LONG, f"{len(word) + 1}:")]
                 for step in range(level, upto):
                     at = [place for state, cell in at for place in _deeper(word, vector, state, cell, step)]
                 out.extend((word, n, state, cell) for state, cell in at)
@@ -166,6 +170,7 @@ class _Cell:
         path, _, self.half = cell.partition("|")
         self.level = path.count(",")
         self.root: dict | list = {} if self.level < DEPTH else []
+        self.crowded: dict[int, dict[str, list]] = {}
 
     def add(self, word: str, n: int, vector: list[int]) -> None:
         node = self.root
@@ -182,15 +187,27 @@ class _Cell:
         while nodes:
             node, level, state = nodes.pop()
             if level < DEPTH:
+                count = vector[level]
                 for change, follows in STEPS[state]:
-                    below = node.get(vector[level] + change)
+                    below = node.get(count + change)
                     if below is not None:
                         nodes.append((below, level + 1, follows))
                 continue
-            for other, n in node:
+            for other, n in node if len(node) <= MOST_LEAF else self._alike(node, word, state):
                 if (state != HOME or word < other) and one_edit(word, other) and not self._twice(word, other):
                     yield other, n
 
+    def _alike(self, leaf: list, word: str, state: int) -> set[tuple[str, int]]:
+        """Words of a crowded leaf that share a half with ``word``."""
+        index = self.crowded.get(id(leaf))
+        if index is None:
+            index = self.crowded[id(leaf)] = {}
+            for other, n in leaf:
+                for key in _halves(other, HOME):
+                    index.setdefault(key, []).append((other, n))
+        keys = _halves(word, state)
+        return {entry for key in keys[:2] for entry in index.get(key, ())}
+
     def _twice(self, word: str, other: str) -> bool:
         """Whether a cell of second halves holds a pair that the cell of first halves has too."""
         half = len(word) // 2
@@ -210,11 +227,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out: list[tuple] = []
-        for row in batch.to_pylist():
-            if row["cell"] != name:
+        for word, n, state, at in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "state", "cell"))):
+            if at != name:
                 out.extend(among_home())
-                cell, name, home = _Cell(row["cell"]), row["cell"], []
-            word, n, state = row["word"], row["n"], row["state"]
+                cell, name, home = _Cell(at), at, []
             vector = counts(word)
             if state == HOME:
                 cell.add(word, n, vector)

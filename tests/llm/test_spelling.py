@@ -66,10 +66,11 @@ def test_whole_table_against_brute_force(spark):
     assert got(spelling.grouped(docs)) == want
 
 
-@pytest.mark.parametrize("most", [4096, 40, 4])
+@pytest.mark.parametrize("most", [65_536, 40, 4])
 def test_crowded_cells_part_down_to_halves(spark, monkeypatch, most):
     """Words of few letters share cells and leaves; nothing is lost or met twice."""
     monkeypatch.setattr(spelling, "MOST_ROWS", most)
+    assert spelling.MOST_LEAF < 100
     rng = random.Random(4)
     words = {"".join(rng.choice("bfhé") for _ in range(rng.randint(5, 7))) for _ in range(900)}
     words |= {"".join(rng.sample("bfhbfhw", 7)) for _ in range(200)}
