@@ -34,9 +34,8 @@ def texts():
 
 
 def test_ids_and_text_equal_the_library(library, words):
-    memo = word_bpe._Remembered(words)
-    for text in texts():
-        found = memo.ids(text)
+    every = list(texts())
+    for text, found in zip(every, word_bpe.Encoder(words).encode(every)):
         ids = [int.from_bytes(found[i : i + 4], "little") for i in range(0, len(found), 4)]
         assert ids == library.encode(text, add_special_tokens=False).ids, text
         assert words.decode(ids) == library.decode(ids, skip_special_tokens=False), text
@@ -46,24 +45,41 @@ def test_every_code_point_equals_the_library(library, words):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 4000):
         text = "".join(f"a{c}b" + " " * (i % 100 == 99) for i, c in enumerate(points[at : at + 4000]))
-        assert word_bpe._Remembered(words).ids(text) == word_bpe.pack(library.encode(text, add_special_tokens=False).ids)
+        assert word_bpe.Encoder(words).encode([text])[0] == word_bpe.pack(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_scan_and_heap_merge_alike(words):
     rng = random.Random(3)
     for _ in range(2000):
         word = "".join(rng.choice("theinaro") for _ in range(rng.randint(1, 90)))
-        spelled = word + words.end
-        bounds = [*range(len(word)), len(spelled)]
-        assert words._merged_short(spelled, list(bounds)) == words._merged_long(spelled, list(bounds))
+        tokens = words._letters([word])
+        row = words._merged_short(tokens.astype("int64").reshape(1, -1))[0].tolist()
+        assert [token for token in row if token >= 0] == words._merged_long(tokens.tolist())
+
+
+def test_plain_letters_are_split_as_by_the_library(words):
+    rng = random.Random(9)
+    assert words.plain
+    texts = ["".join(rng.choice("abSTLV'09-!\"x.remlÀéßÿ×") for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    assert words.words_of(texts) == [[word for word, _ in words.split(words.normal(text))] for text in texts]
+
+
+def test_what_is_remembered_stays_small(words, monkeypatch):
+    monkeypatch.setattr(word_bpe, "MEMO_ENTRIES", 50)
+    encoder = word_bpe.Encoder(words)
+    for i in range(30):
+        texts = [f"w{i}x{j} {'long' * 20}{j}" for j in range(20)]
+        assert encoder.encode(texts) == word_bpe.Encoder(words).encode(texts)
+        assert len(encoder.stretches) < 120 and len(encoder.known) < 240
+        assert max(map(len, encoder.stretches)) <= word_bpe.MEMO_CHARACTERS
 
 
 def test_a_very_long_word_takes_no_square_of_its_length(library, words):
     word = "".join(random.Random(2).choice("abcdefghij") for _ in range(200_000))
     began = time.perf_counter()
-    ids = words.encode(word)
+    ids = word_bpe.Encoder(words).encode([word])[0]
     assert time.perf_counter() - began < 20
-    assert ids == library.encode(word, add_special_tokens=False).ids
+    assert ids == word_bpe.pack( library.encode(word, add_special_tokens=False).ids)
 
 
 def test_rows_and_edges(spark, library):
