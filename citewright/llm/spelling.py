@@ -169,33 +169,49 @@ class _Cell:
     def __init__(self, cell: str) -> None:
         path, _, self.half = cell.partition("|")
         self.level = path.count(",")
-        self.root: dict | list = {} if self.level < DEPTH else []
+        self.root: dict = {}
+        self.leaves: dict[tuple[int, ...], list[tuple[str, int]]] = {}
         self.crowded: dict[int, dict[str, list]] = {}
 
     def add(self, word: str, n: int, vector: list[int]) -> None:
-        node = self.root
-        for count in vector[self.level : -1]:
-            node = node.setdefault(count, {})
-        leaf = node if self.level == DEPTH else node.setdefault(vector[-1], [])
+        rest = tuple(vector[self.level :])
+        leaf = self.leaves.get(rest)
+        if leaf is None:
+            leaf = self.leaves[rest] = []
+            node = self.root
+            for count in rest[:-1]:
+                node = node.setdefault(count, {})
+            if rest:
+                node[rest[-1]] = leaf
         leaf.append((word, n))
 
     def near(self, word: str, vector: list[int], state: int) -> Iterator[tuple[str, int]]:
-        """Words one edit away: depth first through the counts, as far as the budget goes."""
+        """Words one edit away."""
         if state == HOME and self.half.startswith("+"):
             return
-        nodes = [(self.root, self.level, state)]
+        for at, leaf in self._reached(vector[self.level :], state):
+            for other, n in leaf if len(leaf) <= MOST_LEAF else self._alike(leaf, word, at):
+                if (at != HOME or word < other) and one_edit(word, other) and not self._twice(word, other):
+                    yield other, n
+
+    def _reached(self, rest: list[int], state: int) -> Iterator[tuple[int, list]]:
+        """Leaves within the budget, depth first. Once it is spent, the leaf is known."""
+        nodes = [(self.root, 0, state, rest)]
         while nodes:
-            node, level, state = nodes.pop()
-            if level < DEPTH:
-                count = vector[level]
-                for change, follows in STEPS[state]:
-                    below = node.get(count + change)
-                    if below is not None:
-                        nodes.append((below, level + 1, follows))
+            node, level, state, rest = nodes.pop()
+            if state == BOTH or state == LONGER or level == len(rest):
+                leaf = self.leaves.get(tuple(rest))
+                if leaf is not None:
+                    yield state, leaf
                 continue
-            for other, n in node if len(node) <= MOST_LEAF else self._alike(node, word, state):
-                if (state != HOME or word < other) and one_edit(word, other) and not self._twice(word, other):
-                    yield other, n
+            for change, follows in STEPS[state]:
+                below = node.get(rest[level] + change)
+                if below is not None:
+                    way = rest
+                    if change:
+                        way = rest.copy()
+                        way[level] += change
+                    nodes.append((below, level + 1, follows, way))
 
     def _alike(self, leaf: list, word: str, state: int) -> set[tuple[str, int]]:
         """Words of a crowded leaf that share a half with ``word``."""
