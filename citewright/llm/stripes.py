@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +36,13 @@ LEAST_DOCUMENTS = 10
 # Terms are ranked so far, per source.
 TOP = 10
 UNIT = 10**9
-# A task spills its stripes at so many entries (some 60 MB), and a share of merged ones has so many cells.
-MOST_ENTRIES = 200_000
-MOST_CELLS = 1 << 21
+# A task spills its stripes at so many entries (some 80 MB) or documents, and a share of merged ones has so many cells.
+MOST_ENTRIES = 500_000
+MOST_DOCUMENTS = 1 << 20
+MOST_CELLS = 1 << 19
+# How a count of a task is packed: occurrences, documents, and the number of the source.
+DOCUMENT_BITS, SOURCE_BITS = 40, 63
+ONE_DOCUMENT, COUNT = 1 << DOCUMENT_BITS, (1 << SOURCE_BITS) - 1
 # Counts up to here times UNIT fit 64 bits.
 SAFE_COUNT = 9 * 10**9
 # Letters are A-Z, made lower case, a-z and every byte of a longer character; all else parts terms.
@@ -54,26 +59,15 @@ def stripes(documents: DataFrame, lang: str = "lang", source: str = "source", te
     named = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, bytes], list] = {}
-        entries = 0
+        table = _Table()
         for batch in slices(batches, "text"):
             columns = (batch.column(name).to_pylist() for name in ("lang", "source", "text"))
             for of_lang, of_source, value in zip(*columns):
-                for term, n in _terms(value).items():
-                    stripe = table.get((of_lang, term))
-                    if stripe is None:
-                        stripe = table[of_lang, term] = {}
-                    counts = stripe.get(of_source)
-                    if counts is None:
-                        stripe[of_source] = [n, 1]
-                        entries += 1
-                    else:
-                        counts[0] += n
-                        counts[1] += 1
-                if entries >= MOST_ENTRIES:
-                    yield from _spilled(table)
-                    table, entries = {}, 0
-        yield from _spilled(table)
+                table.add(of_lang, of_source, _terms(value))
+                if table.entries >= MOST_ENTRIES or table.documents >= MOST_DOCUMENTS:
+                    yield from table.spilled()
+                    table = _Table()
+        yield from table.spilled()
 
     spilled = documents.select(*named).mapInArrow(fold, "lang string, term string, source string, n long, docs long")
     added = spilled.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -82,17 +76,68 @@ def stripes(documents: DataFrame, lang: str = "lang", source: str = "source", te
     )
 
 
-def _spilled(table: dict[tuple[str, bytes], dict[str, list[int]]], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["lang", "term", "source", "n", "docs"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    flat: list[tuple] = []
-    for (lang, term), stripe in table.items():
-        spelled = term.decode()
-        flat.extend((lang, spelled, source, n, docs) for source, (n, docs) in stripe.items())
-        if len(flat) >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat), kinds)], names=names)
-            flat = []
-    if flat:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat), kinds)], names=names)
+class _Table:
+    """Stripes of some documents: by language, then by term, the counts of each source.
+
+    A count is one number, occurrences plus ``ONE_DOCUMENT`` for each document. Most
+    terms have one source only; their stripe is that source and count, as one number too.
+    """
+
+    def __init__(self) -> None:
+        self.stripes: dict[str, dict[bytes, int | dict[int, int]]] = {}
+        self.sources: dict[str, int] = {}
+        self.entries = self.documents = 0
+
+    def add(self, lang: str, source: str, terms: Counter[bytes]) -> None:
+        stripes_of = self.stripes.setdefault(lang, {})
+        number = self.sources.setdefault(source, len(self.sources))
+        alone, known = number << SOURCE_BITS, stripes_of.get
+        before = len(stripes_of)
+        for term, n in terms.items():
+            n += ONE_DOCUMENT
+            stripe = known(term)
+            if stripe is None:
+                stripes_of[term] = alone + n
+            elif type(stripe) is dict:
+                if number in stripe:
+                    stripe[number] += n
+                else:
+                    stripe[number] = n
+                    self.entries += 1
+            elif stripe >> SOURCE_BITS == number:
+                stripes_of[term] = stripe + n
+            else:
+                stripes_of[term] = {stripe >> SOURCE_BITS: stripe & COUNT, number: n}
+                self.entries += 1
+        self.entries += len(stripes_of) - before
+        self.documents += 1
+
+    def spilled(self, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        """A row for each term and source."""
+        names = pa.array(list(self.sources), pa.string())
+        for lang, stripes_of in self.stripes.items():
+            terms, sources, counts = [], [], []
+            for term, stripe in stripes_of.items():
+                if type(stripe) is dict:
+                    terms.extend([term] * len(stripe))
+                    sources.extend(stripe)
+                    counts.extend(stripe.values())
+                else:
+                    terms.append(term)
+                    sources.append(stripe >> SOURCE_BITS)
+                    counts.append(stripe & COUNT)
+            for at in range(0, len(terms), rows):
+                numbers = np.array(counts[at : at + rows], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang], pa.string()).take(pa.array(np.zeros(len(numbers), np.int32))),
+                        pa.array(terms[at : at + rows], pa.binary()).cast(pa.string()),
+                        names.take(pa.array(sources[at : at + rows], pa.int32())),
+                        pa.array(numbers & (ONE_DOCUMENT - 1)),
+                        pa.array(numbers >> DOCUMENT_BITS),
+                    ],
+                    names=["lang", "term", "source", "n", "docs"],
+                )
 
 
 def _rates(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
@@ -112,20 +157,21 @@ def _share(stripes_of: pa.Table, groups: pa.Table) -> pa.Table:
     listed = sorted(zip(groups.column("source").to_pylist(), groups.column("total").to_pylist()))
     names, totals = [name for name, _ in listed], [total for _, total in listed]
     terms, whole = groups.column("terms")[0].as_py(), groups.column("all")[0].as_py()
-    spelled = stripes_of.column("term").to_pylist()
-    order = sorted(range(len(spelled)), key=lambda i: spelled[i].encode())
-    place = {name: i for i, name in enumerate(names)}
-    counts = np.zeros((len(names), len(order)), np.int64)
-    lists = stripes_of.column("sources").to_pylist()
-    for column, row in enumerate(order):
-        for entry in lists[row]:
-            counts[place[entry["source"]], column] = entry["n"]
+    spelled = stripes_of.column("term").combine_chunks()
+    order = pc.sort_indices(spelled.cast(pa.binary()))
+    spelled = spelled.take(order).to_pylist()
+    lists = stripes_of.column("sources").combine_chunks().take(order)
+    entries = lists.flatten()
+    rows = pc.index_in(entries.field("source"), value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
+    columns = np.repeat(np.arange(len(spelled)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    counts = np.zeros((len(names), len(spelled)), np.int64)
+    counts[rows.astype(np.int64), columns] = entries.field("n").to_numpy(zero_copy_only=False)
     out: list[tuple] = []
-    if order:
+    if spelled:
         rates = np.stack([_rates(counts[i], totals[i], terms) for i in range(len(names))])
         of_lang = _rates(counts.sum(axis=0), whole, terms)
     for i, name in enumerate(names):
-        if not order:
+        if not spelled:
             out.extend((lang, name, "pair", other, 0) for other in names[i + 1 :])
             continue
         for first in range(i + 1, len(names), 64):
@@ -134,7 +180,7 @@ def _share(stripes_of: pa.Table, groups: pa.Table) -> pa.Table:
         chosen = np.flatnonzero((counts[i] > 0) & (rates[i] > of_lang))
         values = _gaps(rates[i][chosen], of_lang[chosen])
         best = np.argsort(-values, kind="stable")[:TOP]
-        out.extend((lang, name, "term", spelled[order[chosen[b]]], int(values[b])) for b in best)
+        out.extend((lang, name, "term", spelled[chosen[b]], int(values[b])) for b in best)
     columns = zip(*out) if out else [[]] * 5
     kinds = [pa.string()] * 4 + [pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "part", "item", "value"])
