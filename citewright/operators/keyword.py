@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.tokens import index_terms, query_terms
 from citewright.operators.blocks import UNITS, blockwise_topk, first_k
+from citewright.operators.postings import posting_blocks, postings_topk, term_bucket
 from citewright.session import materialise, pinned
 
 CHUNK_KEY = ("accession", "start_offset")
@@ -24,6 +25,8 @@ IDF_FLOOR = 1e-6
 MAX_BROADCAST_TERMS = 100_000
 # Up to this many distinct terms, they become a filter on the chunk scan.
 MAX_LITERAL_TERMS = 10_000
+# Entries that are all scored sooner than their blocks are ranked.
+FEW_ENTRIES = 5_000_000
 _CELLS = 4_000_000
 
 
@@ -76,22 +79,22 @@ class Index:
     """What retrieval reads: chunks, and the counts that weigh their terms.
 
     The counts may be split by bucket; they are added up per queried term.
-    ``buckets`` is set where the chunks are partitioned by a bucket column.
+    ``buckets`` is set where the chunks are partitioned by a bucket column. Keyword
+    queries read ``postings`` where there are any, and the terms of all chunks where not.
     """
 
     chunks: DataFrame
     frequency: DataFrame
     totals: DataFrame
     buckets: int | None = None
+    postings: DataFrame | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame) -> Index:
-        """Count ``chunks`` once and keep the counts."""
-        return cls(
-            chunks,
-            materialise(term_frequency(chunks).sortWithinPartitions("term"), "frequency"),
-            materialise(chunk_totals(chunks), "totals"),
-        )
+        """Index ``chunks`` by term once and keep the counts."""
+        totals = materialise(chunk_totals(chunks), "totals")
+        postings = materialise(posting_blocks(chunks, CHUNK_KEY), "postings", "term_bucket")
+        return cls(chunks, postings.select("term_bucket", "term", "df"), totals, None, postings)
 
 
 def _listed(terms: list[str]) -> str:
@@ -102,14 +105,22 @@ def _listed(terms: list[str]) -> str:
     return ", ".join(f"'{term}'" for term in sorted(terms))
 
 
+def _of_terms(table: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
+    """The rows of ``table`` that have one of the given terms, by partition and by pushed-down filter."""
+    if not 0 < len(terms) <= MAX_LITERAL_TERMS:
+        return table
+    if "term_bucket" in table.columns:
+        table = table.filter(F.col("term_bucket").isin(sorted({bucket for _, bucket in terms})))
+    return table.filter(F.expr(f"term IN ({_listed([term for term, _ in terms])})"))
+
+
 def weighted_terms(asked: DataFrame, index: Index) -> DataFrame:
-    """``query_id, term, weight, mean_terms`` of the asked terms that occur at all."""
+    """``query_id, term, weight, mean_terms, df`` of the asked terms that occur at all."""
     asked, small = pinned(asked)
     frequency = index.frequency
     if small:
-        terms = [row["term"] for row in asked.select("term").distinct().collect()]
-        if 0 < len(terms) <= MAX_LITERAL_TERMS:
-            frequency = frequency.filter(F.expr(f"term IN ({_listed(terms)})"))
+        terms = asked.select("term", term_bucket(F.col("term")).alias("term_bucket")).distinct().collect()
+        frequency = _of_terms(frequency, [tuple(row) for row in terms])
     found = frequency.join(asked, "term")
     counted = found.groupBy("query_id", "term", "times").agg(F.sum("df").cast("double").alias("df"))
     totals = index.totals.agg(
@@ -121,6 +132,7 @@ def weighted_terms(asked: DataFrame, index: Index) -> DataFrame:
         "term",
         (F.col("times") * idf(totals.select("n").scalar(), F.col("df"))).alias("weight"),
         totals.select("mean_terms").scalar().alias("mean_terms"),
+        "df",
     )
 
 
@@ -208,7 +220,33 @@ def bm25_topk(
     query is not in its list.
     """
     weighted = weighted_terms(query_term_counts(queries), index)
-    found = blockwise_topk(weighted, index.chunks, CHUNK_KEY, k, _Bm25(), max_broadcast_terms)
+    found = None if index.postings is None else _from_postings(weighted, index, k)
+    if found is None:
+        found = blockwise_topk(weighted, index.chunks, CHUNK_KEY, k, _Bm25(), max_broadcast_terms)
+    return _named(found)
+
+
+def _from_postings(weighted: DataFrame, index: Index, k: int) -> DataFrame | None:
+    """The best chunks by the inverted index.
+
+    Nothing where the batch asks for more entries than the corpus has terms: then one
+    scan that meets all queries at once reads less.
+    """
+    weighted, small = pinned(weighted)
+    if not small:
+        return None
+    every = index.totals.select(F.sum("n_terms")).scalar()
+    work = weighted.agg(F.sum("df").alias("entries"), F.first(every).alias("terms")).first()
+    if (work["entries"] or 0) > (work["terms"] or 0):
+        return None
+    terms = weighted.select("term", term_bucket(F.col("term")).alias("term_bucket")).distinct().collect()
+    postings = _of_terms(index.postings, [tuple(row) for row in terms])
+    prune = (work["entries"] or 0) > FEW_ENTRIES
+    by = ["bucket"] if index.buckets else []
+    return postings_topk(weighted, postings, CHUNK_KEY, k, K1, B, *by, prune=prune)
+
+
+def _named(found: DataFrame) -> DataFrame:
     return found.select(
         "query_id",
         *CHUNK_KEY,

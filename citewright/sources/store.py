@@ -2,7 +2,8 @@
 
 ``filings`` and ``chunks`` are partitioned by a hash bucket of the accession, so
 that ingesting a filing again rewrites only the buckets it touches; ``frequency``
-and ``totals`` count the terms and chunks of each bucket. ``audit`` only ever
+and ``totals`` count the terms and chunks of each bucket, and ``postings`` is its
+inverted index, sorted by term. ``audit`` only ever
 grows. ``meta`` pins the vector size and the number of buckets: choose the latter
 so that one bucket is what a single ingest may rewrite.
 
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 from citewright.functions.chunk import ChunkOptions
 from citewright.functions.embed import Embedder, HashEmbedder
 from citewright.operators.audit import audit_records, duplicate_requests, to_audit_rows
-from citewright.operators.keyword import Index, chunk_totals, term_frequency
+from citewright.operators.keyword import CHUNK_KEY, Index, chunk_totals, term_frequency
+from citewright.operators.postings import posting_blocks
 from citewright.operators.upsert import BUCKETS, bucket_of, replace_by_key
 from citewright.plans.ingest import (
     canonical_filings,
@@ -40,7 +42,7 @@ from citewright.session import materialise
 META_SCHEMA = "key string, value string"
 MANIFEST_SCHEMA = "number bigint, bucket int, version string"
 RAW_SCHEMA = "cik string, accession string, company string, form string, filing_date string, html string"
-TABLES = ("filings", "chunks", "frequency", "totals")
+TABLES = ("filings", "chunks", "frequency", "totals", "postings")
 
 AUDIT_SCHEMA = """
     request_id string, created_at string, query string, verdict string, refusal_reason string,
@@ -99,7 +101,7 @@ class Store:
             others = chunks.filter(F.col("embedder_id") != embedder.id).select("embedder_id").take(1)
             if others:
                 raise ValueError(f"chunks were embedded by {others[0]['embedder_id']}, not {embedder.id}")
-        return Index(chunks, self._read("frequency"), self._read("totals"), self.buckets)
+        return Index(chunks, self._read("frequency"), self._read("totals"), self.buckets, self._read("postings"))
 
     def _one(self, table: DataFrame, accession: str | None) -> DataFrame:
         if accession is None:
@@ -188,6 +190,7 @@ class Store:
         if written is not None:
             self._write("frequency", version, term_frequency(written, "bucket"), ["term"])
             self._write("totals", version, chunk_totals(written, "bucket"), [])
+            self._write("postings", version, posting_blocks(written, CHUNK_KEY, "bucket"), ["term_bucket", "term", "block"])
         self._publish(version, touched)
         return filings
 
@@ -251,7 +254,7 @@ def _schemas(spark: SparkSession, dimensions: int) -> dict[str, T.StructType]:
     filings = spark.createDataFrame([], filings.schema)
     chunks = _chunks(filings, HashEmbedder(dimensions), None).withColumn("bucket", F.lit(0))
     chunks = spark.createDataFrame([], chunks.schema)
-    tables = filings, chunks, term_frequency(chunks, "bucket"), chunk_totals(chunks, "bucket")
+    tables = filings, chunks, term_frequency(chunks, "bucket"), chunk_totals(chunks, "bucket"), posting_blocks(chunks, CHUNK_KEY, "bucket")
     return {name: table.schema for name, table in zip(TABLES, tables)}
 
 

@@ -484,6 +484,8 @@ FROM benchmark""",
         + """SELECT query_id, accession, start_offset, vector_rank, round(dk / 1e9, 6) AS distance FROM vec""",
         "bm25_topk_chunks": _with(*CORPUS, KEYWORD)
         + "SELECT query_id, accession, start_offset, keyword_rank, round(score, 6) AS score FROM kw",
+        "bm25_topk_postings": _with(*CORPUS, KEYWORD)
+        + "SELECT query_id, accession, start_offset, keyword_rank, round(score, 6) AS score FROM kw",
         "rrf_two_list": _with(*CORPUS, VECTOR, KEYWORD, FUSED)
         + """SELECT query_id, accession, start_offset, fused_rank, vector_rank, keyword_rank,
   round(rrf, 9) AS rrf FROM fused""",

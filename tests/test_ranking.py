@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from citewright.functions.tokens import index_terms
 from citewright.operators.fusion import fuse_two, rank_fusion
-from citewright.operators.keyword import Index, bm25_topk, chunk_totals, term_frequency
+from citewright.operators.keyword import (
+    Index,
+    _from_postings,
+    bm25_topk,
+    chunk_totals,
+    query_term_counts,
+    term_frequency,
+    weighted_terms,
+)
+from citewright.operators.postings import reaching
 from citewright.operators.vector import nearest, vector_topk
 from citewright.plans.retrieve import RetrieveOptions, hybrid_retrieve, retrieved_array
 from citewright.session import materialise
@@ -96,6 +105,7 @@ def test_bm25_either_way(spark, corpus, limit, monkeypatch):
     monkeypatch.setattr("citewright.operators.blocks.CORPUS_BLOCK", 30)
     monkeypatch.setattr("citewright.operators.blocks.SHUFFLE_BLOCKS", 1)
     rows, index = corpus
+    index = Index(index.chunks, index.frequency, index.totals)
     asked = ["frost frost robot", "the", "dock x lease elan", "unknown words", "", "cider harvest the freight"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
     found = bm25_topk(queries, index, 6, limit).orderBy("query_id", "keyword_rank").collect()
@@ -104,6 +114,43 @@ def test_bm25_either_way(spark, corpus, limit, monkeypatch):
         assert got == plain_bm25(rows, query, 6)
 
 
+@pytest.mark.parametrize("block, first, literals, few", [(1024, 2, 10_000, 10**6), (7, 1, 10_000, 0), (3, 2, 0, 0)])
+def test_bm25_from_postings(spark, corpus, monkeypatch, block, first, literals, few):
+    """Blocks below the floor are left out and nothing is lost, ties included."""
+    monkeypatch.setattr("citewright.operators.postings.BLOCK", block)
+    monkeypatch.setattr("citewright.operators.postings.FIRST", first)
+    monkeypatch.setattr("citewright.operators.keyword.MAX_LITERAL_TERMS", literals)
+    monkeypatch.setattr("citewright.operators.keyword.FEW_ENTRIES", few)
+    rows, index = corpus
+    index = Index.of(index.chunks)
+    asked = ["frost frost robot", "the", "dock x lease elan", "unknown words", "", "cider harvest the freight"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    weighted = weighted_terms(query_term_counts(queries), index)
+    assert _from_postings(weighted, index, 6) is not None
+    found = bm25_topk(queries, index, 6).orderBy("query_id", "keyword_rank").collect()
+    for i, query in enumerate(asked):
+        got = [((r.accession, r.start_offset), round(r.keyword_score, 6)) for r in found if r.query_id == i]
+        assert got == plain_bm25(rows, query, 6)
+
+
+def test_blocks_below_the_floor_are_left_out(spark):
+    bounds = [(1, 0, 9.0, 1), (1, 1, 8.0, 2), (1, 2, 5.0, 3), (1, 3, 5.0 - 2e-9, 4), (2, 0, 3.0, 1), (2, 1, 1.0, 3)]
+    ranked = spark.createDataFrame(bounds, "query_id long, block long, bound double, place int")
+    floors = spark.createDataFrame([(1, -5_000_000_000), (2, None)], "query_id long, floor long")
+    assert sorted((r.query_id, r.block) for r in reaching(ranked, floors).collect()) == [(1, 2), (2, 1)]
+
+
+def test_a_question_reads_its_terms_only(spark, corpus, capsys):
+    _, index = corpus
+    queries = spark.createDataFrame([(1, "frost")], "query_id long, query string")
+    bm25_topk(queries, index, 2).explain("formatted")
+    scans = [part for part in capsys.readouterr().out.split("\n\n") if "Scan parquet" in part and "entries" in part]
+    assert scans
+    for scan in scans:
+        assert "term_bucket" in scan.split("PartitionFilters:")[1].split("\n")[0]
+        assert "frost" in scan.split("PushedFilters:")[1].split("\n")[0]
+
+
 def test_counts_may_be_split_by_bucket(spark, corpus):
     _, index = corpus
     parted = index.chunks.withColumn("bucket", F.col("start_offset") % 4)
