@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewright.llm.shared import extended, slices, with_fields
+from citewright.llm.shared import extended, held, slices, with_fields
 
-# Entries of a worker's memo tables; a full table is emptied and fills again.
-MEMO_ENTRIES = 500_000
+# Entries of each of a worker's three memo tables (some 25 MB); a full table is emptied and fills again.
+MEMO_ENTRIES = 150_000
 # Longer pieces are seldom seen twice and are not remembered.
 MEMO_PIECE = 48
 # A space after white space: there the text does not split at single spaces.
@@ -150,16 +150,19 @@ def pack(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a rank file: a base64 byte string and its rank per line."""
+def rank_file(path: str) -> dict[bytes, int]:
+    """What a rank file holds: a base64 byte string and its rank per line."""
     ranks = {}
     with open(path, "rb") as lines:
         for line in lines:
             if line.strip():
                 token, rank = line.split()
                 ranks[base64.b64decode(token)] = int(rank)
-    return Vocabulary(ranks)
+    return ranks
+
+
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(rank_file(path))
 
 
 class Encoder:
@@ -205,15 +208,15 @@ class Encoder:
                 found += self.parts.get(piece[1:]) or self._part(piece[1:])
             else:
                 found += self.pieces.get(piece) or self._piece(piece)
-        if len(part) <= MEMO_PIECE:
-            self.parts[part] = found
-        return found
+        return self._remembered(self.parts, part, found)
 
     def _piece(self, piece: str) -> bytes:
         return self._kept(self.pieces, piece, self.words.piece(piece.encode("utf-8", "replace")))
 
     def _kept(self, memo: dict[str, bytes], key: str, tokens: list[int]) -> bytes:
-        found = pack(tokens)
+        return self._remembered(memo, key, pack(tokens))
+
+    def _remembered(self, memo: dict[str, bytes], key: str, found: bytes) -> bytes:
         if len(key) <= MEMO_PIECE:
             if len(memo) >= MEMO_ENTRIES:
                 memo.clear()
@@ -221,10 +224,19 @@ class Encoder:
         return found
 
 
-@lru_cache(maxsize=2)
 def encoder(ranks: str, pattern: str, by_words: bool) -> Encoder:
     """One encoder for all tasks of a worker, so that what it remembers outlives a task."""
-    return Encoder(vocabulary(ranks), pattern, by_words)
+    return held(("byte_bpe", ranks, pattern, by_words), lambda: Encoder(vocabulary(ranks), pattern, by_words))
+
+
+@lru_cache(maxsize=2)
+def spellings(path: str) -> list[bytes]:
+    """The bytes of each id of a rank file: a few MB, kept beside an encoder."""
+    ranks = rank_file(path)
+    found = [b""] * (1 + max(ranks.values(), default=-1))
+    for token, rank in ranks.items():
+        found[rank] = token
+    return found
 
 
 def encode(
@@ -252,7 +264,7 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes its ids stand for; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = vocabulary(ranks).spelling
+        spelling = spellings(ranks)
         for batch in slices(batches, ids):
             numbers = (np.frombuffer(value or b"", "<u4").tolist() for value in batch.column(ids).to_pylist())
             texts = [b"".join(map(spelling.__getitem__, row)) for row in numbers]

@@ -12,8 +12,9 @@ letter that is no piece counts as one unknown piece.
 
 * A text that is null, empty or has no letters is ``und`` with score 0; so is
   every text if there was nothing to learn from. Very long texts and words are
-  scored whole.
+  scored whole, in time linear in their length; very long words are learned from in stretches.
 * Equal scores go to the first language in order of its name.
+* Columns named like a result column make way for it in ``identify``; ``predict`` reads three columns only.
 * Rows are scored one by one, so repeated rows repeat their result; rows whose
   label or text is null teach nothing.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewright.llm.shared import extended, slices, with_fields, written
+from citewright.llm.shared import extended, held, slices, with_fields, written
 
 MARK = "▁"
 ALPHABETIC = re.compile(r"[^\W\d_]+")
@@ -46,10 +47,12 @@ ROUNDS = 3
 SMOOTHING = 0.01
 
 # Words that a worker remembers the scores of, and that a task counts before it
-# passes the counts on.
-MEMO_WORDS = 600_000
-# Words of one length that are scored at once.
-BLOCK = 4_096
+# passes the counts on (some 30 MB).
+MEMO_WORDS = 150_000
+# Letters of words of one length that are scored at once.
+BLOCK = 65_536
+# In what is learned from, a longer word counts as stretches of so many letters.
+LONGEST_LEARNED = 512
 
 
 def letter_runs(text: str | None) -> list[str]:
@@ -98,9 +101,10 @@ def word_scores(words: Iterable[str], weights: np.ndarray, path: str) -> Iterato
     by_size: dict[int, list[str]] = defaultdict(list)
     for word in words:
         by_size[len(word)].append(word)
-    for same in by_size.values():
-        for at in range(0, len(same), BLOCK):
-            block = same[at : at + BLOCK]
+    for size, same in by_size.items():
+        step = max(1, BLOCK // (size + 1))
+        for at in range(0, len(same), step):
+            block = same[at : at + step]
             logs = np.zeros((len(block), weights.shape[1]))
             sums = {0: np.ones_like(logs)}
             for start, end, ids in _grid([MARK + word for word in block], known, reach):
@@ -125,26 +129,29 @@ def expected_counts(
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order])) + 1
     for same in np.split(order, cuts) if len(order) else []:
-        for at in range(0, len(same), BLOCK):
-            rows = same[at : at + BLOCK]
+        size = 1 + int(sizes[same[0]])
+        step = max(1, BLOCK // size)
+        for at in range(0, len(same), step):
+            rows = same[at : at + step]
             lang = langs[rows]
-            edges = list(_grid([MARK + words[i] for i in rows], known, reach))
-            size = 1 + int(sizes[rows[0]])
+            edges = _grid([MARK + words[i] for i in rows], known, reach)
             scaled = [(start, end, ids, weights[ids, lang]) for start, end, ids in edges]
+            into, onward = [[] for _ in range(size + 1)], [[] for _ in range(size + 1)]
+            for start, end, _, p in scaled:
+                into[end].append((start, p))
+                onward[start].append((end, p))
             ahead = np.zeros((size + 1, len(rows)))
             back = np.zeros((size + 1, len(rows)))
             ahead[0] = back[size] = 1
             logs_ahead = np.zeros((size + 1, len(rows)))
             for end in range(1, size + 1):
                 # Each place is scaled to one, relative to the place before it.
-                terms = [(s, p) for s, e, _, p in scaled if e == end]
-                here = sum(ahead[s] * p * np.exp(logs_ahead[s] - logs_ahead[end - 1]) for s, p in terms)
+                here = sum(ahead[s] * p * np.exp(logs_ahead[s] - logs_ahead[end - 1]) for s, p in into[end])
                 logs_ahead[end] = logs_ahead[end - 1] + np.log(here)
                 ahead[end] = 1
             logs_back = np.zeros((size + 1, len(rows)))
             for start in range(size - 1, -1, -1):
-                terms = [(e, p) for s, e, _, p in scaled if s == start]
-                here = sum(back[e] * p * np.exp(logs_back[e] - logs_back[start + 1]) for e, p in terms)
+                here = sum(back[e] * p * np.exp(logs_back[e] - logs_back[start + 1]) for e, p in onward[start])
                 logs_back[start] = logs_back[start + 1] + np.log(here)
                 back[start] = 1
             for start, end, ids, p in scaled:
@@ -160,28 +167,32 @@ def _normal(counts: np.ndarray) -> np.ndarray:
     return weights / weights.sum(axis=0)
 
 
+def _stretches(words: list[str]) -> Iterator[str]:
+    for word in words:
+        if len(word) <= LONGEST_LEARNED:
+            yield word
+        else:
+            yield from (word[at : at + LONGEST_LEARNED] for at in range(0, len(word), LONGEST_LEARNED))
+
+
 def _count_words(rows: DataFrame) -> DataFrame:
     """``lang, word, n`` of all rows; each task counts before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, str]] = Counter()
+        counts: dict[str, Counter[str]] = defaultdict(Counter)
 
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [[k[0] for k in keys], [k[1] for k in keys], list(held.values())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())],
-                names=["lang", "word", "n"],
-            )
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, found in counts.items():
+                words, n = pa.array(list(found), pa.string()), pa.array(found.values(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), words, n], names=["lang", "word", "n"])
+            counts.clear()
 
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for word, n in Counter(letter_runs(text)).items():
-                    held[lang, word] += n
-            if len(held) >= MEMO_WORDS:
-                yield out()
-        yield out()
+                counts[lang].update(_stretches(letter_runs(text)))
+            if sum(map(len, counts.values())) >= MEMO_WORDS:
+                yield from out()
+        yield from out()
 
     counted = rows.mapInArrow(run, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -198,7 +209,7 @@ def learn(
     """A model from labelled texts.
 
     The texts are a sample of bounded size: about ``texts_per_language`` of each
-    language, the same ones on every run. What reaches the driver is a number per
+    language, the same ones on every run; rows that repeat key and text are chosen together. What reaches the driver is a number per
     piece and language.
     """
     rows = labelled.select(
@@ -213,7 +224,8 @@ def learn(
     share = F.element_at(
         F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, texts_per_language / n))]), F.col("lang")
     )
-    chosen = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    # The text is part of what is hashed, so that rows of one key, or of none, are not chosen together.
+    chosen = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
     words = written(_count_words(chosen), "language-words")
     number = {name: n for n, name in enumerate(languages)}
     counts = np.ones(shape)
@@ -253,12 +265,17 @@ class _Scorer:
     def totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
         counted = [Counter(letter_runs(text)) for text in texts]
         if len(self.place) >= MEMO_WORDS:
-            self.__init__(self.model)
+            self.place = {}
         new = list({word for counts in counted for word in counts if word not in self.place})
-        if new:
-            found = list(word_scores(new, self.model.weights, self.model.vocabulary))
-            self.place |= {word: n for n, (word, _) in enumerate(found, len(self.place))}
-            self.scores = np.concatenate([self.scores, [score for _, score in found]])
+        known = len(self.place)
+        if known + len(new) > len(self.scores):
+            # Room for twice as many, so that a slice does not copy what is known.
+            room = np.zeros((2 * (known + len(new)), len(self.model.languages)))
+            room[:known] = self.scores[:known]
+            self.scores = room
+        for number, (word, score) in enumerate(word_scores(new, self.model.weights, self.model.vocabulary), known):
+            self.place[word] = number
+            self.scores[number] = score
         place, out = self.place, []
         for counts in counted:
             where = np.fromiter(map(place.__getitem__, counts), np.int64, len(counts))
@@ -267,19 +284,13 @@ class _Scorer:
         return out
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def identify(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``texts`` with ``lang_pred`` and ``score``, its share among all learned languages (0 to 1)."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
     ident = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ident not in _scorers:
-            _scorers.clear()
-            _scorers[ident] = _Scorer(shared.value)
-        scorer = _scorers[ident]
+        scorer = held(("language", ident), lambda: _Scorer(shared.value))
         names, priors = scorer.model.languages, scorer.model.priors
         for batch in slices(batches, text):
             langs, scores = [], []

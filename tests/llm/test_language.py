@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 from functools import lru_cache
 
@@ -87,3 +88,33 @@ def test_edges(spark):
     assert empty.columns == ["doc_id", "held_out", "lang_pred", "score"] and empty.count() == 0
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {row.lang_pred for row in language.predict(unlabelled, PATH).collect()} == {"und"}
+
+
+def test_long_words_are_learned_and_scored_in_linear_time(weights):
+    rng = np.random.default_rng(5)
+    words = list(language._stretches(["".join(rng.choice(list("abcdé漢"), 50_000)), "short"]))
+    assert "".join(words[:-1]).endswith(words[-2]) and max(map(len, words)) == language.LONGEST_LEARNED
+    began = time.perf_counter()
+    many = np.ones(len(words))
+    total = language.expected_counts(words, np.zeros(len(words), int), many, weights, PATH)
+    (score,) = (score for _, score in language.word_scores(["".join(words[:-1])], weights, PATH))
+    assert np.isfinite(total).all() and np.isfinite(score).all() and time.perf_counter() - began < 120
+
+
+def test_rows_without_a_key_are_not_sampled_together(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(language, "_count_words", lambda rows: asked.append(rows.count()) or rows.selectExpr("lang", "'word' word", "1L n"))
+    rows = [(None if i % 3 else i, f"word {i}", "en") for i in range(3000)]
+    language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH, texts_per_language=300)
+    assert 200 < asked[0] < 400
+
+
+def test_what_is_remembered_gives_the_same_scores(weights, monkeypatch):
+    monkeypatch.setattr(language, "MEMO_WORDS", 3)
+    model = language.Model(("a", "b", "c"), weights, np.zeros(3), PATH)
+    scorer = language._Scorer(model)
+    texts = ["the thing", "of the", None, "naive words here", "the of", "thing"]
+    for at in range(0, 6, 2):
+        for text, total in zip(texts[at : at + 2], scorer.totals(texts[at : at + 2])):
+            alone = language._Scorer(model).totals([text])[0]
+            assert (total is None and alone is None) or np.allclose(total, alone)

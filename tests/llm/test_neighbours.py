@@ -55,7 +55,7 @@ def test_exact_where_windows_cover_all(spark):
 
 
 def test_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     table = vectors.toPandas().sort_values("vec_id")
     ids, matrix = table.vec_id.to_numpy(), np.vstack(table.embedding.to_numpy()).astype(float)
     got = neighbours.nearest(vectors, F.col("id") % 100 == 0).toPandas().groupby("query_id").vec_id.apply(set)
