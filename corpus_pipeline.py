@@ -3,6 +3,10 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps, with the
 columns of ``documents``; the last returns token ids. Columns beyond those that a
 stage works on pass through.
+
+Documents of null, empty or letterless text go in the first stage, a very long one is
+worked on whole, and empty tables pass as such. Rows of a null or an equal id are judged
+apart; of rows that repeat id and text one stays. Ties go to the least id.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ from citewright.llm.shared import written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of the learned ones."""
     model = language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    rows = docs.select(F.struct("*").alias("carried"), F.col("text").cast("string").alias("text"))
-    found = language.identify(rows, model)
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select("carried.*")
+    # The text travels once; the other columns are carried in a struct, where no name clashes.
+    others = [name for name in docs.columns if name.lower() != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in others]).alias("carried"), F.col("text").cast("string").alias("text"))
+    found = language.identify(rows, model).filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.select(*[F.col("text").alias(name) if name.lower() == "text" else F.col("carried")[name].alias(name) for name in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
