@@ -6,9 +6,12 @@ a logistic fit. Where it stands is evidence, too: the rate of good documents of
 path leans on that of its host, and that on the rate of all, with beta-binomial
 strengths estimated from the data (see ``shared.shrunk``). The two add up in log odds.
 
-Frequencies and rates are counted over all labelled documents by grouped aggregation;
-what reaches the driver is a number per bucket and class. The logistic fit has two
-parameters and uses a bounded sample of labelled documents (``FIT_ROWS``).
+The classifier is fitted on a bounded sample of the labelled documents (``FIT_ROWS``, the
+least hashes of their ids): one half gives the trigrams' frequencies, the other, which
+they have not seen, the two parameters of the logistic fit. The sample's ids are
+broadcast at every size, so no text is shuffled. Rates of hosts and paths are counted
+over all labels by grouped aggregation. What reaches the driver is a number per bucket
+and class, and a number per document of the second half.
 
 * A null or very short text has no evidence of its own and stands by its path. Very
   long texts are read whole. A null host or path is the empty one.
@@ -26,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.llm.shared import packed, shrunk, slices, text_bytes, unpacked, within_rows, written
+from citewright.llm.shared import shrunk, slices, text_bytes, within_rows, written
 
 BUCKETS = 1 << 14
 THRESHOLD = 0.5
-# About so many labelled documents scale the evidence.
-FIT_ROWS = 20_000
+# So many different ids at most fit the classifier.
+FIT_ROWS = 100_000
 _MULTIPLIER = np.uint32(2654435761)
 
 
@@ -46,18 +49,23 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(labelled: DataFrame) -> np.ndarray:
-    """``[class, bucket]``: trigrams of bad and good documents."""
+    """``[class, bucket]``: trigrams of bad and good documents, once for each label.
+
+    ``labelled`` has ``text``, ``n`` and ``good``, the numbers of its labels and of the good ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * BUCKETS, np.int64)
-        for batch in unpacked(batches):
+        for batch in slices(batches, "text"):
             of, bucket = trigrams(batch.column("text"))
-            good = batch.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
-            total += np.bincount(good[of] * BUCKETS + bucket, minlength=2 * BUCKETS)
+            labels, good = (batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("n", "good"))
+            for kind, times in enumerate((labels - good, good)):
+                sums = np.bincount(bucket, times[of], minlength=BUCKETS).astype(np.int64)
+                total[kind * BUCKETS : (kind + 1) * BUCKETS] += sums
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    sums = labelled.select("good", "text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = labelled.select("n", "good", "text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * BUCKETS)
     out[sums["at"].to_numpy()] = sums["n"].to_numpy()
     return out.reshape(2, BUCKETS)
@@ -82,14 +90,14 @@ def _scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, x double")
 
 
-def logistic(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Offset and slope of the log odds of ``good``, slightly regularised, by Newton steps."""
+def logistic(x: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """Offset and slope of the log odds of ``good`` of ``n``, slightly regularised, by Newton steps."""
     inputs, fit = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
     penalty = np.diag([1e-3, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(inputs @ fit, -30, 30)))
-        slope = inputs.T @ (good - p) - penalty @ fit
-        step = np.linalg.solve((inputs * (p * (1 - p))[:, None]).T @ inputs + penalty, slope)
+        slope = inputs.T @ (good - n * p) - penalty @ fit
+        step = np.linalg.solve((inputs * (n * p * (1 - p))[:, None]).T @ inputs + penalty, slope)
         fit += np.clip(step, -10, 10)
         if np.abs(step).max() < 1e-8:
             break
@@ -118,17 +126,22 @@ def judged(
     marks = labels.select(F.col(f"`{key}`").cast("long").alias("id"), (F.col(f"`{label}`") == 1).cast("int").alias("good"))
     marks = marks.filter("good is not null and id is not null")
 
-    counts = _frequencies(packed(rows.select("id", "text")).join(marks, "id")) + 1.0
+    by_id = marks.groupBy("id").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    by_id = by_id.withColumn("hash", F.xxhash64("id")).orderBy("hash", "id").limit(FIT_ROWS)
+    sample = written(by_id.withColumn("part", F.pmod(F.col("hash"), F.lit(2))).drop("hash"), "sample")
+    part = lambda number: F.broadcast(sample.filter(F.col("part") == number).drop("part"))
+
+    counts = _frequencies(rows.select("id", "text").join(part(0), "id")) + 1.0
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     scored = written(_scored(rows, logs[1] - logs[0]), "evidence")
     known = written(scored.join(marks, "id").select("id", "host", "path", "x", "good"), "labelled")
 
     total = known.agg(F.count("*").alias("n"), F.sum("good").alias("good")).first()
     rate = ((total["good"] or 0) + 1) / (total["n"] + 2)
-    part = min(1.0, FIT_ROWS / max(1, total["n"]))
-    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < part * 1_000_003).filter("x is not null")
-    fit = chosen.select("x", "good").toPandas()
-    offset, slope = logistic(fit.x.to_numpy(float), fit.good.to_numpy(float)) if len(fit) else (0.0, 0.0)
+    # Rows that share an id are one observation: their mean evidence.
+    seen = scored.filter("x is not null").join(part(1), "id").groupBy("id", "n", "good").agg(F.avg("x").alias("x"))
+    fit = seen.select("x", "n", "good").toPandas()
+    offset, slope = logistic(*(fit[name].to_numpy(float) for name in ("x", "n", "good"))) if len(fit) else (0.0, 0.0)
     # What the sample's own rate contributes is the site's to say.
     centre = np.log(rate / (1 - rate)) if len(fit) else 0.0
 

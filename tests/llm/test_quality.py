@@ -18,7 +18,7 @@ def test_logistic_fit():
     rng = np.random.default_rng(0)
     x = rng.standard_normal(20_000)
     good = rng.random(20_000) < 1 / (1 + np.exp(-(0.7 + 2 * x)))
-    offset, slope = quality.logistic(x, good.astype(float))
+    offset, slope = quality.logistic(x, np.ones(20_000), good.astype(float))
     assert abs(offset - 0.7) < 0.1 and abs(slope - 2) < 0.1
 
 
