@@ -15,8 +15,8 @@ broadcast; there are ``2**BUCKETS`` at most, whatever the tables' size. What is
 shuffled is the small rest.
 
 * Items or documents that are null or have no word match nothing. An item with fewer
-  words than a shingle is one shingle of all its words, which a document contains
-  only if it has no other words.
+  words than a shingle is one shingle of all its words; for the lengths that such
+  items have, documents are cut into shingles of that length, too.
 * For ``contained``, rows with equal ids are one item or document, with the shingles
   of all of them; so are rows whose id is null. ``without`` judges every row by itself.
 * Empty tables give an empty result; other columns are not read.
@@ -24,6 +24,8 @@ shuffled is the small rest.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +49,26 @@ def _rows(table: DataFrame, ident: Column, text: str) -> DataFrame:
     return table.select(ident.alias("id"), words.alias("words")).filter(F.size("words") > 0)
 
 
-def _hashes(rows: DataFrame, size: int) -> DataFrame:
-    """``id, words, hash, at``: every shingle of every row."""
-    count = F.greatest(F.size("words") - (size - 1), F.lit(1))
+def _hashes(rows: DataFrame, size: int, shorter: Sequence[int] = ()) -> DataFrame:
+    """``id, words, hash, at, width``: every shingle of every row, of ``size`` words (or all, if
+    there are fewer) and of each of the ``shorter`` numbers of words."""
+
+    def shingles(width: int) -> Column:
+        def shingle(at: Column) -> Column:
+            hashed = F.xxhash64(*[F.get("words", at + k) for k in range(width)])
+            return F.struct(hashed.alias("hash"), at.alias("at"), F.lit(width).alias("width"))
 
-    def shingle(at: Column) -> Column:
-        return F.struct(F.xxhash64(*[F.get("words", at + k) for k in range(size)]).alias("hash"), at.alias("at"))
+        last = F.size("words") - width
+        if width == size:
+            return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), shingle)
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), shingle)).otherwise(F.array())
 
-    each = F.explode(F.transform(F.sequence(F.lit(0), count - 1), shingle)).alias("s")
-    return rows.select("id", "words", each).select("id", "words", "s.hash", "s.at")
+    each = shingles(size) if not shorter else F.concat(*map(shingles, (size, *shorter)))
+    return rows.select("id", "words", F.explode(each).alias("s")).select("id", "words", "s.*")
 
 
-def _texts(shingles: DataFrame, size: int) -> DataFrame:
-    text = F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(size)))
+def _texts(shingles: DataFrame) -> DataFrame:
+    text = F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("width")))
     return shingles.select("id", text.alias("shingle")).distinct()
 
 
@@ -70,11 +79,14 @@ def _bucket(hash_: str) -> Column:
 def _found(documents: DataFrame, items: DataFrame, size: int, share: int) -> DataFrame:
     """``id, item, n, needed, n_shared`` of all pairs with enough shingles, ``id`` and ``item`` as the rows name them."""
     hashed = _hashes(items, size)
-    wanted = written(_texts(hashed, size).withColumnRenamed("id", "item"), "item-shingles")
+    wanted = written(_texts(hashed).withColumnRenamed("id", "item"), "item-shingles")
+    # Fewer than ``size`` different lengths.
+    short = items.select(F.size("words").alias("n")).filter(F.col("n") < size).distinct()
+    shorter = sorted(row.n for row in short.collect())
     buckets = F.broadcast(hashed.select(_bucket("hash").alias("bucket")).distinct())
 
-    seen = _hashes(documents, size).withColumn("bucket", _bucket("hash"))
-    near = _texts(seen.join(buckets, "bucket", "left_semi"), size)
+    seen = _hashes(documents, size, shorter).withColumn("bucket", _bucket("hash"))
+    near = _texts(seen.join(buckets, "bucket", "left_semi"))
     hits = written(near.join(wanted.select("shingle").distinct(), "shingle", "left_semi"), "shingle-hits")
 
     of_item = Window.partitionBy("item")

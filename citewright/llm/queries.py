@@ -92,11 +92,15 @@ with split as (
 ), addresses as (
     select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts
 ), hosts as (
-    select host, count(quality) as n, coalesce(sum(case when quality = 1 and toxic = 0 then 1 else 0 end) filter (quality is not null and toxic is not null), 0) as good,
-           string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as names
+    select host, count(*) filter (quality is not null and toxic is not null) as n,
+           count(*) filter (quality = 1 and toxic = 0) as good, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as names
     from addresses left join labels on page_id = doc_id group by host
+), ends as (
+    select *, case when len(names) > 1 and length(names[-1]) = 2
+                    and names[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') then 2 else 1 end as k from hosts
 ), levels as (
-    select host, n, good, array_to_string(names[-2:], '.') as domain, names[-1] as suffix from hosts
+    select host, n, good, array_to_string(names[greatest(len(names) - k, 1) :], '.') as domain,
+           array_to_string(names[len(names) - k + 1 :], '.') as suffix from ends
 ), overall as (
     select (sum(good) + 1.0) / (sum(n) + 2) as p from levels
 ), s as (
@@ -167,9 +171,14 @@ with item_words as (
     from item_words, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0
 ), doc_words as (
     select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents
+), lengths as (
+    select distinct len(w) as k from item_words where len(w) between 1 and 4
 ), shingles as (
-    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as shingle
+    select doc_id, array_to_string(w[i : i + 4], ' ') as shingle
     from doc_words, unnest(range(1, greatest(len(w) - 3, 2))) as t(i) where len(w) > 0
+    union
+    select doc_id, array_to_string(w[i : i + k - 1], ' ')
+    from doc_words, lengths, unnest(range(1, greatest(len(w) - k + 2, 1))) as t(i)
 ), sizes as (
     select item_id, count(*) as n from wanted group by 1
 )

@@ -10,9 +10,11 @@ A rule names a host and a path; it fits that host and all its subdomains, and pa
 that start with its own. The longest that fits decides.
 
 * An address that is null or has no ``://`` has an empty host and path; so all such
-  pages share one reputation. Ports and user names belong to the host; the
-  registered domain is the last two labels without the port, the suffix the last.
-* A page with several labels counts each; labels with nulls, or for no page, none.
+  pages share one reputation. Ports and user names belong to the host; the suffix is
+  the last label without the port, or the last two if a country's follows one of
+  ``SECOND_LEVEL`` (``co.uk``); the registered domain has one label more, if there is one.
+* A page with several labels counts each; labels without a quality or a toxicity, or
+  for no page, none.
   Pages with equal ids are judged one by one. Without labels, all rest on the prior
   of one good and one bad page.
 * Empty tables give none; other columns are not read.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from citewright.llm.shared import shrunk, written
 
 THRESHOLD = 0.5
+# Labels under which many countries' registries hand out names.
+SECOND_LEVEL = "ac", "co", "com", "edu", "gov", "net", "org"
 # Standard deviations between the posterior's mean and its bound.
 WIDTH = 1.645
 
@@ -75,8 +79,11 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = labelled.agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     bare = F.regexp_replace("host", r":\d*$", "")
     names = F.split(bare, r"\.")
-    domain = F.array_join(F.slice(names, -F.least(F.size(names), F.lit(2)), F.lit(2)), ".")
-    hosts = written(hosts.withColumns({"domain": domain, "suffix": F.element_at(names, -1)}), "hosts")
+    country = (F.size(names) > 1) & (F.length(F.element_at(names, -1)) == 2)
+    deep = country & F.get(names, F.size(names) - 2).isin(*SECOND_LEVEL)
+    last = lambda count: F.array_join(F.slice(names, -F.least(F.size(names), count), count), ".")
+    suffix, domain = last(F.when(deep, 2).otherwise(1)), last(F.when(deep, 3).otherwise(2))
+    hosts = written(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 2)
 
@@ -104,7 +111,9 @@ def judged(
     host, path = parts(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{key}`").alias("page"), host.alias("host"), path.alias("path"))
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    outcomes = labels.select(F.col(f"`{label_key}`").alias("page"), good.cast("int").alias("good")).filter("good is not null")
+    outcomes = labels.filter("quality is not null and toxic is not null").select(
+        F.col(f"`{label_key}`").alias("page"), good.cast("int").alias("good")
+    )
     known = written(reputations(rows.select("page", "host"), outcomes), "reputations")
     found = rows.join(known.select("host", "mean", "bound"), "host").withColumn("fit", _first_fit(rules))
     earned = F.when(F.col("bound") >= threshold, "allow").otherwise("block")

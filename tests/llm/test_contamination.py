@@ -5,23 +5,30 @@ import random
 import re
 
 import corpus_pipeline
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from citewright.llm import contamination
+from citewright.llm import contamination, queries
 
 
-def shingles(text):
-    words = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(words[at : at + 5]) for at in range(max(1, len(words) - 4))} if words else set()
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def shingles(text, size=5):
+    words = words_of(text)
+    return {" ".join(words[at : at + size]) for at in range(max(1, len(words) - size + 1))} if words else set()
 
 
 def by_hand(documents, items, share):
     sets: dict = {}
     wanted: dict = {}
-    for rows, into in ((documents, sets), (items, wanted)):
-        for key, text in rows:
-            into.setdefault(key, set()).update(shingles(text))
+    short = {len(words_of(text)) for _, text in items} & {1, 2, 3, 4}
+    for key, text in items:
+        wanted.setdefault(key, set()).update(shingles(text))
+    for key, text in documents:
+        sets.setdefault(key, set()).update(shingles(text), *(shingles(text, size) for size in short))
     out = []
     for key, mine in sets.items():
         for item, theirs in wanted.items():
@@ -56,6 +63,24 @@ def test_equals_brute_force(spark, share):
         assert contamination.contained(docs, tests.limit(0)).count() == 0
 
 
+def test_items_of_a_few_words_are_found_in_long_documents(spark):
+    items = [(1, "secret answer here"), (2, "Forty-two"), (3, "alone"), (4, "one two three four"), (5, "one two three four five"), (6, None)]
+    documents = [
+        (10, "long before the secret answer, here and after"), (11, "secret answers here"), (12, "it is forty two."), (13, "ALONE"),
+        (14, "zero one two three four"), (15, "one two three"), (16, "none of them at all in this one"), (17, "secret answer here"),
+        (18, "two forty"), (19, "one two three four five six"), (20, "the word " * 3_000 + "secret answer here" + " more" * 3_000),
+    ]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, contamination.contained(docs, tests).collect()))
+    pairs = [(10, 1), (12, 2), (13, 3), (14, 4), (17, 1), (19, 4), (19, 5), (20, 1)]
+    assert got == [(*pair, 1, 1) for pair in pairs] == by_hand(documents, items, 80)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", tests.toPandas())
+    assert got == sorted(con.execute(queries.OP9_SQL).fetchall())
+
+
 def test_stage_judges_every_row_by_itself(spark, tmp_path):
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(n))
