@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -273,41 +273,62 @@ def encoder(path: str) -> Encoder:
     return held(("word_bpe", path), lambda: Encoder(WordVocabulary(path)))
 
 
-def encode(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``texts`` with ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
+Batches = Iterator[pa.RecordBatch]
 
-    ``path`` is that of a vocabulary file in the public library's JSON format, which
-    every executor has.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(path: str, text: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         encode_all = encoder(path).encode
         for batch in slices(batches, text):
             ids = encode_all([value or "" for value in batch.column(text).to_pylist()])
             counts = pa.array([len(value) // 4 for value in ids], pa.int64())
             yield extended(batch, ids=pa.array(ids, pa.binary()), n_tokens=counts)
 
-    added = T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())
-    return texts.mapInArrow(run, with_fields(texts.schema, *added))
+    return run
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ids; null ids are none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(path: str, ids: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         text_of = encoder(path).words.decode
         for batch in slices(batches, ids):
             numbers = (np.frombuffer(value or b"", "<u4").tolist() for value in batch.column(ids).to_pylist())
             yield extended(batch, decoded=pa.array([text_of(row) for row in numbers], pa.string()))
 
-    return encoded.mapInArrow(run, with_fields(encoded.schema, T.StructField("decoded", T.StringType())))
+    return run
+
+
+ENCODED = T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def encode(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``texts`` with ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
+
+    ``path`` is that of a vocabulary file in the public library's JSON format, which
+    every executor has.
+    """
+    return texts.mapInArrow(_encoding(path, text), with_fields(texts.schema, *ENCODED))
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``, the text of its ids; null ids are none."""
+    return encoded.mapInArrow(_decoding(path, ids), with_fields(encoded.schema, DECODED))
+
+
+def round_trip(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``texts`` as ``encode`` and then ``decode`` leave it, in one pass: a task needs one worker."""
+    there, back = _encoding(path, text), _decoding(path, "ids")
+
+    def run(batches: Batches) -> Batches:
+        return back(there(batches))
+
+    return texts.mapInArrow(run, with_fields(texts.schema, *ENCODED, DECODED))
 
 
 def token_digests(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of every row: encoded, then decoded again."""
     rows = texts.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    both = decode(encode(rows, path).select("key", "n_tokens", "ids"), path)
-    return both.select(
+    return round_trip(rows, path).select(
         F.col("key").alias(key),
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
