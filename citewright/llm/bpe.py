@@ -19,7 +19,7 @@ import base64
 import struct
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -239,38 +239,62 @@ def spellings(path: str) -> list[bytes]:
     return found
 
 
-def encode(
-    texts: DataFrame, ranks: str, pattern: str, text: str = "text", by_words: bool = False
-) -> DataFrame:
-    """``texts`` with ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
+Batches = Iterator[pa.RecordBatch]
 
-    ``ranks`` is the path of a rank file that every executor has; each match of
-    ``pattern`` is encoded by itself, as the public library for such files does.
-    ``by_words`` may be set for patterns as ``Encoder`` describes; it saves time only.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(ranks: str, pattern: str, text: str, by_words: bool) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         ids_of = encoder(ranks, pattern, by_words).ids
         for batch in slices(batches, text):
             ids = [ids_of(value or "") for value in batch.column(text).to_pylist()]
             counts = pa.array([len(value) // 4 for value in ids], pa.int64())
             yield extended(batch, ids=pa.array(ids, pa.binary()), n_tokens=counts)
 
-    added = T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())
-    return texts.mapInArrow(run, with_fields(texts.schema, *added))
+    return run
 
 
-def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes its ids stand for; null ids are none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(ranks: str, ids: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         spelling = spellings(ranks)
         for batch in slices(batches, ids):
             numbers = (np.frombuffer(value or b"", "<u4").tolist() for value in batch.column(ids).to_pylist())
             texts = [b"".join(map(spelling.__getitem__, row)) for row in numbers]
             yield extended(batch, decoded=pa.array(texts, pa.binary()))
 
-    return encoded.mapInArrow(run, with_fields(encoded.schema, T.StructField("decoded", T.BinaryType())))
+    return run
+
+
+ENCODED = T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())
+DECODED = T.StructField("decoded", T.BinaryType())
+
+
+def encode(
+    texts: DataFrame, ranks: str, pattern: str, text: str = "text", by_words: bool = False
+) -> DataFrame:
+    """``texts`` with ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
+
+    ``ranks`` is the path of a rank file that every executor has; each match of
+    ``pattern`` is encoded by itself, as the public library for such files does.
+    ``by_words`` may be set for patterns as ``Encoder`` describes; it saves time only.
+    """
+    return texts.mapInArrow(_encoding(ranks, pattern, text, by_words), with_fields(texts.schema, *ENCODED))
+
+
+def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``, the bytes its ids stand for; null ids are none."""
+    return encoded.mapInArrow(_decoding(ranks, ids), with_fields(encoded.schema, DECODED))
+
+
+def round_trip(
+    texts: DataFrame, ranks: str, pattern: str, text: str = "text", by_words: bool = False
+) -> DataFrame:
+    """``texts`` as ``encode`` and then ``decode`` leave it, in one pass: a task needs one worker."""
+    there, back = _encoding(ranks, pattern, text, by_words), _decoding(ranks, "ids")
+
+    def run(batches: Batches) -> Batches:
+        return back(there(batches))
+
+    return texts.mapInArrow(run, with_fields(texts.schema, *ENCODED, DECODED))
 
 
 def token_digests(
@@ -278,8 +302,7 @@ def token_digests(
 ) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of every row: encoded, then decoded again."""
     rows = texts.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    both = decode(encode(rows, ranks, pattern, by_words=by_words).select("key", "n_tokens", "ids"), ranks)
-    return both.select(
+    return round_trip(rows, ranks, pattern, by_words=by_words).select(
         F.col("key").alias(key),
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

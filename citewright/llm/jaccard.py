@@ -48,6 +48,7 @@ from citewright.llm.shared import (
     mix,
     packed,
     partitions_for,
+    release,
     rows_key,
     slices,
     text_bytes,
@@ -103,6 +104,7 @@ def _described(rows: DataFrame, size: int, share: int, seed: int) -> DataFrame:
     """``doc, row, id, n, class, check, n_counted, sent``: each document's set, its class and first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         salt = mix(np.array([seed], _U))[0]
         first = _U(_counted(share) << 56)
         for batch in slices(batches, "text"):
@@ -197,6 +199,7 @@ def _shared_shingles(described: DataFrame) -> DataFrame:
         )
 
     def count_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             for at in range(batch.num_rows):
@@ -271,6 +274,7 @@ def _class_sets(rows: DataFrame, described: DataFrame, members: DataFrame, size:
     one = one.groupBy("class", "n").agg(F.min(F.struct("doc", "row")).alias("of")).select("class", "n", "of.doc", "of.row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in unpacked(batches):
             sets = list(_sets(batch.column("text"), size))
             flat = _ordered(np.concatenate(sets)) if sets else np.zeros(0, np.int64)

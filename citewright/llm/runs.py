@@ -43,6 +43,7 @@ from citewright.llm.shared import (
     packed,
     partitions_for,
     prefix_hash,
+    release,
     rows_key,
     signed,
     slices,
@@ -112,6 +113,7 @@ def _scan(rows: DataFrame, length: int, anchor: int):
     count = 4 * partitions_for(rows.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ of its own.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from functools import lru_cache
 from typing import Any
@@ -46,11 +47,19 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     Workers outlive the stages they serve, so a stage must not leave its tables to the next.
     """
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
+def release() -> None:
+    """Give back what the worker holds; for tasks that need the memory for something else."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def rows_key(key: str, text: str) -> Column:
     """``k``, a struct of ``doc, row``: the place of a document among all, and a hash that tells
     texts of one id apart. A null id comes before all others."""
