@@ -52,9 +52,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, exact``: token ids, and whether they decode to the text."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, by_words=True)
+    both = bpe.round_trip(rows, ranks, public_tokenizers.PATTERN, by_words=True)
     exact = (F.col("decoded") == F.col("text").cast("binary")).alias("exact")
-    return bpe.decode(encoded, ranks).select("doc_id", "lang", "source", "n_tokens", "ids", exact)
+    return both.select("doc_id", "lang", "source", "n_tokens", "ids", exact)
 
 
 STAGES = [
