@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewright.llm.shared import (
+    SLICE_BYTES,
     discard,
     keyed,
     lists,
@@ -65,8 +66,9 @@ LINK = 85
 SMALL = 8
 # Levels of document pivots.
 LEVELS = 4
-# Shingles that a task holds before it passes them on.
-HELD = 1 << 20
+# Shingles that a task holds before it passes them on, and bytes of text that it hashes at once.
+HELD = 1 << 18
+HASHED = SLICE_BYTES // 4
 
 _U = np.uint64
 _TOP = _U(1 << 63)
@@ -107,7 +109,7 @@ def _described(rows: DataFrame, size: int, share: int, seed: int) -> DataFrame:
         release()
         salt = mix(np.array([seed], _U))[0]
         first = _U(_counted(share) << 56)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", HASHED):
             sizes, classes, checks, counted, sent = [], [], [], [], []
             for shingles in _sets(batch.column("text"), size):
                 n = len(shingles)
