@@ -112,23 +112,57 @@ def build_prompt(query: Column, retrieved: Column) -> Column:
     )
 
 
-def parse_generation(reply: Column) -> Column:
-    """Read a JSON reply and fail on one that lacks a required field."""
-
-    def check(g: Column) -> Column:
-        bad_claim = F.exists(
-            g["claims"],
-            lambda c: F.coalesce(F.length(c["text"]) < 1, F.lit(True))
-            | c["chunk_ids"].isNull()
-            | F.exists(F.coalesce(c["chunk_ids"], F.array().cast("array<string>")), lambda i: i.isNull())
-            | c["quote"].isNull(),
+CORRUPT = "_corrupt_record"
+CHECKED = f"struct<generation:{GENERATION},problem:string>"
+
+
+def check_generation(reply: Column) -> Column:
+    """``struct<generation, problem>`` of a JSON reply; null for a null reply.
+
+    ``problem`` is null for a reply that follows the schema. Else ``generation`` is null
+    and ``problem`` says what is wrong first: ``not json``, ``answer``, ``claims``, or
+    ``claim <place>: <field>`` of the first claim that lacks a field.
+    """
+    # A nested field of another type makes the whole reply corrupt, so it reads as ``not json``.
+    schema = f"answer string, claims array<struct<text:string,chunk_ids:array<string>,quote:string>>, {CORRUPT} string"
+    parsed = F.from_json(reply, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+    def lacking(c: Column) -> Column:
+        ids = F.coalesce(F.exists(c["chunk_ids"], lambda i: i.isNull()), F.lit(True))
+        return (
+            F.when(F.coalesce(F.length(c["text"]), F.lit(0)) < 1, F.lit("text"))
+            .when(ids, F.lit("chunk_ids"))
+            .when(c["quote"].isNull(), F.lit("quote"))
+        )
+
+    def first_problem(g: Column) -> Column:
+        bad = F.filter(
+            F.transform(g["claims"], lambda c, i: F.concat(F.lit("claim "), i, F.lit(": "), lacking(c))),
+            lambda p: p.isNotNull(),
         )
-        valid = g["answer"].isNotNull() & g["claims"].isNotNull() & ~F.coalesce(bad_claim, F.lit(True))
-        failed = F.raise_error(F.lit("generation reply does not follow the schema")).cast(GENERATION)
-        return F.when(valid, g).otherwise(failed)
+        return (
+            F.when(g[CORRUPT].isNotNull(), F.lit("not json"))
+            .when(g["answer"].isNull(), F.lit("answer"))
+            .when(g["claims"].isNull(), F.lit("claims"))
+            .otherwise(F.get(bad, F.lit(0)))
+        )
+
+    def outcome(s: Column) -> Column:
+        kept = F.struct(s["g"]["answer"].alias("answer"), s["g"]["claims"].alias("claims")).cast(GENERATION)
+        return F.struct(F.when(s["problem"].isNull(), kept).alias("generation"), s["problem"].alias("problem"))
+
+    checked = let(parsed, lambda g: F.struct(g.alias("g"), first_problem(g).alias("problem")))
+    return F.when(reply.isNotNull(), let(checked, outcome)).cast(CHECKED)
+
+
+def parse_generation(reply: Column) -> Column:
+    """Read a JSON reply and fail on one that does not follow the schema."""
+
+    def strict(s: Column) -> Column:
+        message = F.concat(F.lit("generation reply does not follow the schema: "), s["problem"])
+        return F.when(s["problem"].isNull(), s["generation"]).otherwise(F.raise_error(message).cast(GENERATION))
 
-    parsed = F.from_json(reply, GENERATION, {"mode": "FAILFAST"})
-    return F.when(reply.isNotNull(), let(parsed, check))
+    return F.when(reply.isNotNull(), let(check_generation(reply), strict))
 
 
 def _free(generation: Column) -> Column:

@@ -46,6 +46,17 @@ def require_valid_meta(raw: DataFrame) -> DataFrame:
     return raw.withColumn("accession", checked.cast("string"))
 
 
+def parted_by_validity(raw: DataFrame, html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """The rows that keep all rules, and ``meta..., reasons`` of the others.
+
+    A row without a page has nothing to ingest and counts as invalid.
+    """
+    page = F.when(F.col(html).isNull(), F.array(F.lit(html))).otherwise(F.array().cast("array<string>"))
+    reasons = F.concat(invalid_fields(), page)
+    refused = raw.select(*META, reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    return raw.filter(F.size(reasons) == 0), refused
+
+
 def canonical_filings(raw: DataFrame, html: str = "html") -> DataFrame:
     """``meta..., canonical_text, redactions`` with personal data already gone."""
     redacted = raw.select(*META, redact_pii(extract_text(F.col(html))).alias("r"))

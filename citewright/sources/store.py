@@ -12,14 +12,25 @@ publishes them together with one small manifest, which names the version of each
 bucket. Readers take the newest manifest: they see an ingest whole or not at all,
 a bucket that lost its last row reads as empty, and an ingest that failed has left
 nothing but files that no manifest names (``vacuum`` removes those).
+
+Manifests are numbered files, and a number can be taken once. An ingest that finds
+its number taken looks at what the rival changed: other buckets, and it goes on from
+there; a bucket of its own, and it raises ``ConcurrentIngest`` with nothing published.
+This needs a file system whose rename refuses an existing target, as HDFS does. A
+local folder only checks first, so two writers there may meet in between.
+
+Filings whose fields break a rule fail an ingest, or go to ``rejects`` with the
+names of those fields if asked to.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +45,7 @@ from citewright.operators.upsert import BUCKETS, bucket_of, replace_by_key
 from citewright.plans.ingest import (
     canonical_filings,
     chunk_filings,
+    parted_by_validity,
     require_valid_meta,
     with_features,
 )
@@ -51,6 +63,15 @@ AUDIT_SCHEMA = """
     cost_usd double, latency_ms bigint
 """
 
+REJECTS_SCHEMA = """
+    cik string, accession string, company string, form string, filing_date string,
+    reasons array<string>, rejected_at string
+"""
+
+
+class ConcurrentIngest(RuntimeError):
+    """Another writer has published a bucket that this ingest had read before."""
+
 
 @dataclass(frozen=True)
 class Store:
@@ -111,8 +132,11 @@ class Store:
 
     def _manifest(self) -> tuple[int, dict[int, str]]:
         """The number of the newest manifest, and the version of each bucket it names."""
+        numbered = self._numbered()
+        # Without a numbered file: one file per ingest, as earlier releases left them.
+        path = f"{self.root}/manifest" + (f"/{_manifest_file(numbered[-1])}" if numbered else "")
         try:
-            rows = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.root}/manifest")
+            rows = self.spark.read.schema(MANIFEST_SCHEMA).json(path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return 0, {}
@@ -123,12 +147,24 @@ class Store:
         named = rows.filter(F.col("number") == newest).select("bucket", "version").limit(self.buckets).collect()
         return newest, {row["bucket"]: row["version"] for row in named}
 
+    def _numbered(self) -> list[int]:
+        """The numbers of the manifests that are there, ascending."""
+        path, system = self._path("manifest")
+        names = [entry.getPath().getName() for entry in system.listStatus(path)] if system.exists(path) else []
+        return sorted(int(name.removesuffix(".json")) for name in names if name.removesuffix(".json").isdigit())
+
+    def _path(self, name: str):
+        """A folder or file of the store, and the file system that has it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _schema(self, name: str) -> T.StructType:
         return _schemas(self.spark, self.dimensions)[name]
 
-    def _read(self, name: str) -> DataFrame:
-        """The published rows of a table."""
-        _, versions = self._manifest()
+    def _read(self, name: str, versions: dict[int, str] | None = None) -> DataFrame:
+        """The published rows of a table, or those of the given versions."""
+        if versions is None:
+            _, versions = self._manifest()
         schema = self._schema(name)
         stored = T.StructType([field for field in schema if field.name != "bucket"])
         stored = stored.add("version", T.StringType()).add("bucket", T.IntegerType())
@@ -157,12 +193,17 @@ class Store:
         embedder: Embedder | None = None,
         options: ChunkOptions | None = None,
         ingested_at: str | None = None,
+        reject: bool = False,
     ) -> DataFrame:
         """Ingest ``cik, accession, company, form, filing_date, html``.
 
         Gives back the new filings. Texts are redacted before anything is written,
         and each later table is built from the one written before it. A filing
         without headings has no chunks; ingested again, it loses those it had.
+
+        An invalid filing fails the ingest or, with ``reject``, is noted in ``rejects``
+        while the others go on. Rejects are noted before the ingest is published, so
+        one that is run again after a failure notes them again.
         """
         emb = embedder or HashEmbedder()
         if emb.dimensions != self.dimensions:
@@ -171,6 +212,11 @@ class Store:
         when = F.lit(ingested_at) if ingested_at else F.date_format(
             F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
         )
+        if reject:
+            raw, refused = parted_by_validity(raw)
+            noted = refused.withColumn("rejected_at", when)
+            noted.write.mode("append").parquet(f"{self.root}/rejects")
+        base = self._manifest()
         filings = materialise(
             canonical_filings(require_valid_meta(raw))
             .withColumn("ingested_at", when)
@@ -184,14 +230,14 @@ class Store:
         version = uuid.uuid4().hex
         chunks = _chunks(filings, emb, options).withColumn("bucket", bucket)
         for name, incoming, order in (("filings", filings, ["accession"]), ("chunks", chunks, ["accession", "start_offset"])):
-            kept = self._read(name).filter(F.col("bucket").isin(touched))
+            kept = self._read(name, base[1]).filter(F.col("bucket").isin(touched))
             self._write(name, version, replace_by_key(kept, incoming, filings, ["accession"]), order)
         written = _read(self.spark, f"{self.root}/chunks/version={version}", self._stored("chunks"))
         if written is not None:
             self._write("frequency", version, term_frequency(written, "bucket"), ["term"])
             self._write("totals", version, chunk_totals(written, "bucket"), [])
             self._write("postings", version, posting_blocks(written, CHUNK_KEY, "bucket"), ["term_bucket", "term", "block"])
-        self._publish(version, touched)
+        self._publish(version, touched, base)
         return filings
 
     def _stored(self, name: str) -> T.StructType:
@@ -210,28 +256,57 @@ class Store:
             .parquet(f"{self.root}/{name}/version={version}")
         )
 
-    def _publish(self, version: str, touched: list[int]) -> None:
-        """One file, which appears as a whole, makes the version current."""
-        number, versions = self._manifest()
-        versions.update(dict.fromkeys(touched, version))
-        rows = [(number + 1, bucket, name) for bucket, name in sorted(versions.items())]
-        manifest = self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
-        manifest.write.mode("append").json(f"{self.root}/manifest")
+    def _publish(self, version: str, touched: list[int], base: tuple[int, dict[int, str]]) -> None:
+        """Make the version current, unless a touched bucket has changed since ``base``."""
+        while True:
+            number, versions = self._manifest()
+            lost = [bucket for bucket in touched if versions.get(bucket) != base[1].get(bucket)]
+            if lost:
+                raise ConcurrentIngest(f"buckets {sorted(lost)[:5]} were ingested by another writer")
+            versions |= dict.fromkeys(touched, version)
+            rows = [{"number": number + 1, "bucket": b, "version": name} for b, name in sorted(versions.items())]
+            if self._claimed(number + 1, "".join(json.dumps(row) + "\n" for row in rows)):
+                return
+
+    def _claimed(self, number: int, text: str) -> bool:
+        """Whether the manifest of this number could be put in place; False if there is one."""
+        target, _ = self._path(f"manifest/{_manifest_file(number)}")
+        draft, system = self._path(f"manifest/_{uuid.uuid4().hex}")
+        out = system.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        files = self.spark._jvm.org.apache.hadoop.fs
+        context = files.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark._sc._gateway.new_array(getattr(files, "Options$Rename"), 0)
+        try:
+            context.rename(draft, target, plain)
+        except Py4JJavaError as error:
+            system.delete(draft, False)
+            if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
 
     def vacuum(self) -> None:
         """Remove the files of versions that the newest manifest does not name.
 
-        Readers of an older manifest must have ended, and no ingest may be running.
+        Older manifests go as well. Readers of those must have ended, and no ingest may be running.
         """
         _, versions = self._manifest()
-        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        for number in self._numbered()[:-1]:
+            path, system = self._path(f"manifest/{_manifest_file(number)}")
+            system.delete(path, False)
         for name in TABLES:
-            folder = paths(f"{self.root}/{name}")
-            system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            folder, system = self._path(name)
             for entry in system.listStatus(folder) if system.exists(folder) else []:
                 if entry.getPath().getName().removeprefix("version=") not in set(versions.values()):
                     system.delete(entry.getPath(), True)
 
+    def rejects(self) -> DataFrame:
+        """Filings that were refused, and the names of the fields that broke a rule."""
+        noted = _read(self.spark, f"{self.root}/rejects", REJECTS_SCHEMA)
+        return self.spark.createDataFrame([], REJECTS_SCHEMA) if noted is None else noted
+
     def append_audit(self, answers: DataFrame) -> None:
         """Add one row per answer; a request id that is taken already is an error."""
         rows = materialise(to_audit_rows(answers), "audit")
@@ -241,6 +316,10 @@ class Store:
         rows.write.mode("append").parquet(f"{self.root}/audit")
 
 
+def _manifest_file(number: int) -> str:
+    return f"{number:012d}.json"
+
+
 def _chunks(filings: DataFrame, embedder: Embedder, options: ChunkOptions | None) -> DataFrame:
     return with_features(chunk_filings(filings, options), embedder).withColumn("embedder_id", F.lit(embedder.id))
 

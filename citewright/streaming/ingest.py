@@ -14,17 +14,18 @@ ARRIVAL_SCHEMA = """
 
 
 def ingest_stream(
-    store: Store, arrivals: DataFrame, checkpoint: str, embedder: Embedder | None = None
+    store: Store, arrivals: DataFrame, checkpoint: str, embedder: Embedder | None = None, reject: bool = False
 ) -> StreamingQuery:
     """Ingest each micro-batch of ``arrivals``, a stream with ``ARRIVAL_SCHEMA``.
 
     Ingesting replaces by accession, so a batch that is run again after a failure
-    leaves the store as one run would.
+    leaves the store as one run would. With ``reject`` an invalid filing is noted in
+    the store's ``rejects`` and the stream goes on; else it ends the stream.
     """
 
     def take(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.ingest(batch, embedder)
+            store.ingest(batch, embedder, reject=reject)
 
     return (
         arrivals.writeStream.foreachBatch(take)

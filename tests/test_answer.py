@@ -15,6 +15,7 @@ from citewright.functions.generation import (
     first_sentence,
     fixed_generator,
     grounded_generator,
+    check_generation,
     parse_generation,
     sentence_generator,
 )
@@ -149,6 +150,29 @@ def test_bad_replies_fail(spark, reply):
         spark.createDataFrame([(reply,)], "r string").select(parse_generation(F.col("r"))).collect()
 
 
+def test_problems_of_replies(spark):
+    claim = {"text": "t", "chunk_ids": ["c"], "quote": "q"}
+    replies = {
+        json.dumps({"answer": "a", "claims": [claim]}): None,
+        json.dumps({"answer": "", "claims": []}): None,
+        json.dumps({"answer": "a", "claims": [claim, claim | {"quote": None}]}): "claim 1: quote",
+        json.dumps({"answer": "a", "claims": [claim | {"text": ""}, claim | {"quote": None}]}): "claim 0: text",
+        json.dumps({"answer": "a", "claims": [claim | {"chunk_ids": ["c", None]}]}): "claim 0: chunk_ids",
+        json.dumps({"answer": "a", "claims": [None]}): "claim 0: text",
+        json.dumps({"claims": []}): "answer",
+        json.dumps({"answer": "a"}): "claims",
+        json.dumps({"answer": "a", "claims": {"text": "t"}}): "not json",
+        "{}": "answer",
+        "no json": "not json",
+        '{"answer": "a", "claims": [': "not json",
+    }
+    rows = spark.createDataFrame([(reply,) for reply in replies] + [(None,)], "r string")
+    found = {row.r: row.g for row in rows.select("r", check_generation(F.col("r")).alias("g")).collect()}
+    assert found.pop(None) is None
+    assert {reply: g.problem for reply, g in found.items()} == replies
+    assert all((g.generation is None) == (g.problem is not None) for g in found.values())
+
+
 def model(body):
     """A stand-in for a hosted model: cites and judges what it is shown."""
     request = json.loads(body)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from citewright.sources.snapshot import (
     write_document,
     write_snapshot,
 )
-from citewright.sources.store import Store
+from citewright.sources.store import ConcurrentIngest, Store
 from citewright.streaming.ingest import ARRIVAL_SCHEMA, ingest_stream
 from tests.filings import FILINGS, HARBOR
 
@@ -96,6 +97,110 @@ def test_unpublished_versions_are_not_seen(spark, raw, tmp_path, monkeypatch):
     assert made.filings().count() == 1
 
 
+def test_two_writers_of_one_bucket_conflict(spark, raw, tmp_path, monkeypatch):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=1)
+    meet, publish = threading.Barrier(2), Store._publish
+
+    def late(self, *args):
+        # Both have read the same state before either publishes; then one after the other.
+        if meet.wait(120):
+            first_done.wait(120)
+        try:
+            publish(self, *args)
+        finally:
+            first_done.set()
+
+    first_done = threading.Event()
+    monkeypatch.setattr(Store, "_publish", late)
+    ended = []
+
+    def write(rows):
+        try:
+            made.ingest(rows)
+            ended.append("published")
+        except ConcurrentIngest:
+            ended.append("conflict")
+
+    writers = [threading.Thread(target=write, args=(raw.filter(F.col("cik") == cik),)) for cik in ("0000000001", "0000000002")]
+    for writer in writers:
+        writer.start()
+    for writer in writers:
+        writer.join()
+    assert sorted(ended) == ["conflict", "published"]
+    assert made.filings().count() == 1
+
+
+def test_publishing_beside_others(spark, raw, tmp_path, monkeypatch):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=8)
+    made.ingest(raw)
+    old = made._manifest()
+    first, second = sorted(old[1])
+    made.ingest(raw.filter("cik = '0000000001'"))
+    number, now = made._manifest()
+    changed = next(bucket for bucket in old[1] if now[bucket] != old[1][bucket])
+    with pytest.raises(ConcurrentIngest):
+        made._publish("rival", [changed], old)
+    # Another bucket goes in beside it, also where its number was taken in between.
+    other = second if changed == first else first
+    stale, answers = made._manifest(), []
+    monkeypatch.setattr(Store, "_manifest", lambda self: answers.pop() if answers else read(self))
+    read = lambda self: (stale[0] + 1, stale[1] | {changed: "rival"})
+    answers.append((stale[0] - 1, dict(stale[1])))
+    made._publish("mine", [other], old)
+    monkeypatch.undo()
+    assert made._manifest() == (number + 2, {changed: "rival", other: "mine"})
+
+
+def test_only_the_newest_manifest_is_read(spark, raw, tmp_path):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=4)
+    for _ in range(2):
+        made.ingest(raw)
+    kept = made._manifest()
+    folder = tmp_path / "s" / "manifest"
+    oldest = min(folder.glob("0*.json"))
+    oldest.write_text("no manifest")
+    assert made._manifest() == kept and made.filings().count() == 2
+    made.vacuum()
+    assert [path.name for path in folder.glob("*.json")] == [f"{kept[0]:012d}.json"]
+    assert made.filings().count() == 2
+
+
+def test_manifests_of_earlier_releases(spark, tmp_path):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=4)
+    for number, version in ((1, "a"), (2, "b")):
+        rows = spark.createDataFrame([(number, 3, version)], "number long, bucket int, version string")
+        rows.write.mode("append").json(f"{made.root}/manifest")
+    assert made._manifest() == (2, {3: "b"})
+    made._publish("c", [0], made._manifest())
+    assert made._manifest() == (3, {0: "c", 3: "b"})
+
+
+def test_rejects(spark, raw, tmp_path):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=4)
+    assert made.rejects().count() == 0
+    bad = raw.limit(1).withColumns({"form": F.lit("8-K"), "cik": F.lit(None).cast("string"), "accession": F.lit("x")})
+    empty = raw.limit(1).withColumns({"html": F.lit(None).cast("string"), "accession": F.lit("0000000009-26-000009")})
+    made.ingest(raw.union(bad).union(empty), reject=True)
+    assert made.filings().count() == 2
+    noted = {row.accession: row.reasons for row in made.rejects().collect()}
+    assert noted == {"x": ["cik", "accession", "form"], "0000000009-26-000009": ["html"]}
+    with pytest.raises(Exception, match="invalid filing"):
+        made.ingest(bad)
+
+
+def test_stream_survives_a_bad_row(spark, tmp_path):
+    made = Store.create(spark, str(tmp_path / "s"), 256, buckets=4)
+    source = tmp_path / "in"
+    source.mkdir()
+    good, other = (dict(zip(ARRIVAL_SCHEMA.replace("string", "").replace(",", " ").split(), row)) for row in FILINGS[:2])
+    for number, row in enumerate([good, good | {"form": "?", "accession": "bad"}, other]):
+        (source / f"{number}.json").write_text(json.dumps(row))
+        arrivals = spark.readStream.schema(ARRIVAL_SCHEMA).json(str(source))
+        ingest_stream(made, arrivals, str(tmp_path / "ck"), reject=True).awaitTermination()
+    assert made.filings().count() == 2
+    assert [(row.accession, row.reasons) for row in made.rejects().collect()] == [("bad", ["accession", "form"])]
+
+
 def test_chunks_of_another_embedder_are_refused(spark, store):
     class Other(HashEmbedder):
         id = "other"
