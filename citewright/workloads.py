@@ -25,6 +25,7 @@ from citewright.functions.embed import HashEmbedder, embed_column, hash_buckets
 from citewright.functions.generation import (
     ScriptedGenerator,
     build_prompt,
+    check_generation,
     estimate_cost_usd,
     grounded_generator,
     sentence_generator,
@@ -385,6 +386,39 @@ def cost_estimate(t: Tables) -> DataFrame:
     )
 
 
+@_register
+def reply_validation(t: Tables) -> DataFrame:
+    """A reply per conversation turn, most of them lacking something, and what each one lacks."""
+    text, cited = F.col("text"), F.array(F.col("conv_id").cast("string"))
+    quote = F.substring("text", 1, 30)
+
+    def claims(said: Column, *quoted: Column) -> Column:
+        return F.array(F.struct(said.alias("text"), cited.alias("chunk_ids"), *quoted)).alias("claims")
+
+    answer, whole = text.alias("answer"), claims(F.col("role"), quote.alias("quote"))
+    good = F.to_json(F.struct(answer, whole))
+    kinds = [
+        good,
+        F.to_json(F.struct(whole)),
+        F.to_json(F.struct(answer)),
+        F.to_json(F.struct(answer, claims(F.col("role")))),
+        F.to_json(F.struct(answer, claims(F.lit(""), quote.alias("quote")))),
+        F.substring(good, F.lit(1), F.length(good) - 1),
+        F.concat(F.lit("So: "), text),
+    ]
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(kinds) + 1)).cast("int")
+    # The eighth kind is no reply at all.
+    reply = F.coalesce(*[F.when(kind == n, value) for n, value in enumerate(kinds)])
+    checked = t.table("conversations").select("conv_id", "turn", check_generation(reply).alias("c"))
+    return checked.select(
+        *_long("conv_id", "turn"),
+        F.col("c.problem").alias("problem"),
+        F.col("c.generation.answer").alias("answer"),
+        F.size("c.generation.claims").cast("long").alias("n_claims"),
+        F.get("c.generation.claims", F.lit(0))["quote"].alias("quote"),
+    ).withColumn("n_claims", F.when(F.col("n_claims") >= 0, F.col("n_claims")))
+
+
 def _flat_generation(rows: DataFrame) -> DataFrame:
     g = F.col("g.generation")
     return rows.select("query_id", g["answer"].alias("answer"), F.explode(g["claims"]).alias("c")).select(

@@ -526,6 +526,27 @@ FROM benchmark b LEFT JOIN top8 t ON query_id = item_id GROUP BY item_id""",
   AS cost_usd
 FROM (SELECT *, ['claude-opus-4-8', 'claude-sonnet-4-6', 'claude-haiku-4-5', 'other'][l_linenumber % 4 + 1] AS model
       FROM lineitem) GROUP BY model""",
+        "reply_validation": """WITH parts AS (SELECT conv_id, turn, text, (conv_id + turn) % 8 AS kind,
+  json_object('text', role, 'chunk_ids', [conv_id::VARCHAR], 'quote', substr(text, 1, 30)) AS whole,
+  json_object('text', role, 'chunk_ids', [conv_id::VARCHAR]) AS unquoted,
+  json_object('text', '', 'chunk_ids', [conv_id::VARCHAR], 'quote', substr(text, 1, 30)) AS untold FROM conversations),
+replies AS (SELECT *, CASE kind WHEN 0 THEN json_object('answer', text, 'claims', [whole])::VARCHAR
+  WHEN 1 THEN json_object('claims', [whole])::VARCHAR
+  WHEN 2 THEN json_object('answer', text)::VARCHAR
+  WHEN 3 THEN json_object('answer', text, 'claims', [unquoted])::VARCHAR
+  WHEN 4 THEN json_object('answer', text, 'claims', [untold])::VARCHAR
+  WHEN 5 THEN left(json_object('answer', text, 'claims', [whole])::VARCHAR, -1)
+  WHEN 6 THEN 'So: ' || text END AS reply FROM parts),
+parsed AS (SELECT *, TRY_CAST(reply AS JSON) AS j FROM replies),
+judged AS (SELECT *, CASE WHEN reply IS NULL THEN NULL WHEN j IS NULL THEN 'not json'
+  WHEN j->>'$.answer' IS NULL THEN 'answer'
+  WHEN coalesce(json_type(j, '$.claims'), 'NULL') = 'NULL' THEN 'claims'
+  WHEN coalesce(length(j->>'$.claims[0].text'), 0) < 1 THEN 'claim 0: text'
+  WHEN coalesce(json_type(j, '$.claims[0].chunk_ids'), 'NULL') = 'NULL' THEN 'claim 0: chunk_ids'
+  WHEN j->>'$.claims[0].quote' IS NULL THEN 'claim 0: quote' END AS problem FROM parsed)
+SELECT conv_id, turn, problem, CASE WHEN problem IS NULL THEN j->>'$.answer' END AS answer,
+  CASE WHEN problem IS NULL THEN json_array_length(j, '$.claims')::BIGINT END AS n_claims,
+  CASE WHEN problem IS NULL THEN j->>'$.claims[0].quote' END AS quote FROM judged""",
         "grounded_generation": _with(*GOVERN)
         + f"""SELECT query_id, 'A grounded answer drawn from the filing.' AS answer,
   'From the filing: ' || q AS claim, id1 AS chunk_ids, q AS quote
