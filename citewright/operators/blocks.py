@@ -105,6 +105,19 @@ def first_k(keys: np.ndarray, numbers: np.ndarray, rows: np.ndarray, k: int) ->
     return order[place < k]
 
 
+def best_scores(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, columns and keys of the ``k`` largest positive scores per row, equal ones by column."""
+    keys = -np.floor(scores * UNITS + 0.5).astype(np.int64)
+    if scores.shape[1] > k:
+        limit = np.partition(keys, k - 1, axis=1)[:, k - 1 : k]
+        numbers, rows = np.nonzero((keys <= limit) & (scores > 0))
+    else:
+        numbers, rows = np.nonzero(scores > 0)
+    keys = keys[numbers, rows]
+    keep = first_k(keys, numbers, rows, k)
+    return numbers[keep], rows[keep], keys[keep]
+
+
 def _broadcast(
     head: pa.Table, corpus: DataFrame, schema: T.StructType, ids: Sequence[str], k: int, scorer: Scorer
 ) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewright.functions.tokens import index_terms, query_terms
-from citewright.operators.blocks import UNITS, blockwise_topk, first_k
-from citewright.operators.postings import posting_blocks, postings_topk, term_bucket
+from citewright.operators.blocks import UNITS, best_scores, blockwise_topk
+from citewright.operators.postings import dealt, directory, posting_blocks, postings_topk, term_bucket
 from citewright.session import materialise, pinned
 
 CHUNK_KEY = ("accession", "start_offset")
@@ -81,6 +81,7 @@ class Index:
     The counts may be split by bucket; they are added up per queried term.
     ``buckets`` is set where the chunks are partitioned by a bucket column. Keyword
     queries read ``postings`` where there are any, and the terms of all chunks where not.
+    ``repeated`` has the keys that several of the chunks share, if there are such.
     """
 
     chunks: DataFrame
@@ -88,13 +89,18 @@ class Index:
     totals: DataFrame
     buckets: int | None = None
     postings: DataFrame | None = None
+    repeated: DataFrame | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame) -> Index:
         """Index ``chunks`` by term once and keep the counts."""
         totals = materialise(chunk_totals(chunks), "totals")
-        postings = materialise(posting_blocks(chunks, CHUNK_KEY), "postings", "term_bucket")
-        return cls(chunks, postings.select("term_bucket", "term", "df"), totals, None, postings)
+        n_chunks = totals.agg(F.sum("n")).first()[0] or 0
+        postings = materialise(dealt(posting_blocks(chunks, CHUNK_KEY), n_chunks), "postings", "term_bucket")
+        keys = directory(postings).select(F.inline("keys")).groupBy(*CHUNK_KEY).agg(F.count("*").alias("n"))
+        repeated = materialise(keys.filter("n > 1").drop("n"), "repeated-keys")
+        frequency = postings.filter(F.col("term").isNotNull()).select("term_bucket", "term", "df")
+        return cls(chunks, frequency, totals, None, postings, None if repeated.isEmpty() else repeated)
 
 
 def _listed(terms: list[str]) -> str:
@@ -196,19 +202,7 @@ class _Bm25:
             scores[state.numbers[asked][:, None], rows[a:b]] += (
                 state.weights[asked][:, None] * gains[a:b]
             )
-        return _best_scores(scores, k)
-
-
-def _best_scores(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = -np.floor(scores * UNITS + 0.5).astype(np.int64)
-    if scores.shape[1] > k:
-        limit = np.partition(keys, k - 1, axis=1)[:, k - 1 : k]
-        numbers, rows = np.nonzero((keys <= limit) & (scores > 0))
-    else:
-        numbers, rows = np.nonzero(scores > 0)
-    keys = keys[numbers, rows]
-    keep = first_k(keys, numbers, rows, k)
-    return numbers[keep], rows[keep], keys[keep]
+        return best_scores(scores, k)
 
 
 def bm25_topk(
@@ -243,7 +237,8 @@ def _from_postings(weighted: DataFrame, index: Index, k: int) -> DataFrame | Non
     postings = _of_terms(index.postings, [tuple(row) for row in terms])
     prune = (work["entries"] or 0) > FEW_ENTRIES
     by = ["bucket"] if index.buckets else []
-    return postings_topk(weighted, postings, CHUNK_KEY, k, K1, B, *by, prune=prune)
+    blocks = directory(index.postings)
+    return postings_topk(weighted, postings, blocks, CHUNK_KEY, k, K1, B, *by, prune=prune, repeated=index.repeated)
 
 
 def _named(found: DataFrame) -> DataFrame:

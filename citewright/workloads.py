@@ -40,7 +40,7 @@ from citewright.operators import audit as log_ops
 from citewright.operators.fusion import fuse_two, rank_fusion
 from citewright.operators.blocks import UNITS
 from citewright.operators.keyword import CHUNK_KEY, K1, B, bm25_topk, postings_of, query_term_counts, weighted_terms
-from citewright.operators.postings import postings_topk
+from citewright.operators.postings import directory, postings_topk
 from citewright.operators.upsert import replace_by_key
 from citewright.operators.vector import vector_topk
 from citewright.plans.answer import (
@@ -287,7 +287,8 @@ def bm25_topk_chunks(t: Tables) -> DataFrame:
 def bm25_topk_postings(t: Tables) -> DataFrame:
     """The same ranking by the inverted index alone, blocks below the floor left out."""
     weighted = materialise(weighted_terms(query_term_counts(t.queries()), t.index), "weighted")
-    found = postings_topk(weighted, t.index.postings, CHUNK_KEY, 20, K1, B)
+    postings = t.index.postings
+    found = postings_topk(weighted, postings, directory(postings), CHUNK_KEY, 20, K1, B, repeated=t.index.repeated)
     return found.select(
         "query_id", "accession", *_long("start_offset"), F.col("rank").cast("long").alias("keyword_rank"),
         F.round(-F.col("key") / F.lit(UNITS), 6).alias("score"),
