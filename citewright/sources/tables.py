@@ -115,7 +115,8 @@ class Tables:
     def chunks(self) -> DataFrame:
         """Their chunks with vectors and terms, written once."""
         cut = chunk_filings(spread(self.filings, "accession"))
-        return materialise(with_features(cut).sortWithinPartitions("accession", "start_offset"), "chunks")
+        # Sorted before features are added, which are several times the text.
+        return materialise(with_features(cut.sortWithinPartitions("accession", "start_offset")), "chunks")
 
     @cached_property
     def index(self) -> Index:

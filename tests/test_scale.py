@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from citewright.operators.keyword import CHUNK_KEY, K1, B, Index, bm25_topk, query_term_counts, weighted_terms
 from citewright.operators.postings import directory, postings_topk
+from citewright.session import materialise
+from citewright.sources import tables
+from citewright.sources.store import Store
 
 ROWS = [("a", 0, "frost dock"), ("a", 9, "dock lease lease"), ("b", 0, "frost frost elm"), ("c", 0, "elm lease dock frost")]
 
@@ -72,3 +75,21 @@ def test_an_index_of_nothing(spark):
     index = Index.of(chunks_of(spark, ROWS).limit(0))
     queries = spark.createDataFrame([(1, "frost")], "query_id long, query string")
     assert bm25_topk(queries, index, 2).count() == 0
+
+
+def plan_of(capsys, frame):
+    frame.explain()
+    return capsys.readouterr().out
+
+
+def test_chunks_are_sorted_before_they_have_features(spark, tmp_path, monkeypatch, capsys):
+    words = "Frost came. The dock froze and the lease ran out. " * 40
+    spark.createDataFrame([(n, words, "web") for n in range(4)], "doc_id long, text string, source string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    made = {}
+    monkeypatch.setattr(tables, "materialise", lambda df, name: made.setdefault(name, df) and materialise(df, name))
+    chunks = tables.Tables(spark, str(tmp_path)).chunks
+    assert chunks.count() > 4 and chunks.filter("size(embedding) = 256 AND n_terms > 0").count() == chunks.count()
+    plan = plan_of(capsys, made["chunks"])
+    assert 0 < plan.index("ArrowEvalPython") < plan.index("Sort [")
