@@ -15,6 +15,11 @@ def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def without_keys(stored: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows whose key is not among ``changed``."""
+    return stored.join(changed.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def replace_by_key(
     stored: DataFrame, incoming: DataFrame, changed: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
@@ -22,5 +27,4 @@ def replace_by_key(
 
     A changed key without an incoming row just loses its stored rows.
     """
-    kept = stored.join(changed.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(incoming)
+    return without_keys(stored, changed, keys).unionByName(incoming)

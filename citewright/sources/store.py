@@ -2,7 +2,7 @@
 
 ``filings`` and ``chunks`` are partitioned by a hash bucket of the accession, so
 that ingesting a filing again rewrites only the buckets it touches; ``frequency``
-and ``totals`` count the terms and chunks of each bucket, and ``postings`` is its
+and ``totals`` count the terms and chunks of each bucket, and ``blocks`` is its
 inverted index, sorted by term. ``audit`` only ever
 grows. ``meta`` pins the vector size and the number of buckets: choose the latter
 so that one bucket is what a single ingest may rewrite.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ from citewright.functions.embed import Embedder, HashEmbedder
 from citewright.operators.audit import audit_records, duplicate_requests, to_audit_rows
 from citewright.operators.keyword import CHUNK_KEY, Index, chunk_totals, term_frequency
 from citewright.operators.postings import posting_blocks
-from citewright.operators.upsert import BUCKETS, bucket_of, replace_by_key
+from citewright.operators.upsert import BUCKETS, bucket_of, without_keys
 from citewright.plans.ingest import (
     canonical_filings,
     chunk_filings,
@@ -54,7 +55,9 @@ from citewright.session import materialise
 META_SCHEMA = "key string, value string"
 MANIFEST_SCHEMA = "number bigint, bucket int, version string"
 RAW_SCHEMA = "cik string, accession string, company string, form string, filing_date string, html string"
-TABLES = ("filings", "chunks", "frequency", "totals", "postings")
+TABLES = ("filings", "chunks", "frequency", "totals", "blocks")
+# The inverted index as earlier releases wrote it, which is not read any more.
+OLD_POSTINGS = "postings"
 
 AUDIT_SCHEMA = """
     request_id string, created_at string, query string, verdict string, refusal_reason string,
@@ -122,7 +125,16 @@ class Store:
             others = chunks.filter(F.col("embedder_id") != embedder.id).select("embedder_id").take(1)
             if others:
                 raise ValueError(f"chunks were embedded by {others[0]['embedder_id']}, not {embedder.id}")
-        return Index(chunks, self._read("frequency"), self._read("totals"), self.buckets, self._read("postings"))
+        postings = None if self._has_old_postings() else self._read("blocks")
+        return Index(chunks, self._read("frequency"), self._read("totals"), self.buckets, postings)
+
+    def _has_old_postings(self) -> bool:
+        """Whether an earlier release wrote a bucket that is current: then chunks are scanned."""
+        folder, system = self._path(OLD_POSTINGS)
+        if not system.exists(folder):
+            return False
+        current = {f"version={version}" for version in self._manifest()[1].values()}
+        return any(entry.getPath().getName() in current for entry in system.listStatus(folder))
 
     def _one(self, table: DataFrame, accession: str | None) -> DataFrame:
         if accession is None:
@@ -228,15 +240,22 @@ class Store:
         if not touched:
             return filings
         version = uuid.uuid4().hex
-        chunks = _chunks(filings, emb, options).withColumn("bucket", bucket)
-        for name, incoming, order in (("filings", filings, ["accession"]), ("chunks", chunks, ["accession", "start_offset"])):
-            kept = self._read(name, base[1]).filter(F.col("bucket").isin(touched))
-            self._write(name, version, replace_by_key(kept, incoming, filings, ["accession"]), order)
+        cut = chunk_filings(filings, options).withColumn("bucket", bucket)
+        for name, incoming, order, finish in (
+            ("filings", filings, ["accession"], None),
+            ("chunks", cut, ["accession", "start_offset"], lambda rows: _featured(rows, emb)),
+        ):
+            self._write(name, version, incoming, order, finish)
+            if set(touched) & set(base[1]):
+                kept = self._read(name, base[1]).filter(F.col("bucket").isin(touched))
+                self._write(name, version, without_keys(kept, filings, ["accession"]), order)
         written = _read(self.spark, f"{self.root}/chunks/version={version}", self._stored("chunks"))
         if written is not None:
-            self._write("frequency", version, term_frequency(written, "bucket"), ["term"])
             self._write("totals", version, chunk_totals(written, "bucket"), [])
-            self._write("postings", version, posting_blocks(written, CHUNK_KEY, "bucket"), ["term_bucket", "term", "block"])
+            self._write("blocks", version, posting_blocks(written, CHUNK_KEY, "bucket"), ["term_bucket", "term", "block"])
+            # Counted from the index, which has a row per term and block, not one per term and chunk.
+            counted = _read(self.spark, f"{self.root}/blocks/version={version}", self._stored("blocks")).filter(F.col("term").isNotNull())
+            self._write("frequency", version, counted.groupBy("bucket", "term").agg(F.sum("df").alias("df")), ["term"])
         self._publish(version, touched, base)
         return filings
 
@@ -244,17 +263,17 @@ class Store:
         schema = self._schema(name)
         return T.StructType([field for field in schema if field.name != "bucket"]).add("bucket", T.IntegerType())
 
-    def _write(self, name: str, version: str, rows: DataFrame, order: list[str]) -> None:
-        """Write whole buckets, as many files each as their size asks for.
+    def _write(
+        self, name: str, version: str, rows: DataFrame, order: list[str], finish: Callable[[DataFrame], DataFrame] | None = None
+    ) -> None:
+        """Write buckets, as many files each as their size asks for.
 
-        Files hold sorted ranges, so that scans can skip files and row groups.
+        Files hold sorted ranges, so that scans can skip files and row groups. ``finish``
+        adds columns to rows in place, after they were shuffled and sorted without them.
         """
-        (
-            rows.repartitionByRange("bucket", *order)
-            .sortWithinPartitions("bucket", *order)
-            .write.partitionBy("bucket")
-            .parquet(f"{self.root}/{name}/version={version}")
-        )
+        dealt = rows.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
+        finished = finish(dealt) if finish else dealt
+        finished.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{name}/version={version}")
 
     def _publish(self, version: str, touched: list[int], base: tuple[int, dict[int, str]]) -> None:
         """Make the version current, unless a touched bucket has changed since ``base``."""
@@ -296,7 +315,7 @@ class Store:
         for number in self._numbered()[:-1]:
             path, system = self._path(f"manifest/{_manifest_file(number)}")
             system.delete(path, False)
-        for name in TABLES:
+        for name in (*TABLES, OLD_POSTINGS):
             folder, system = self._path(name)
             for entry in system.listStatus(folder) if system.exists(folder) else []:
                 if entry.getPath().getName().removeprefix("version=") not in set(versions.values()):
@@ -320,8 +339,8 @@ def _manifest_file(number: int) -> str:
     return f"{number:012d}.json"
 
 
-def _chunks(filings: DataFrame, embedder: Embedder, options: ChunkOptions | None) -> DataFrame:
-    return with_features(chunk_filings(filings, options), embedder).withColumn("embedder_id", F.lit(embedder.id))
+def _featured(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    return with_features(chunks, embedder).withColumn("embedder_id", F.lit(embedder.id))
 
 
 @lru_cache(maxsize=4)
@@ -331,7 +350,7 @@ def _schemas(spark: SparkSession, dimensions: int) -> dict[str, T.StructType]:
     filings = canonical_filings(raw).withColumns({"ingested_at": F.lit(""), "bucket": F.lit(0)})
     # From here on by type only, so that the long plan is analysed once.
     filings = spark.createDataFrame([], filings.schema)
-    chunks = _chunks(filings, HashEmbedder(dimensions), None).withColumn("bucket", F.lit(0))
+    chunks = _featured(chunk_filings(filings), HashEmbedder(dimensions)).withColumn("bucket", F.lit(0))
     chunks = spark.createDataFrame([], chunks.schema)
     tables = filings, chunks, term_frequency(chunks, "bucket"), chunk_totals(chunks, "bucket"), posting_blocks(chunks, CHUNK_KEY, "bucket")
     return {name: table.schema for name, table in zip(TABLES, tables)}

@@ -93,3 +93,33 @@ def test_chunks_are_sorted_before_they_have_features(spark, tmp_path, monkeypatc
     assert chunks.count() > 4 and chunks.filter("size(embedding) = 256 AND n_terms > 0").count() == chunks.count()
     plan = plan_of(capsys, made["chunks"])
     assert 0 < plan.index("ArrowEvalPython") < plan.index("Sort [")
+
+
+def test_a_store_shuffles_chunks_without_features(spark, tmp_path, monkeypatch, capsys):
+    shuffled = {}
+    write = Store._write
+
+    def kept(self, name, version, rows, *rest):
+        shuffled.setdefault(name, []).append(rows)
+        write(self, name, version, rows, *rest)
+
+    monkeypatch.setattr(Store, "_write", kept)
+    html = "<p>Item 1. Business</p><p>" + "The frost and the dock. " * 30 + "</p>"
+    rows = [(f"{n:010d}", f"{n:010d}-24-000001", "Co", "10-K", "2024-01-05", html) for n in range(6)]
+    raw = spark.createDataFrame(rows, "cik string, accession string, company string, form string, filing_date string, html string")
+    store = Store.create(spark, str(tmp_path / "s"), 256, buckets=2)
+    store.ingest(raw)
+    assert "ArrowEvalPython" not in plan_of(capsys, shuffled["chunks"][0])
+    # One shuffle of the index, by the writer, and counts from its rows.
+    assert "Exchange" not in plan_of(capsys, shuffled["blocks"][0])
+    assert "explode" not in plan_of(capsys, shuffled["frequency"][0])
+    before = {r.chunk_id: list(r.embedding) for r in store.chunks().collect()}
+    assert len(before) >= 6 and all(any(v) for v in before.values())
+    counts = sorted(map(tuple, store.index().frequency.collect()))
+    store.ingest(raw.limit(2))
+    assert {r.chunk_id: list(r.embedding) for r in store.chunks().collect()} == before
+    assert sorted(map(tuple, store.index().frequency.collect())) == counts
+    queries = spark.createDataFrame([(1, "frost")], "query_id long, query string")
+    by_index = bm25_topk(queries, store.index(), 3).collect()
+    (tmp_path / "s" / "postings" / f"version={next(iter(store._manifest()[1].values()))}").mkdir(parents=True)
+    assert store.index().postings is None and sorted(bm25_topk(queries, store.index(), 3).collect()) == sorted(by_index)
