@@ -13,15 +13,20 @@ document whose prefix holds shingles of its own only has no partner and goes now
 Frequencies are exact counts over all documents, of the shingles that come first by
 hash, a third more of them than a prefix has.
 
-*Document pivots.* A region with more than a few documents takes one of them as pivot.
-Those within ``r`` of it link to it and leave; by the triangle inequality only those
-within ``2 r`` can link to one that left, so only these, the boundary, are compared with
-them as well; all others go on to the next pivot of the region, recursively. What is
-left after some levels, and small regions, are compared pair by pair. Classes that are
-connected already are not compared, and regions whose classes all are have ended.
+*Document pivots.* A region with more than a few documents takes one of them as pivot:
+that which lies in most large regions, so that the regions of one group of near copies
+have few pivots. What lies within ``r`` of a pivot links to it. The others are compared
+by their differences from the pivot, ``A xor P``: ``A xor B`` is the symmetric difference
+of these too, but what all copies share is in none of them. Two documents that link, and
+do not both link to the pivot, have a difference in common: with ``|A xor P|`` beyond
+what a link allows, disjoint differences put ``B`` still farther away. So differences are
+pivots of a second layer of regions, rarest first and counted exactly within the pivot's
+regions, and a pair is made where the differences that come before the first common one,
+and the numbers of those that follow, leave room for a link. Classes that are connected
+around a pivot already are not compared; small regions are compared pair by pair.
 
 Equal sets are one class throughout. Links between classes give the components. For
-components, pairs that left around the same pivot need not be compared with each other.
+components, pairs that link to the same pivot need not be compared with each other.
 
 * A document without words, or null, is empty: it links with nothing, not even with
   another empty one, and is its own component. Fewer words than a shingle make one.
@@ -64,8 +69,9 @@ SIZE = 4
 LINK = 85
 # Documents of a region that are compared pair by pair.
 SMALL = 8
-# Levels of document pivots.
-LEVELS = 4
+# Pivots that a large region has, one after the other. Those after the first only connect more
+# of the region before its pairs are made.
+LEVELS = 1
 # Shingles that a task holds before it passes them on, and bytes of text that it hashes at once.
 HELD = 1 << 18
 HASHED = SLICE_BYTES // 4
@@ -137,6 +143,14 @@ def _described(rows: DataFrame, size: int, share: int, seed: int) -> DataFrame:
     return rows.select("doc", "row", "id", "text").mapInArrow(run, schema)
 
 
+def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's numbers, of a column of their bytes or of lists."""
+    if pa.types.is_binary(column.type):
+        yield from (np.frombuffer(data or b"", np.int64) for data in column.to_pylist())
+    else:
+        yield from (row.values.to_numpy(zero_copy_only=False) for row in column)
+
+
 def _shared_shingles(described: DataFrame) -> DataFrame:
     """``class, shingle, n_classes`` of the sent shingles that several classes have.
 
@@ -168,12 +182,11 @@ def _shared_shingles(described: DataFrame) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for name, data in zip(batch.column("class").to_pylist(), batch.column("sent").to_pylist()):
-                if data and name not in seen:
+            for name, shingles in zip(batch.column("class").to_pylist(), _numbers(batch.column("sent"))):
+                if len(shingles) and name not in seen:
                     if len(seen) >= HELD:
                         seen.clear()
                     seen.add(name)
-                    shingles = np.frombuffer(data, np.int64)
                     held.append((shingles, np.full(len(shingles), name, np.int64)))
                     size += len(shingles)
                     if size >= HELD:
@@ -300,58 +313,107 @@ def _merged_roots(links: list[DataFrame], nothing: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` of regions that hold more than one component, with their ``root``."""
     named = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = written(named.select("shingle", "class", "n", "before", "root"), "region-members")
+    named = written(named.select("shingle", "class", "n", "root"), "region-members")
     mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return named.join(written(mixed.filter("low != high").select("shingle"), "mixed-regions"), "shingle")
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """``shingle, pivot, class, n``: the classes of each region and its pivot, that of them in most regions."""
+    weights = members.groupBy("class").agg(F.count("*").alias("weight"))
+    weighed = members.join(weights, "class").groupBy("shingle").agg(F.max(F.struct("weight", "class")).alias("p"))
+    stars = members.select("shingle", "class", "n").join(weighed.select("shingle", F.col("p.class").alias("pivot")), "shingle")
+    return written(stars.filter("class != pivot"), "region-stars")
+
+
+def _around(stars: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """``pivot, class, n, linked, more, less, sent``: by how many shingles of its own and of the pivot's
+    each class differs from its pivot, and which, as numbers that differ between pivots.
+
+    The last bit tells the pivot's own; they come last in the order, and are not sent where they
+    come after all that can be the first in common.
+    """
+    pivots = sets.select(F.col("class").alias("pivot"), F.col("n").alias("n_pivot"), F.col("shingles").alias("around"))
+    both = stars.select("pivot", "class").distinct().join(sets, "class").join(pivots, "pivot")
+    both = both.withColumns({"own": F.array_except("shingles", "around"), "gone": F.array_except("around", "shingles")})
+    both = both.withColumns({"more": F.size("own").cast("long"), "less": F.size("gone").cast("long")})
+    named = lambda at: F.xxhash64("pivot", at)
+    own = F.transform("own", lambda at: named(at).bitwiseAND(F.lit(-2)))
+    gone = F.transform("gone", lambda at: named(at).bitwiseOR(F.lit(1)))
+    sent = F.when(F.col("more") > _most_before(share), own).otherwise(F.concat(own, gone))
+    linked = _differ_little(F.col("more") + F.col("less"), F.col("n") + F.col("n_pivot"), share)
+    return both.select("pivot", "class", "n", linked.alias("linked"), "more", "less", sent.alias("sent"))
+
+
+def _differ_little(differing: Column, sizes: Column, share: int) -> Column:
+    """Whether sets that differ in so many shingles, and have so many together, link."""
+    return differing * (100 + share) <= sizes * (100 - share)
+
+
+def _most_before(share: int) -> Column:
+    """Shingles of a set of ``n`` that a linked one may lack, at most."""
+    return F.floor(F.col("n") * (100 - share) / share)
+
+
+def _differences(around: DataFrame, share: int) -> DataFrame:
+    """``difference, class, n, differ, before``: the regions of differences from a pivot that several have.
+
+    ``differ`` is the number of all differences of the class, of which ``before`` come before this one.
+    """
+    around = around.withColumn("member", F.xxhash64("pivot", "class"))
+    shared = _shared_shingles(around.select(F.col("member").alias("class"), "sent")).withColumnRenamed("class", "member")
+    spot = F.struct(F.col("shingle").bitwiseAND(F.lit(1)).alias("gone"), "n_classes", "shingle")
+    spots = shared.groupBy("member").agg(F.array_sort(F.collect_list(spot)).alias("spots"))
+    spots = spots.join(around.drop("sent"), "member")
+    n_gone = F.size(F.filter("spots", lambda s: s["gone"] == 1))
+    spots = spots.withColumns({"alone": F.col("more") - F.size("spots") + n_gone, "alone_gone": F.col("less") - n_gone})
+    placed = F.transform(
+        "spots",
+        lambda s, at: F.struct(
+            s["shingle"].alias("difference"),
+            (at + F.col("alone") + F.when(s["gone"] == 1, F.col("alone_gone")).otherwise(0)).alias("before"),
+        ),
+    )
+    first = F.filter(placed, lambda s: s["before"] <= _most_before(share))
+    spots = spots.select("class", "n", (F.col("more") + F.col("less")).alias("differ"), F.explode(first).alias("s"))
+    return spots.select("s.difference", "class", "n", "differ", "s.before")
+
+
+def _pairs_by_differences(around: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+    """``a, b``: what may link in the regions of one pivot, and is not connected yet."""
+    named = _differences(around, share).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = written(named, "differences")
+    of = lambda x: named.select("difference", *[F.col(name).alias(f"{name}_{x}") for name in ("class", "n", "differ", "before", "root")])
+    rest = lambda x: F.col(f"differ_{x}") - F.col(f"before_{x}")
+    apart = F.col("before_a") + F.col("before_b") + F.abs(rest("a") - rest("b"))
+    may = _differ_little(apart, F.col("n_a") + F.col("n_b"), share)
+    pairs = of("a").join(of("b"), "difference").filter((F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & may)
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
 def class_links(rows: DataFrame, described: DataFrame, size: int = SIZE, share: int = LINK) -> DataFrame:
     """``a, b``: links between classes that give the components of all links."""
     nothing = described.sparkSession.createDataFrame([], "a long, b long")
     members = _regions(described, share)
     sets = _class_sets(rows, described, members, size)
-    members = members.withColumn("root", F.col("class"))
-    # Within 2 r of the pivot: twice the distance of a link.
-    near = F.col("shared") * 100 >= F.col("total") * (2 * share - 100)
-    away = 1 - F.col("shared") / F.col("total")
-    links, pairs = [], []
-    for _ in range(LEVELS):
-        counts = members.groupBy("shingle").agg(F.count("*").alias("members"), F.min("class").alias("pivot"))
-        counts = written(counts.filter("members > 1"), "region-pivots")
-        sizes = counts.agg(F.max("members").alias("largest")).first()
-        if sizes["largest"] is None:
-            break
-        pairs.append(_all_pairs(members.join(counts.filter(F.col("members") <= SMALL).select("shingle"), "shingle"), share))
-        if sizes["largest"] <= SMALL:
-            break
-        star = members.join(counts.filter(F.col("members") > SMALL).select("shingle", "pivot"), "shingle")
-        star = written(star.filter("class != pivot").select("shingle", "class", "n", "before", "pivot"), "region-stars")
-        pivots = star.select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        found = written(_measured(pivots, sets).withColumns({"inner": _linked(share), "near": near, "away": away}), "pivot-distances")
-        links.append(found.filter("inner").select("a", "b"))
+    counts = written(members.groupBy("shingle").agg(F.count("*").alias("members")), "region-sizes")
+    small = members.join(counts.filter(F.col("members") <= SMALL).select("shingle"), "shingle")
+    links, pairs = [nothing], _all_pairs(small.withColumn("root", F.col("class")), share)
+    members = members.join(counts.filter(F.col("members") > SMALL).select("shingle"), "shingle")
+    for level in range(LEVELS if counts.filter(F.col("members") > SMALL).take(1) else 0):
+        stars = _stars(members)
+        around = _around(stars, sets, share)
+        around = written(around.drop("sent") if level else around, "pivot-distances")
+        links.append(around.filter("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
         roots = written(_merged_roots(links, nothing), "roots")
-        # The boundary of a pivot meets those that left around it, once for all its regions, unless
-        # both are connected already. A partner lies as far from the pivot as the inequality asks for.
-        of = lambda name: roots.select(F.col("class").alias(name), F.col("root").alias(f"{name}_root"))
-        boundary = found.filter("near and not inner").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        boundary = boundary.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-        boundary = boundary.select(F.col("a").alias("pivot"), F.col("b"), F.col("away").alias("b_away"))
-        left = found.filter("inner").select(F.col("a").alias("pivot"), F.col("b").alias("a"), F.col("away").alias("a_away"))
-        across = left.join(boundary, "pivot").filter(F.col("a_away") >= F.col("b_away") - (1 - share / 100) - 1e-9)
-        pairs.append(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        outer = star.join(found.filter("not inner").select(F.col("a").alias("pivot"), F.col("b").alias("class")), ["pivot", "class"])
-        members = _apart(outer.select("shingle", "class", "n", "before"), roots)
-    else:
-        rest = members.select("shingle", F.col("class").alias("a"), "n", "before", "root").join(
-            members.select(
-                "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("before").alias("before_m"), F.col("root").alias("other")
-            ),
-            "shingle",
-        )
-        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
-        first = _may_meet_first(F.col("n"), F.col("before"), F.col("m"), F.col("before_m"), share)
-        pairs.append(rest.filter(first).select("a", "b"))
-    found = _measured(reduce(DataFrame.unionByName, pairs, nothing), sets)
+        first = around if level == 0 else first
+        if level + 1 < LEVELS:
+            members = _apart(stars.join(around.filter("not linked").select("pivot", "class"), ["pivot", "class"]), roots)
+            if not members.take(1):
+                break
+    if len(links) > 1:
+        pairs = pairs.unionByName(_pairs_by_differences(first, roots, share))
+    found = _measured(pairs, sets)
     return reduce(DataFrame.unionByName, links, found.filter(_linked(share)).select("a", "b"))
 
 

@@ -128,3 +128,27 @@ def test_stage_links_at_five_words_and_four_fifths(spark, monkeypatch, small, le
     want = kept_by_hand(rows, 5, 80)
     assert keys == want and 5000 in keys and 5001 not in keys
     assert want != kept_by_hand(rows, 4, 85)
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Documents with three changed words of their own are too far from each other and from the first."""
+    rng = random.Random(3)
+    base = [f"w{n}" for n in range(150)]
+    rows = [(0, " ".join(base))]
+    for key in range(1, 240):
+        text = list(base)
+        for at in rng.sample(range(2, 148, 5), 3 if key % 4 else 1):
+            text[at] = f"own{key}x{at}"
+        rows.append((key, " ".join(text)))
+    # Half of them have a partner with the same changes and one more.
+    rows += [(1000 + key, text.replace("w0 ", f"other{key} ")) for key, text in rows[1::2]]
+    made, measured = [], jaccard._measured
+
+    def counted(pairs, sets):
+        made.append(pairs.count())
+        return measured(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_measured", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows)
+    assert sum(made) < 20 * len(rows)
