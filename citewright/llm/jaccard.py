@@ -327,22 +327,16 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _around(stars: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """``pivot, class, n, linked, more, less, sent``: by how many shingles of its own and of the pivot's
-    each class differs from its pivot, and which, as numbers that differ between pivots.
-
-    The last bit tells the pivot's own; they come last in the order, and are not sent where they
-    come after all that can be the first in common.
-    """
+    """``pivot, class, n, linked, differ, sent``: in how many shingles, its own and the pivot's, each class
+    differs from its pivot, and in which, as numbers that differ between pivots."""
     pivots = sets.select(F.col("class").alias("pivot"), F.col("n").alias("n_pivot"), F.col("shingles").alias("around"))
     both = stars.select("pivot", "class").distinct().join(sets, "class").join(pivots, "pivot")
-    both = both.withColumns({"own": F.array_except("shingles", "around"), "gone": F.array_except("around", "shingles")})
-    both = both.withColumns({"more": F.size("own").cast("long"), "less": F.size("gone").cast("long")})
-    named = lambda at: F.xxhash64("pivot", at)
-    own = F.transform("own", lambda at: named(at).bitwiseAND(F.lit(-2)))
-    gone = F.transform("gone", lambda at: named(at).bitwiseOR(F.lit(1)))
-    sent = F.when(F.col("more") > _most_before(share), own).otherwise(F.concat(own, gone))
-    linked = _differ_little(F.col("more") + F.col("less"), F.col("n") + F.col("n_pivot"), share)
-    return both.select("pivot", "class", "n", linked.alias("linked"), "more", "less", sent.alias("sent"))
+    differing = F.concat(F.array_except("shingles", "around"), F.array_except("around", "shingles"))
+    both = both.select("pivot", "class", "n", "n_pivot", differing.alias("differing"))
+    differ = F.size("differing").cast("long")
+    linked = _differ_little(differ, F.col("n") + F.col("n_pivot"), share)
+    sent = F.transform("differing", lambda at: F.xxhash64("pivot", at))
+    return both.select("pivot", "class", "n", linked.alias("linked"), differ.alias("differ"), sent.alias("sent"))
 
 
 def _differ_little(differing: Column, sizes: Column, share: int) -> Column:
@@ -362,21 +356,12 @@ def _differences(around: DataFrame, share: int) -> DataFrame:
     """
     around = around.withColumn("member", F.xxhash64("pivot", "class"))
     shared = _shared_shingles(around.select(F.col("member").alias("class"), "sent")).withColumnRenamed("class", "member")
-    spot = F.struct(F.col("shingle").bitwiseAND(F.lit(1)).alias("gone"), "n_classes", "shingle")
-    spots = shared.groupBy("member").agg(F.array_sort(F.collect_list(spot)).alias("spots"))
-    spots = spots.join(around.drop("sent"), "member")
-    n_gone = F.size(F.filter("spots", lambda s: s["gone"] == 1))
-    spots = spots.withColumns({"alone": F.col("more") - F.size("spots") + n_gone, "alone_gone": F.col("less") - n_gone})
-    placed = F.transform(
-        "spots",
-        lambda s, at: F.struct(
-            s["shingle"].alias("difference"),
-            (at + F.col("alone") + F.when(s["gone"] == 1, F.col("alone_gone")).otherwise(0)).alias("before"),
-        ),
-    )
-    first = F.filter(placed, lambda s: s["before"] <= _most_before(share))
-    spots = spots.select("class", "n", (F.col("more") + F.col("less")).alias("differ"), F.explode(first).alias("s"))
-    return spots.select("s.difference", "class", "n", "differ", "s.before")
+    spots = shared.groupBy("member").agg(F.array_sort(F.collect_list(F.struct("n_classes", "shingle"))).alias("spots"))
+    spots = spots.join(around.drop("sent"), "member").withColumn("alone", F.col("differ") - F.size("spots"))
+    room = F.greatest(_most_before(share) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    prefix = F.posexplode(F.slice("spots", F.lit(1), room)).alias("at", "s")
+    spots = spots.select("class", "n", "differ", "alone", prefix)
+    return spots.select(F.col("s.shingle").alias("difference"), "class", "n", "differ", (F.col("alone") + F.col("at")).alias("before"))
 
 
 def _pairs_by_differences(around: DataFrame, roots: DataFrame, share: int) -> DataFrame:
