@@ -15,9 +15,13 @@ def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def without_keys(stored: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The stored rows whose key is not among ``changed``."""
-    return stored.join(changed.select(*keys).distinct(), list(keys), "left_anti")
+def without_keys(stored: DataFrame, changed: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """The stored rows whose key is not among ``changed``.
+
+    With ``broadcast``, for few changes, the stored rows stay where they are.
+    """
+    gone = changed.select(*keys).distinct()
+    return stored.join(F.broadcast(gone) if broadcast else gone, list(keys), "left_anti")
 
 
 def replace_by_key(

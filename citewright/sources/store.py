@@ -7,7 +7,9 @@ inverted index, sorted by term. ``audit`` only ever
 grows. ``meta`` pins the vector size and the number of buckets: choose the latter
 so that one bucket is what a single ingest may rewrite.
 
-An ingest writes the touched buckets of every table under a version of its own and
+An ingest deals new filings to their buckets once; chunks are cut and indexed where
+those lie, and kept rows are copied in place, so that of a chunk nothing is shuffled.
+It writes the touched buckets of every table under a version of its own and
 publishes them together with one small manifest, which names the version of each
 bucket. Readers take the newest manifest: they see an ingest whole or not at all,
 a bucket that lost its last row reads as empty, and an ingest that failed has left
@@ -26,12 +28,15 @@ names of those fields if asked to.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +55,17 @@ from citewright.plans.ingest import (
     require_valid_meta,
     with_features,
 )
-from citewright.session import materialise
+from citewright.session import MAX_BROADCAST_ROWS, materialise
 
 META_SCHEMA = "key string, value string"
 MANIFEST_SCHEMA = "number bigint, bucket int, version string"
 RAW_SCHEMA = "cik string, accession string, company string, form string, filing_date string, html string"
 TABLES = ("filings", "chunks", "frequency", "totals", "blocks")
+# Tables are mostly text, which this packs to two thirds of the default's size.
+CODEC = "zstd"
+# Bytes of a bucket that one task copies, and buckets that are copied at once.
+COPIED_BYTES = 64 << 20
+COPIED_AT_ONCE = 8
 # The inverted index as earlier releases wrote it, which is not read any more.
 OLD_POSTINGS = "postings"
 
@@ -234,46 +244,79 @@ class Store:
             .withColumn("ingested_at", when)
             .withColumn("bucket", bucket),
             "filings",
+            compression=CODEC,
         )
         _require_unique(filings)
-        touched = [row["bucket"] for row in filings.select("bucket").distinct().collect()]
+        touched = {row["bucket"]: row["count"] for row in filings.groupBy("bucket").count().collect()}
         if not touched:
             return filings
         version = uuid.uuid4().hex
-        cut = chunk_filings(filings, options).withColumn("bucket", bucket)
-        for name, incoming, order, finish in (
-            ("filings", filings, ["accession"], None),
-            ("chunks", cut, ["accession", "start_offset"], lambda rows: _featured(rows, emb)),
-        ):
-            self._write(name, version, incoming, order, finish)
-            if set(touched) & set(base[1]):
-                kept = self._read(name, base[1]).filter(F.col("bucket").isin(touched))
-                self._write(name, version, without_keys(kept, filings, ["accession"]), order)
-        written = _read(self.spark, f"{self.root}/chunks/version={version}", self._stored("chunks"))
+        self._write("filings", version, _dealt(filings, "accession"), ["accession"])
+        # Chunks are cut where the dealt filings lie. The files listed here are those of the new filings only.
+        stored = self._written("filings", version)
+        cut = chunk_filings(stored, options).withColumn("bucket", bucket)
+        self._write("chunks", version, cut, ["accession", "start_offset"], lambda rows: _featured(rows, emb))
+        for name, order in (("chunks", ["accession", "start_offset"]), ("filings", ["accession"])):
+            self._copy_kept(name, version, base[1], stored, touched, order)
+        written = self._written("chunks", version)
         if written is not None:
             self._write("totals", version, chunk_totals(written, "bucket"), [])
             self._write("blocks", version, posting_blocks(written, CHUNK_KEY, "bucket"), ["term_bucket", "term", "block"])
             # Counted from the index, which has a row per term and block, not one per term and chunk.
-            counted = _read(self.spark, f"{self.root}/blocks/version={version}", self._stored("blocks")).filter(F.col("term").isNotNull())
-            self._write("frequency", version, counted.groupBy("bucket", "term").agg(F.sum("df").alias("df")), ["term"])
-        self._publish(version, touched, base)
+            counted = self._written("blocks", version).filter(F.col("term").isNotNull()).select("bucket", "term", "df")
+            frequency = _dealt(counted, "term").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+            self._write("frequency", version, frequency, ["term"])
+        self._publish(version, [*touched], base)
         return filings
 
-    def _stored(self, name: str) -> T.StructType:
+    def _written(self, name: str, version: str) -> DataFrame | None:
+        """What was written of a version so far; files that are added later are not seen."""
         schema = self._schema(name)
-        return T.StructType([field for field in schema if field.name != "bucket"]).add("bucket", T.IntegerType())
+        stored = T.StructType([field for field in schema if field.name != "bucket"]).add("bucket", T.IntegerType())
+        return _read(self.spark, f"{self.root}/{name}/version={version}", stored)
 
     def _write(
         self, name: str, version: str, rows: DataFrame, order: list[str], finish: Callable[[DataFrame], DataFrame] | None = None
     ) -> None:
-        """Write buckets, as many files each as their size asks for.
+        """Write rows to their buckets, sorted where they are, so that scans can skip files and row groups.
 
-        Files hold sorted ranges, so that scans can skip files and row groups. ``finish``
-        adds columns to rows in place, after they were shuffled and sorted without them.
+        ``finish`` adds columns to rows in place, after they were sorted without them.
         """
-        dealt = rows.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
-        finished = finish(dealt) if finish else dealt
-        finished.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{name}/version={version}")
+        ordered = rows.sortWithinPartitions("bucket", *order)
+        finished = finish(ordered) if finish else ordered
+        path = f"{self.root}/{name}/version={version}"
+        finished.write.mode("append").option("compression", CODEC).partitionBy("bucket").parquet(path)
+
+    def _copy_kept(
+        self, name: str, version: str, base: dict[int, str], changed: DataFrame, touched: dict[int, int], order: list[str]
+    ) -> None:
+        """Copy what the touched buckets hold of filings that are not among the ``changed``.
+
+        Each bucket is copied by itself, in the order it has: rows with their features
+        are neither shuffled nor sorted. Only where more of a bucket's filings have
+        changed than may be broadcast, they meet in a shuffle. ``touched`` has those numbers.
+        """
+        schema = T.StructType([field for field in self._schema(name) if field.name != "bucket"])
+
+        def copy(bucket: int) -> None:
+            folder = f"{name}/version={base[bucket]}/bucket={bucket}"
+            kept = _read(self.spark, f"{self.root}/{folder}", schema)
+            if kept is None:
+                return
+            few = touched[bucket] <= MAX_BROADCAST_ROWS
+            if few:
+                # The files that earlier ingests left are put together.
+                path, system = self._path(folder)
+                kept = kept.coalesce(math.ceil(system.getContentSummary(path).getLength() / COPIED_BYTES) or 1)
+            rest = without_keys(kept, changed.filter(F.col("bucket") == bucket), ["accession"], broadcast=few)
+            ordered = rest if few else rest.repartitionByRange(*order).sortWithinPartitions(*order)
+            to = f"{self.root}/{name}/version={version}/bucket={bucket}"
+            ordered.write.mode("append").option("compression", CODEC).parquet(to)
+
+        inherit = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(COPIED_AT_ONCE) as pool:
+            # Without pinned threads there is nothing to inherit, and it is no function.
+            list(pool.map(inherit(copy) if callable(inherit) else copy, sorted(set(touched) & set(base))))
 
     def _publish(self, version: str, touched: list[int], base: tuple[int, dict[int, str]]) -> None:
         """Make the version current, unless a touched bucket has changed since ``base``."""
@@ -339,6 +382,11 @@ def _manifest_file(number: int) -> str:
     return f"{number:012d}.json"
 
 
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows in ranges of their buckets, as many as their size asks for, so that no bucket is one task."""
+    return rows.repartitionByRange("bucket", *order)
+
+
 def _featured(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return with_features(chunks, embedder).withColumn("embedder_id", F.lit(embedder.id))
 

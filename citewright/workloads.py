@@ -719,9 +719,11 @@ def store_reingest(t: Tables) -> DataFrame:
     bare = F.when(number % 2 == 1, F.concat(F.lit("kelp "), F.col("cik"))).otherwise(F.lit("<p>Item 8. Kelp</p>kelp and more kelp"))
     store.ingest(again.withColumn("html", bare))
     kept = store.chunks().groupBy("accession").agg(F.count("*").alias("n_chunks"))
-    found = store.filings().join(kept, "accession", "left").select(
-        "accession", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"),
-        F.when(number % 3 == 0, F.length("canonical_text").cast("long")).alias("length"),
+    # Measured before the join, which would shuffle the texts.
+    length = F.when(number % 3 == 0, F.length("canonical_text").cast("long"))
+    measured = store.filings().select("accession", length.alias("length"))
+    found = measured.join(kept, "accession", "left").select(
+        "accession", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "length"
     )
     kelp = store.index().frequency.filter("term = 'kelp'").agg(F.coalesce(F.sum("df"), F.lit(0).cast("long")).alias("n"))
     return found.unionByName(kelp.select(F.lit("kelp").alias("accession"), F.col("n").alias("n_chunks"), F.lit(None).cast("long").alias("length")))

@@ -1,6 +1,9 @@
 """What is shuffled and sorted follows the input, not the input times the questions."""
 
+import re
+
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from citewright.operators.keyword import CHUNK_KEY, K1, B, Index, bm25_topk, query_term_counts, weighted_terms
@@ -8,6 +11,7 @@ from citewright.operators.postings import directory, postings_topk
 from citewright.session import materialise
 from citewright.sources import tables
 from citewright.sources.store import Store
+from citewright.workloads import registered
 
 ROWS = [("a", 0, "frost dock"), ("a", 9, "dock lease lease"), ("b", 0, "frost frost elm"), ("c", 0, "elm lease dock frost")]
 
@@ -123,3 +127,69 @@ def test_a_store_shuffles_chunks_without_features(spark, tmp_path, monkeypatch,
     by_index = bm25_topk(queries, store.index(), 3).collect()
     (tmp_path / "s" / "postings" / f"version={next(iter(store._manifest()[1].values()))}").mkdir(parents=True)
     assert store.index().postings is None and sorted(bm25_topk(queries, store.index(), 3).collect()) == sorted(by_index)
+
+
+def shuffled_columns(capsys, frame):
+    """The columns that go through a shuffle; those that are broadcast do not."""
+    frame.explain("formatted")
+    plan = capsys.readouterr().out
+    return {name for found in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan) for name in re.findall(r"(\w+)#", found)}
+
+
+def filings_of(spark, numbers, word):
+    html = f"<p>Item 1. Business</p><p>{f'The {word} and the dock. ' * 60}</p>"
+    rows = [(f"{n:010d}", f"{n:010d}-24-000001", "Co", "10-K", "2024-01-05", html) for n in numbers]
+    return spark.createDataFrame(rows, "cik string, accession string, company string, form string, filing_date string, html string")
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_kept_chunks_are_copied_where_they_are(spark, tmp_path, monkeypatch, capsys, most):
+    monkeypatch.setattr("citewright.sources.store.MAX_BROADCAST_ROWS", most, raising=False)
+    store = Store.create(spark, str(tmp_path / "s"), 256, buckets=2)
+    store.ingest(filings_of(spark, range(6), "frost"))
+    before = {row.chunk_id: row for row in store.chunks().collect()}
+    written, parquet = [], DataFrameWriter.parquet
+
+    def noted(self, path, *rest, **options):
+        written.append((path, self._df))
+        parquet(self, path, *rest, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    for _ in range(3):
+        store.ingest(filings_of(spark, [1, 4], "kelp"))
+    monkeypatch.undo()
+    after = {row.chunk_id: row for row in store.chunks().collect()}
+    changed = {key for key, row in after.items() if int(row.cik) in (1, 4)}
+    assert changed and all("kelp" in after[key].text for key in changed)
+    assert {key: row for key, row in after.items() if key not in changed} == {
+        key: row for key, row in before.items() if int(row.cik) not in (1, 4)
+    }
+    assert store.filings().count() == 6 and len(changed) < len(after)
+    terms = {row.term: row.n for row in store.index().frequency.groupBy("term").agg(F.sum("df").alias("n")).collect()}
+    assert (terms["kelp"], terms["frost"], terms["dock"]) == (len(changed), len(after) - len(changed), len(after))
+    shuffled = {name: set() for name in ("filings", "chunks", "blocks", "frequency")}
+    for path, frame in written:
+        for name in shuffled:
+            if f"/s/{name}/" in path:
+                shuffled[name] |= shuffled_columns(capsys, frame)
+    if most:
+        assert shuffled["chunks"] <= {"accession"} and not shuffled["blocks"]
+        # Copies of several ingests do not pile up.
+        now = store._manifest()[1]
+        assert all(len(list((tmp_path / "s" / "chunks" / f"version={v}" / f"bucket={b}").glob("*.parquet"))) <= 3 for b, v in now.items())
+    assert "canonical_text" in shuffled["filings"] and shuffled["frequency"] == {"bucket", "term", "df"}
+
+
+def test_texts_of_a_store_are_not_shuffled_to_be_measured(spark, tmp_path, capsys):
+    words = "Item 1. Business\n" + "Frost came. The dock froze and the lease ran out. " * 40
+    spark.createDataFrame([(n, words, "web") for n in range(4)], "doc_id long, text string, source string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    found = registered()["store_reingest"](spark, str(tmp_path))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = shuffled_columns(capsys, found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "length" in columns and "canonical_text" not in columns
