@@ -65,7 +65,7 @@ TABLES = ("filings", "chunks", "frequency", "totals", "blocks")
 CODEC = "zstd"
 # Bytes of a bucket that one task copies, and buckets that are copied at once.
 COPIED_BYTES = 64 << 20
-COPIED_AT_ONCE = 8
+COPIED_AT_ONCE = 4
 # The inverted index as earlier releases wrote it, which is not read any more.
 OLD_POSTINGS = "postings"
 
